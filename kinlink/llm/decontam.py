@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinlink.llm import textkit as tk
 
@@ -90,9 +91,9 @@ def _hits(sieve, grams, g):
     return at[ok], i[ok]
 
 
-def _slices(batches, columns=()):
+def _slices(batches):
     for b in batches:
-        buf, off = tk.buffer_of(b.column("text"))
+        buf, off = tk.buffer_of(b.column("text").cast(pa.string()))
         for a, z in tk.slices(off, SLICE):
             low = tk.LOWER[buf[off[a] : off[z]]]
             o = off[a : z + 1] - off[a]
@@ -107,8 +108,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
         yield (b if n == 1 else b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)).toPandas()
 
 
-def hits(docs: DataFrame, items: pd.DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
-    """Hit word spans of every document against one block of items: row, doc_id, n_words, spans, items."""
+def hits(docs: DataFrame, items: pd.DataFrame, carry: list[str], window: int = 10, shingle: int = 3, only_clean: bool = False) -> DataFrame:
+    """Columns `carry` of docs, n_words, spans (of hit words) and items, against one block of items; only_clean: the carried columns of rows without hits."""
     spark = docs.sparkSession
     w = Windows(items, window, shingle)
     grams, sizes = w.grams, w.sizes
@@ -166,12 +167,24 @@ def hits(docs: DataFrame, items: pd.DataFrame, window: int = 10, shingle: int =
             for x in spans:
                 a, z = tk.merge_spans(*(np.array(y, np.int64) for y in (zip(*x, strict=True) if x else ((), ()))))
                 flat.append(np.stack([a, z], 1).ravel().tolist())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                ["row", "doc_id", "n_words", "spans", "items"],
-            )
+            own = [part.column(c) for c in carry]
+            if only_clean:
+                clean = pa.array([not x for x in spans], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(clean) for c in own], carry)
+            else:
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first), pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*carry, "n_words", "spans", "items"])
 
-    return docs.mapInArrow(join, "row long, doc_id long, n_words long, spans array<long>, items array<string>")
+    kept = [docs.schema[c] for c in carry]
+    if not only_clean:
+        kept += [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+    return docs.mapInArrow(join, T.StructType(kept))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
+    """docs (any columns, among them text) without the rows that hold a window of the benchmark."""
+    for b in _blocks(benchmark, block_bytes):
+        docs = hits(docs, b, docs.columns, window, shingle, only_clean=True)
+    return docs
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
@@ -180,7 +193,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     blocks = list(_blocks(benchmark, block_bytes)) or [pd.DataFrame({"item_id": [], "text": []})]
     if len(blocks) > 1:  # rows meet again by id and text; equal rows get equal answers
         docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = [hits(docs, b, window, shingle) for b in blocks]
+    found = [hits(docs, b, ["row", "doc_id"], window, shingle) for b in blocks]
 
     def digest(batches):
         for b in batches:

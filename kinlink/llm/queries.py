@@ -13,6 +13,12 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_token_counts(spark, sf_dir):
+    from kinlink.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark, sf_dir):
     from kinlink.llm.quality import score_quality
 
@@ -53,11 +59,17 @@ def op8_toxicity(spark, sf_dir):
     return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_ngram_jaccard_join(spark, sf_dir):
+    from kinlink.llm.ngram_join import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark, sf_dir):
     from kinlink.llm.secrets import digest, find_secrets
 
     return digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_quality_classifier, op4_embedding_near_dedup, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_quality_classifier, op4_embedding_near_dedup, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op9_ngram_jaccard_join, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
