@@ -17,6 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinlink.errors import ConfigError
 
@@ -84,7 +85,7 @@ def replace_chars(c: Column, mapping: Mapping[str, str]) -> Column:
 
 @lru_cache(maxsize=4)
 def _unicode_udf(form: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def normal(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
