@@ -78,9 +78,14 @@ def number(c: Column) -> Column:
 
 
 def numeric(s: Column, t: Column, tolerance: Mapping | None) -> Column:
+    """Within tolerance, of two texts."""
+    return near(number(s), number(t), tolerance)
+
+
+def near(a: Column, b: Column, tolerance: Mapping | None) -> Column:
+    """Within tolerance, of two numbers; null and NaN are near nothing."""
     if not isinstance(tolerance, Mapping):
         raise ConfigError("NUMERIC_TOLERANCE_REQUIRED")
-    a, b = number(s), number(t)
     mode, value = str(tolerance.get("mode", "")), float(tolerance.get("value", 0.0))
     if mode == "exact":
         ok = a == b
@@ -96,6 +101,7 @@ def numeric(s: Column, t: Column, tolerance: Mapping | None) -> Column:
 
 
 def pair_score(matcher: str, s: Column, t: Column, options: Mapping | None = None, semantic: Column | None = None) -> Column:
+    """Score of two texts; of two numbers for `numeric`."""
     o = options or {}
     if matcher == "exact":
         return exact(s, t)
@@ -106,7 +112,7 @@ def pair_score(matcher: str, s: Column, t: Column, options: Mapping | None = Non
     if matcher == "hybrid":
         return hybrid(s, t, o, semantic)
     if matcher == "numeric":
-        return numeric(s, t, o.get("tolerance"))
+        return near(s, t, o.get("tolerance"))
     if matcher == "semantic":
         if semantic is None:
             raise ConfigError("SEMANTIC_PROVIDER_NOT_READY")

@@ -56,14 +56,9 @@ def lsh_positions(dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> l
 
 
 def lsh_codes(v: Column, dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> Column:
-    """Bucket code of every table."""
-    out = []
-    for pos in lsh_positions(dim, tables, bits):
-        code = F.lit(0)
-        for j, p in enumerate(pos):
-            code = code + F.when(F.element_at(v, p + 1) >= 0, 1 << j).otherwise(0)
-        out.append(code)
-    return F.array(*out)
+    """Bucket code of every table; the sampled coordinates enter as one constant array."""
+    places = F.array(*[F.array(*[F.lit(p + 1) for p in pos]) for pos in lsh_positions(dim, tables, bits)])
+    return F.transform(places, lambda pos: F.aggregate(pos, F.struct(F.lit(0).alias("c"), F.lit(1).alias("b")), lambda s, p: F.struct((s["c"] + F.when(F.element_at(v, p) >= 0, s["b"]).otherwise(0)).alias("c"), (s["b"] * 2).alias("b")), lambda s: s["c"]))
 
 
 def _byte_of(h: Column):

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from kinlink.config import Decision, MatchConfig, Rule, Scope, Side, SourceFilter, require_columns
 from kinlink.errors import ConfigError
 from kinlink.functions import normalize
-from kinlink.functions.matchers import pair_score
+from kinlink.functions.matchers import number, pair_score
 
 #: rows of a catalog that every source row may be compared with
 MOST_SCAN_TARGETS = 20_000
@@ -81,29 +81,49 @@ def scope_bridge(spark, scope: Scope) -> DataFrame:
     return spark.createDataFrame(rows, "scope_s string, scope_t string")
 
 
+def several(side: Side) -> bool:
+    """Whether a side has more than one text."""
+    return side.fixed_value is None and side.combine == "best_of" and len(side.columns) > 1
+
+
+def slim(r: Rule, side: Side, texts: Column) -> Column:
+    """What the pair stage needs of a side: its text, or for numeric rules its number, parsed once a row; an array only where a side has several texts."""
+    if several(side):
+        return F.transform(texts, number) if r.matcher == "numeric" else texts
+    one = F.try_element_at(texts, F.lit(1))
+    return number(one) if r.matcher == "numeric" else one
+
+
 def prepare_source(source: DataFrame, config: MatchConfig, ordinal: str) -> DataFrame:
-    """s_ord, source_id, scope_s and the texts s_<i> of every rule."""
+    """s_ord, source_id, scope_s and s_<i>, the source side of every rule."""
     require_columns(source.columns, [*config.source_columns(), ordinal])
     d = source if config.source_filter is None else source.where(source_predicate(config.source_filter))
     own = F.col(ordinal).cast("string")
     ident = F.coalesce(_filled(F.col(config.source_id_column).cast("string")), own) if config.source_id_column else own
     cols = [F.col(ordinal).cast("long").alias("s_ord"), ident.alias("source_id")]
     cols.append((F.col(config.scope.source_column).cast("string") if config.scope.mode != "GLOBAL" else F.lit(None).cast("string")).alias("scope_s"))
-    return d.select(*cols, *[value_mapped(r.source, r.value_mapping).alias(f"s_{i}") for i, r in enumerate(config.rules)])
+    return d.select(*cols, *[slim(r, r.source, value_mapped(r.source, r.value_mapping)).alias(f"s_{i}") for i, r in enumerate(config.rules)])
 
 
 def prepare_target(target: DataFrame, config: MatchConfig, ordinal: str) -> DataFrame:
-    """t_ord, group_code, scope_t and the texts t_<i> of every rule; rows without code are dropped."""
+    """t_ord, group_code, scope_t and t_<i>, the target side of every rule; rows without code are dropped."""
     require_columns(target.columns, [*config.target_columns(), ordinal])
     code = F.col(config.group_code_column).cast("string")
     d = target.where(code.isNotNull() & (code != ""))
     cols = [F.col(ordinal).cast("long").alias("t_ord"), code.alias("group_code")]
     cols.append((F.col(config.scope.target_column).cast("string") if config.scope.mode != "GLOBAL" else F.lit(None).cast("string")).alias("scope_t"))
-    return d.select(*cols, *[combined(r.target).alias(f"t_{i}") for i, r in enumerate(config.rules)])
+    return d.select(*cols, *[slim(r, r.target, combined(r.target)).alias(f"t_{i}") for i, r in enumerate(config.rules)])
 
 
 def candidate_pairs(s: DataFrame, t: DataFrame, config: MatchConfig, most_targets: int = MOST_SCAN_TARGETS) -> DataFrame:
+    """All pairs that the scope allows.
+
+    The slim source is dealt by s_ord first: small files still make many
+    tasks, and where the catalog is broadcast the ranking needs no shuffle of
+    pairs.
+    """
     mode = config.scope.mode
+    s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s_ord")
     if mode == "STRICT":
         return s.join(t, F.col("scope_s") == F.col("scope_t"))
     if mode == "MAPPED":
@@ -115,23 +135,17 @@ def candidate_pairs(s: DataFrame, t: DataFrame, config: MatchConfig, most_target
 
 
 def best_pair(r: Rule, s: Column, t: Column, semantic: Column | None) -> Column:
-    """Best score over the texts of both sides; null if a side has none. Ties keep the first pair."""
-    if r.matcher == "semantic":
-        one = F.lit(0.0) if semantic is None else pair_score("semantic", s, t, r.matcher_options, semantic)
-        return F.when((F.size(s) > 0) & (F.size(t) > 0), one)
-    if len(r.source.columns) <= 1 or r.source.combine != "best_of":
-        n_s = 1
-    else:
-        n_s = len(r.source.columns)
-    n_t = len(r.target.columns) if r.target.combine == "best_of" and r.target.fixed_value is None else 1
+    """Best score over the texts of both sides, as `slim` leaves them; null if a side has none. Ties keep the first pair."""
+    one = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), pair_score(r.matcher, a, b, r.matcher_options, semantic))
+    many_s, many_t = several(r.source), several(r.target)
+    if not many_s and not many_t:
+        return one(s, t)
     if r.matcher in ("fuzzy", "hybrid"):  # Python functions can't be used inside array expressions
-        scores = [pair_score(r.matcher, F.try_element_at(s, F.lit(i + 1)), F.try_element_at(t, F.lit(j + 1)), r.matcher_options, semantic) for i in range(n_s) for j in range(n_t)]
-        scores = [F.when((F.size(s) > i) & (F.size(t) > j), x) for (i, j), x in zip(((i, j) for i in range(n_s) for j in range(n_t)), scores, strict=True)]
-        return scores[0] if len(scores) == 1 else F.greatest(*scores)
-    if n_s == n_t == 1:
-        x = pair_score(r.matcher, F.element_at(s, 1), F.element_at(t, 1), r.matcher_options, semantic)
-        return F.when((F.size(s) > 0) & (F.size(t) > 0), x)
-    return F.array_max(F.flatten(F.transform(s, lambda a: F.transform(t, lambda b: pair_score(r.matcher, a, b, r.matcher_options, semantic)))))
+        a = [F.try_element_at(s, F.lit(i + 1)) for i in range(len(r.source.columns))] if many_s else [s]
+        b = [F.try_element_at(t, F.lit(i + 1)) for i in range(len(r.target.columns))] if many_t else [t]
+        return F.greatest(*[one(x, y) for x in a for y in b])
+    a, b = s if many_s else F.array(s), t if many_t else F.array(t)
+    return F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: one(x, y)))))
 
 
 def score_pairs(pairs: DataFrame, config: MatchConfig, semantic: str | None = None) -> DataFrame:
@@ -158,14 +172,17 @@ def score_pairs(pairs: DataFrame, config: MatchConfig, semantic: str | None = No
     return d.withColumn("auto_match_safe", (F.col("compared_fields") >= c.minimum_compared_fields) & (F.col("coverage") >= c.minimum_weight_coverage) & ~F.col("vetoed")).drop("u", "w")
 
 
-def field_scores(config: MatchConfig) -> Column:
-    """Per-rule detail of a scored pair, as array of structs."""
+def with_field_scores(candidates: DataFrame, source: DataFrame, target: DataFrame, config: MatchConfig, source_ordinal: str = "row_ordinal", target_ordinal: str = "row_ordinal") -> DataFrame:
+    """Candidates with `field_scores`, per-rule detail of the kept pairs: texts come back by ordinal for these alone."""
+    st = source.select(F.col(source_ordinal).cast("long").alias("s_ord"), *[F.try_element_at(value_mapped(r.source, r.value_mapping), F.lit(1)).alias(f"x_{i}") for i, r in enumerate(config.rules)])
+    tt = target.select(F.col(target_ordinal).cast("long").alias("t_ord"), *[F.try_element_at(combined(r.target), F.lit(1)).alias(f"y_{i}") for i, r in enumerate(config.rules)])
     out = []
     for i, r in enumerate(config.rules):
         f = F.col(f"f_{i}")
         v = (f < float(r.veto_threshold) / 100.0) if r.veto_threshold is not None else F.lit(False)
-        out.append(F.when(f.isNotNull(), F.struct(F.lit(r.id).alias("rule_id"), F.when(v, 0.0).otherwise(f).alias("score"), F.lit(r.weight).alias("weight"), F.try_element_at(F.col(f"s_{i}"), F.lit(1)).alias("source_value"), F.try_element_at(F.col(f"t_{i}"), F.lit(1)).alias("target_value"), F.lit(r.critical).alias("critical"), (F.lit(r.critical) & (f <= 0)).alias("conflict"), v.alias("vetoed"), f.alias("score_before_veto"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+        out.append(F.when(f.isNotNull(), F.struct(F.lit(r.id).alias("rule_id"), F.when(v, 0.0).otherwise(f).alias("score"), F.lit(r.weight).alias("weight"), F.col(f"x_{i}").alias("source_value"), F.col(f"y_{i}").alias("target_value"), F.lit(r.critical).alias("critical"), (F.lit(r.critical) & (f <= 0)).alias("conflict"), v.alias("vetoed"), f.alias("score_before_veto"))))
+    d = candidates.join(st, "s_ord").join(tt, "t_ord")
+    return d.withColumn("field_scores", F.filter(F.array(*out), lambda x: x.isNotNull())).drop(*[f"{c}_{i}" for c in "xy" for i in range(len(config.rules))])
 
 
 def rank_candidates(scored: DataFrame, top_n: int) -> DataFrame:
@@ -201,17 +218,18 @@ def items(source: DataFrame, ranked: DataFrame, config: MatchConfig) -> DataFram
 
 
 def match(source: DataFrame, target: DataFrame, config: MatchConfig, source_ordinal: str = "row_ordinal", target_ordinal: str = "row_ordinal"):
-    """(items, candidates) of a scan match; both lazily planned."""
+    """(items, candidates) of a scan match; both lazily planned. with_field_scores adds the detail of candidates."""
     if any(r.semantic for r in config.rules):
         raise ConfigError("SEMANTIC_PROVIDER_NOT_READY", "semantic rules need match_with_vectors")
     s, t = prepare_source(source, config, source_ordinal), prepare_target(target, config, target_ordinal)
-    scored = score_pairs(candidate_pairs(s, t, config), config)
-    ranked = rank_candidates(scored.withColumn("field_scores", field_scores(config)), config.decision.top_n)
-    keep = ["s_ord", "rank", "t_ord", "group_code", "score", "vetoed", "coverage", "compared_fields", "critical_conflict", "auto_match_safe", "field_scores"]
-    ranked = ranked.select(*keep)
+    ranked = rank_candidates(score_pairs(candidate_pairs(s, t, config), config).select(*_kept(config)), config.decision.top_n)
     return items(s, ranked, config), ranked
 
 
+def _kept(config: MatchConfig, *more: str) -> list[str]:
+    return ["s_ord", "t_ord", "group_code", "score", *more, "vetoed", "coverage", "compared_fields", "critical_conflict", "auto_match_safe", *[f"f_{i}" for i in range(len(config.rules))]]
+
+
 def match_with_vectors(source: DataFrame, target: DataFrame, config: MatchConfig, hits: DataFrame, source_ordinal: str = "row_ordinal", target_ordinal: str = "row_ordinal"):
     """(items, candidates) over retrieved pairs: hits has s_ord, t_ord, similarity."""
     s, t = prepare_source(source, config, source_ordinal), prepare_target(target, config, target_ordinal)
@@ -221,8 +239,7 @@ def match_with_vectors(source: DataFrame, target: DataFrame, config: MatchConfig
         pairs = pairs.where("scope_s = scope_t")
     elif config.scope.mode == "MAPPED":
         pairs = pairs.join(scope_bridge(source.sparkSession, config.scope), ["scope_s", "scope_t"], "left_semi")
-    scored = score_pairs(pairs, config, "semantic").withColumn("field_scores", field_scores(config))
-    ranked = rank_candidates(scored, config.decision.top_n).select("s_ord", "rank", "t_ord", "group_code", "score", "semantic", "vetoed", "coverage", "compared_fields", "critical_conflict", "auto_match_safe", "field_scores")
+    ranked = rank_candidates(score_pairs(pairs, config, "semantic").select(*_kept(config, "semantic")), config.decision.top_n)
     return items(s, ranked, config), ranked
 
 

@@ -194,7 +194,7 @@ def value_mapping(spark, d):
 @query("fixed_value_rule", "SELECT p_partkey, CASE WHEN p_type = 'STANDARD' THEN 100.0 ELSE 0.0 END AS score FROM part")
 def fixed_value_rule(spark, d):
     r = Rule("type", side("p_type"), Side(fixed_value="STANDARD"), "exact", 100)
-    return parts(spark, d).select("p_partkey", (F.coalesce(matching.best_pair(r, matching.combined(r.source), matching.combined(r.target), None), F.lit(0.0)) * 100).alias("score"))
+    return parts(spark, d).select("p_partkey", (F.coalesce(matching.best_pair(r, matching.slim(r, r.source, matching.combined(r.source)), matching.slim(r, r.target, matching.combined(r.target)), None), F.lit(0.0)) * 100).alias("score"))
 
 
 @query("combine_concat", "SELECT p_partkey, concat_ws('-', nullif(p_brand, ''), nullif(p_type, ''), CAST(p_size AS VARCHAR)) AS v FROM part")
