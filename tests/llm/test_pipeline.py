@@ -1,0 +1,28 @@
+import os
+
+import pytest
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
+def test_stages_take_effect(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    before = docs.count()
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, D).cache()
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+        if name == "ngram_jaccard_join":
+            from kinlink.llm.ngram_join import near_duplicate_groups
+
+            assert near_duplicate_groups(out).where("doc_id <> component_id").count() == 0
+        if name == "decontamination":
+            from kinlink.llm.decontam import find_contamination
+
+            assert find_contamination(out, spark.read.parquet(f"{D}/benchmark.parquet")).where("contaminated").count() == 0
+        docs = out
+    assert docs.count() < before
+    mix = p.STAGES[-1][1](spark, docs, D)
+    assert mix.count() == docs.count() and mix.where("taken > 2 * size").count() == 0
