@@ -14,6 +14,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def bind(c: Column, fn) -> Column:
+    """fn of a value that is computed once: inside array expressions a plain column would be computed anew for every element."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -24,8 +29,8 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    with_norm = bind(v, lambda w: F.struct(w.alias("w"), norm(w).alias("n")))
+    return bind(with_norm, lambda s: F.transform(s["w"], lambda x: x / F.when(s["n"] == 0, 1.0).otherwise(s["n"])))
 
 
 def int8(v: Column) -> Column:
@@ -34,8 +39,8 @@ def int8(v: Column) -> Column:
 
 def q4(v: Column) -> Column:
     """Signed four-bit query, scaled by the largest magnitude."""
-    m = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    return F.transform(v, lambda x: F.greatest(F.lit(-7.0), F.least(F.lit(7.0), F.rint(x / F.when(m == 0, 1.0).otherwise(m) * 7))).cast("int"))
+    with_most = bind(v, lambda w: F.struct(w.alias("w"), F.array_max(F.transform(w, lambda x: F.abs(x))).alias("m")))
+    return bind(with_most, lambda s: F.transform(s["w"], lambda x: F.greatest(F.lit(-7.0), F.least(F.lit(7.0), F.rint(x / F.when(s["m"] == 0, 1.0).otherwise(s["m"]) * 7))).cast("int")))
 
 
 def sign_bytes(v: Column) -> Column:
@@ -58,7 +63,8 @@ def lsh_positions(dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> l
 def lsh_codes(v: Column, dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> Column:
     """Bucket code of every table; the sampled coordinates enter as one constant array."""
     places = F.array(*[F.array(*[F.lit(p + 1) for p in pos]) for pos in lsh_positions(dim, tables, bits)])
-    return F.transform(places, lambda pos: F.aggregate(pos, F.struct(F.lit(0).alias("c"), F.lit(1).alias("b")), lambda s, p: F.struct((s["c"] + F.when(F.element_at(v, p) >= 0, s["b"]).otherwise(0)).alias("c"), (s["b"] * 2).alias("b")), lambda s: s["c"]))
+    code = lambda w: lambda pos: F.aggregate(pos, F.struct(F.lit(0).alias("c"), F.lit(1).alias("b")), lambda s, p: F.struct((s["c"] + F.when(F.element_at(w, p) >= 0, s["b"]).otherwise(0)).alias("c"), (s["b"] * 2).alias("b")), lambda s: s["c"])
+    return bind(v, lambda w: F.transform(places, code(w)))
 
 
 def _byte_of(h: Column):
@@ -71,5 +77,5 @@ def deterministic_embedding(text: Column, dim: int = 32) -> Column:
     parts = []
     for counter in range(-(-dim // 32)):
         h = F.sha2(F.concat(t, F.lit(counter.to_bytes(4, "little"))), 256)
-        parts.append(F.transform(F.sequence(F.lit(0), F.lit(31)), _byte_of(h)))
+        parts.append(bind(h, lambda x: F.transform(F.sequence(F.lit(0), F.lit(31)), _byte_of(x))))
     return normalize(F.slice(F.concat(*parts), 1, dim))
