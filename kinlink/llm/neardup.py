@@ -105,11 +105,13 @@ def build(x: np.ndarray, pool: int, degree: int, alpha: float) -> list[np.ndarra
     return [np.unique(v) for v in out]
 
 
-def search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: int, reach: float, most_steps: int | None = None):
+def search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: int, reach: float, slack: float = 0.2):
     """Greedy beam search from the medoid for many queries at once; returns (query place, hit) with similarity >= reach.
 
-    table: neighbours, padded with -1. The beam of a query grows fourfold while
-    half of it is in range.
+    table: neighbours, padded with -1. Queries are nodes: once a query has
+    met itself, its search goes on through nodes within `slack` of the range
+    and ends where none is left. The beam of a query grows fourfold while half
+    of it is in range.
     """
     n = len(x)
     mean = x.sum(axis=0)
@@ -132,7 +134,8 @@ def search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: int, rea
             while len(rows):
                 v = np.where(done[rows], -3.0, val[rows])
                 best = np.argmax(v, axis=1)
-                on = v[np.arange(len(rows)), best] > -3.0
+                top = v[np.arange(len(rows)), best]
+                on = (top > -3.0) & ~(seen[rows, queries[t[rows]]] & (top < reach - slack))
                 rows, best = rows[on], best[on]
                 if not len(rows):
                     break
@@ -174,7 +177,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return low
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, overlap: int = 4, margin: float = 0.12, pool: int = 48, degree: int = 20, alpha: float = 1.2, beam: int = 48, per_centroid: int = 24, max_centroids: int = 50_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, overlap: int = 3, margin: float = 0.08, pool: int = 48, degree: int = 20, alpha: float = 1.2, beam: int = 48, per_centroid: int = 24, max_centroids: int = 50_000) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
 
     per_centroid x number of centroids bounds the sample that centroids are
