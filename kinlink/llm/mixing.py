@@ -90,7 +90,7 @@ def walk(p: np.ndarray, size: np.ndarray, coin: np.ndarray) -> np.ndarray:
         hand = [x for x in hand if 0 < p[x] < 1]
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 100_000, fan_in: int = 10_000, reserve: int = 12) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 10_000, fan_in: int = 10_000, reserve: int = 12) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words) and copies of every document of docs.
 
     Repeated rows are documents of their own; rows that agree in everything

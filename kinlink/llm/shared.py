@@ -50,4 +50,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == now and now["n"] == now["d"]:
             break
         state = now
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
