@@ -109,9 +109,6 @@ def pairs_sql(select, more=""):
     return f"WITH {CATALOG}, p AS (SELECT p_partkey AS s_ord, t_ord, * FROM part JOIN catalog ON p_type = t_type) SELECT {select} FROM p {more}"
 
 
-SUMS = "count(*) AS n, CAST(round(sum({0}), 4) AS DOUBLE) AS total"
-
-
 @query("score_weighted", pairs_sql(f"s_ord, count(*) AS n, max({SCORE}) AS best, min({SCORE}) AS worst", "GROUP BY s_ord"))
 def score_weighted(spark, d):
     return scored(spark, d, RULES).groupBy("s_ord").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"))
@@ -151,10 +148,9 @@ def text_pairs(spark, d):
 
 
 def matcher_query(name, sql, col):
-    @query(name, pairs_sql(f"s_ord, count(*) AS n, CAST(round(sum(round({sql}, 6)), 4) AS DOUBLE) AS total, CAST(max(round({sql}, 6)) AS DOUBLE) AS best", "GROUP BY s_ord"))
+    @query(name, pairs_sql(f"s_ord, count(*) AS n, CAST(sum(CAST(round(({sql}) * 1000000) AS BIGINT)) AS BIGINT) AS total, CAST(max(round({sql}, 6)) AS DOUBLE) AS best", "GROUP BY s_ord"))
     def q(spark, d, col=col):
-        v = F.round(col(), 6)
-        return text_pairs(spark, d).groupBy("s_ord").agg(F.count("*").alias("n"), F.round(F.sum(v), 4).alias("total"), F.max(v).alias("best"))
+        return text_pairs(spark, d).groupBy("s_ord").agg(F.count("*").alias("n"), F.sum(F.round(col() * 1000000).cast("long")).alias("total"), F.max(F.round(col(), 6)).alias("best"))
 
 
 S, T, A, B = (lambda c=c: F.col(c) for c in "stab")
