@@ -204,12 +204,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     if len(found) == 1:
         return found[0].mapInArrow(digest, OUT)
-    every = found[0]
+    passes, every = len(found), found[0]
     for x in found[1:]:
         every = every.unionByName(x)
 
     def merge(t: pa.Table) -> pa.Table:
-        copies = t.num_rows // len(found)  # equal rows of the input
+        copies = t.num_rows // passes  # equal rows of the input
         flat = [x for y in t["spans"].to_pylist() for x in y]
         s, e = tk.merge_spans(np.array(flat[::2], np.int64), np.array(flat[1::2], np.int64))
         one = {"row": t["row"][0].as_py(), "doc_id": t["doc_id"][0].as_py(), "n_words": t["n_words"][0].as_py(), "spans": np.stack([s, e], 1).ravel().tolist(), "items": sorted({x for y in t["items"].to_pylist() for x in y})}
