@@ -51,12 +51,13 @@ def two_stage_order(text: np.ndarray, need: np.ndarray, depth: int) -> np.ndarra
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
-    t = text.astype(np.int16)
-    nxt = np.append(t[1:], 256)  # the end counts as largest
-    # S: suffix smaller than its successor; equal neighbours take the type of the run's end
-    change = np.flatnonzero(t != nxt)
-    run_end = change[np.searchsorted(change, np.arange(n))]
-    small = (t < nxt)[run_end]
+    # S: suffix smaller than its successor; equal neighbours take the type of the run's end; the end counts as largest
+    small = np.ones(n, bool)
+    small[:-1] = text[:-1] < text[1:]
+    change = np.flatnonzero(np.append(text[:-1] != text[1:], True))
+    run = np.diff(np.append(-1, change))
+    small = np.repeat(small[change], run)
+    del change, run
     need = need.copy()
     # successors of larger suffixes are needed too, up to the first smaller one
     idx = np.flatnonzero(need & ~small)
@@ -66,14 +67,22 @@ def two_stage_order(text: np.ndarray, need: np.ndarray, depth: int) -> np.ndarra
         need[idx] = True
         idx = idx[~small[idx]]
     direct = np.flatnonzero(need & small)
-    pad = np.zeros(n + depth + 8, np.uint8)
+    pad = np.full(n + depth + 8, 0xFF, np.uint8)
     pad[:n] = text
     words = np.lib.stride_tricks.sliding_window_view(pad, 8)
-    keys = [np.ascontiguousarray(words[direct + 8 * i]).view(">u8").ravel().astype(np.uint64) for i in range((depth + 7) // 8)]
-    order = direct[np.lexsort(keys[::-1])]
+    by_byte = direct[np.argsort(text[direct], kind="stable")]
+    starts = np.searchsorted(text[by_byte], np.arange(256), "left").tolist() + [len(by_byte)]
+
+    def directly(byte: int) -> np.ndarray:
+        """The smaller suffixes of one bucket, compared eight bytes at a time."""
+        at = by_byte[starts[byte] : starts[byte + 1]]
+        if len(at) < 2:
+            return at
+        keys = [np.ascontiguousarray(words[at + 8 * i]).view(">u8").ravel().astype(np.uint64) for i in range((depth + 7) // 8)]
+        return at[np.lexsort(keys[::-1])]
+
     # buckets of the first byte: induced suffixes, then the directly sorted ones
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    starts = np.searchsorted(t[order], np.arange(257)) if len(order) else np.zeros(257, int)
     larger = need & ~small
 
     def induce(done: np.ndarray, byte: int) -> np.ndarray:
@@ -100,7 +109,7 @@ def two_stage_order(text: np.ndarray, need: np.ndarray, depth: int) -> np.ndarra
         while head is not None and len(head):
             out.append(head)
             head = induce(head, byte)
-        own = order[starts[byte] : starts[byte + 1]]
+        own = directly(byte)
         if len(own):
             out.append(own)
             induce(own, byte)
@@ -195,11 +204,31 @@ class _Chunk:
         return h[p[i]], at[doc[i]], first, count, first - off[doc[i]], c
 
 
+def _six(h: np.ndarray) -> bytes:
+    """The low 48 bits of hashes; that two strings agree in them only makes an anchor a candidate."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _of_six(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _squeeze(*parts: np.ndarray) -> bytes:
+    raw = b"".join(x.tobytes() for x in parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expand(b: bytes) -> bytes:
+    return pa.decompress(memoryview(b)[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _pack(groups: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(groups, np.arange(n + 1))
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, k: int = 24, chunk_bytes: int = 4 << 20, slice_bytes: int = 1 << 20, hot_chunks: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, k: int = 32, chunk_bytes: int = 3 << 20, slice_bytes: int = 1 << 19, hot_chunks: int = 64) -> DataFrame:
     """Removes repeated strings of `span` bytes from docs (doc_id, text).
 
     chunk_bytes: text handled together in one Python call; hot_chunks: an
@@ -250,12 +279,12 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 24, chunk_bytes: in
         h, _, at = distinct_anchors(ch)
         own = key[0].as_py()
         b = [i for i in range(n_buckets) if at[i + 1] > at[i]]
-        return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array([own] * len(b), pa.int32()), "payload": pa.array([h[at[i] : at[i + 1]].tobytes() for i in b], pa.binary())})
+        return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array([own] * len(b), pa.int32()), "payload": pa.array([_six(h[at[i] : at[i + 1]]) for i in b], pa.binary())})
 
     sent = docs.groupBy("chunk").cogroup(copies.groupBy("to")).applyInArrow(send, "bucket int, chunk int, payload binary")
 
     def answer(t: pa.Table) -> pa.Table:
-        got = [np.frombuffer(x, np.uint64) for x in t["payload"].to_pylist()]
+        got = [_of_six(x) for x in t["payload"].to_pylist()]
         h = np.concatenate(got)
         o = np.argsort(h, kind="stable")
         s = h[o]
@@ -328,7 +357,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 24, chunk_bytes: in
             known = np.stack([doc[later].astype(np.int64), start[later], start[later] + count[later] + span - 1])
             rows["bucket"].append(own % n_buckets)
             rows["kind"].append(2)
-            rows["payload"].append(known.astype(np.int64).tobytes())
+            rows["payload"].append(_squeeze(known.astype(np.int64)))
         own_occ = np.flatnonzero(~later)
         g, d0, s0 = group[own_occ], doc[own_occ], start[own_occ]
         some = np.empty(len(names), np.uint64)
@@ -336,7 +365,9 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 24, chunk_bytes: in
         nwin = np.empty(len(names), np.int64)
         nwin[group] = count
         ub = bucket_of(some)
-        o = np.argsort(ub, kind="stable")
+        seen = np.full(len(names), len(own_occ))
+        np.minimum.at(seen, g, np.arange(len(g)))
+        o = np.lexsort((seen, ub))  # in document order: what is sent compresses better
         cuts = _pack(ub[o], n_buckets)
         inv = np.empty(len(names), np.int64)
         inv[o] = np.arange(len(names))
@@ -355,7 +386,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 24, chunk_bytes: in
             head = np.array([len(u), len(txt), ocut[b + 1] - ocut[b]], np.int64)
             rows["bucket"].append(b)
             rows["kind"].append(1)
-            rows["payload"].append(b"".join(x.tobytes() for x in (head, least[u].astype(np.int64), nwin[u].astype(np.uint16), txt, (g2[q] - a).astype(np.int32), d0[q].astype(np.int32), s0[q].astype(np.int64))))
+            times = np.bincount(g2[q] - a, minlength=z - a)
+            rows["payload"].append(_squeeze(head, np.diff(least[u], prepend=0), nwin[u].astype(np.uint16), txt, times.astype(np.int32), np.diff(d0[q].astype(np.int32), prepend=np.int32(0)), s0[q].astype(np.int32)))
         n = len(rows["bucket"])
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array([own] * n, pa.int32()), "kind": pa.array(rows["kind"], pa.int32()), "payload": pa.array(rows["payload"], pa.binary())})
 
@@ -370,19 +402,20 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 24, chunk_bytes: in
         for c, kind, p in zip(chunks, kinds, loads, strict=True):
             if kind != 1:
                 continue
+            p = _expand(p)
             nu, nt, no = np.frombuffer(p, np.int64, 3)
             at = 24
-            least.append(np.frombuffer(p, np.int64, nu, at))
+            least.append(np.cumsum(np.frombuffer(p, np.int64, nu, at)))
             at += 8 * nu
             nwin.append(np.frombuffer(p, np.uint16, nu, at).astype(np.int64))
             at += 2 * nu
             texts.append(np.frombuffer(p, np.uint8, nt, at))
             at += nt
-            g = np.frombuffer(p, np.int32, no, at).astype(np.int64) + base
-            at += 4 * no
-            d = np.frombuffer(p, np.int32, no, at).astype(np.int64)
+            g = np.repeat(np.arange(nu), np.frombuffer(p, np.int32, nu, at)) + base
+            at += 4 * nu
+            d = np.cumsum(np.frombuffer(p, np.int32, no, at), dtype=np.int64)
             at += 4 * no
-            occ.append(np.stack([g, d, np.frombuffer(p, np.int64, no, at)]))
+            occ.append(np.stack([g, d, np.frombuffer(p, np.int32, no, at).astype(np.int64)]))
             owner.append((c, no))
             base += nu
         if base:
@@ -430,7 +463,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 24, chunk_bytes: in
                 for j, (c, _) in enumerate(owner):
                     if cuts[j + 1] > cuts[j]:
                         out_c.append(c)
-                        out_p.append(np.ascontiguousarray(spans[:, cuts[j] : cuts[j + 1]]).tobytes())
+                        out_p.append(_squeeze(np.ascontiguousarray(spans[:, cuts[j] : cuts[j + 1]])))
         n = len(out_c)
         return pa.table({"to": pa.array(out_c, pa.int32()), "kind": pa.array([2] * n, pa.int32()), "ref": pa.array([None] * n, pa.int64()), "payload": pa.array(out_p, pa.binary())})
 
@@ -438,7 +471,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 24, chunk_bytes: in
 
     def apply(key, d, x):
         ch = chunk_of(d, x)
-        got = [np.frombuffer(p, np.int64).reshape(3, -1) for p in ch.notes["payload"].to_pylist()]
+        got = [np.frombuffer(_expand(p), np.int64).reshape(3, -1) for p in ch.notes["payload"].to_pylist()]
         all_ = np.concatenate(got, axis=1) if got else np.zeros((3, 0), np.int64)
         o = np.argsort(all_[0], kind="stable")
         all_ = all_[:, o]
