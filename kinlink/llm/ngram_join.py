@@ -11,11 +11,14 @@ are indexed (m and d per band by the cheapest expected index that suffices);
 if what a set allocates exceeds the bound on its differences, every partner
 shares an index entry with it (pigeonhole).
 
+What a set allocates beyond its bound, its slack, is a filter too: partners share
+at least slack + 1 entries, so pairs with fewer never reach verification.
+
 Cost. An entry that many sets own gets allocation 0: it only ties its owners to
 one hub. A set whose remaining allocation no longer exceeds the bound is
-*deficient*; pairs of two deficient sets are found by an exact prefix filter
-instead, among those not in one component already. Every candidate is verified
-on the full 64-bit shingle hashes.
+*deficient*; it is compared with its hubs, and pairs of two deficient sets are
+found by an exact prefix filter, among those not in one component already.
+Every candidate is verified on the full 64-bit shingle hashes.
 
 Entries are packed, 8 bytes each, into one binary value per chunk of documents
 and bucket; equal sets are one node (by a 64-bit digest of the set).
@@ -30,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinlink.llm import textkit as tk
 from kinlink.llm.shared import components, cut, text_bytes
@@ -159,7 +163,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75, chunk_bytes: int = 8 << 20, group: int = 24, filter_bits: int = 23) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75, chunk_bytes: int = 6 << 20, group: int = 24, filter_bits: int = 23) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
     A set holds the distinct runs of `shingle` words (A-Z lower-cased,
@@ -270,28 +274,35 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
                 p = np.concatenate(pairs, axis=1)
                 a, b = node[p[0]], node[p[1]]
                 ok = np.minimum(size[p[0]], size[p[1]]) * 100 >= percent * np.maximum(size[p[0]], size[p[1]])
-                both = np.unique(np.stack([a[ok], b[ok]], 1), axis=0)
-                out.append(_found(1, both[:, 0], both[:, 1]))
+                both, shared = np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1), axis=0, return_counts=True)
+                out.append(_found(1, both[:, 0], both[:, 1], n=shared))
             big = np.flatnonzero(count > group)
             if len(big):
                 at = tk.ranges(i[big], count[big])
                 hub = np.repeat(node[i[big]], count[big])
                 near = np.minimum(size[at], np.repeat(size[i[big]], count[big])) * 100 >= percent * np.maximum(size[at], np.repeat(size[i[big]], count[big]))
                 both = np.unique(np.stack([node[at], hub], 1)[near & (node[at] != hub)], axis=0)
-                out.append(_found(1, both[:, 1], both[:, 0]))
+                out.append(_found(3, both[:, 0], both[:, 1]))
                 names, inv = np.unique(node[at], return_inverse=True)
                 w = (flag[at] & 1) + 1
                 role = flag[at] >> 1
-                out.append(_found(2, names, names, np.bincount(inv, w * (role == 0), len(names)), np.bincount(inv, w * (role == 1), len(names))))
+                out.append(_found(2, names, names, l0=np.bincount(inv, w * (role == 0), len(names)), l1=np.bincount(inv, w * (role == 1), len(names))))
         return pa.concat_tables(out)
 
     found = docs.mapInArrow(index, PACKED).groupBy("bucket").applyInArrow(meet, FOUND)
-    found = cut(found.groupBy("kind", "a", "b").agg(F.count("*").alias("rows"), F.min("n").alias("n"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1")))
+    found = cut(found.groupBy("kind", "a", "b").agg(F.count("*").alias("rows"), F.min("n").alias("n"), F.sum("n").alias("shared"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1")))
     rows = found.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("doc_id"), "n", "s0", "s1", "rows")
-    pairs = found.where("kind = 1").select("a", "b")
     lost = found.where("kind = 2").select(F.col("a").alias("node"), "l0", "l1")
-    nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("s0").alias("s0"), F.min("s1").alias("s1")))
-    deficient = nodes.join(lost, "node", "left").where("s0 < coalesce(l0, 0) or s1 < coalesce(l1, 0)").select("node")
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
+    # what is left of the slacks, as one of the lower and of the upper band; below 0: deficient
+    nodes = cut(nodes.join(lost, "node", "left").select("node", "doc_id", "n", (F.col("s0") - F.coalesce("l0", F.lit(0))).alias("e0"), (F.col("s1") - F.coalesce("l1", F.lit(0))).alias("e1")))
+    deficient = nodes.where("e0 < 0 or e1 < 0").select("node")
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("e0").alias(f"e0{x}"), F.least("e0", "e1").alias(f"e{x}"))
+    pairs = found.where("kind = 1").select("a", "b", "shared").join(of("a"), "a").join(of("b"), "b")
+    smaller, larger = F.when(F.col("na") <= F.col("nb"), F.col("e0a")).otherwise(F.col("e0b")), F.when(F.col("na") <= F.col("nb"), F.col("eb")).otherwise(F.col("ea"))
+    pairs = pairs.where(F.col("shared") > F.greatest(smaller, larger)).select("a", "b")
+    hubs = found.where("kind = 3").select("a", "b").join(deficient.withColumnRenamed("node", "a"), "a", "left_semi").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(pairs.unionByName(hubs).distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(deficient).distinct().join(nodes, "node").select("node", "doc_id"))
     sets = cut(_sets(spark, docs, wanted, shingle, filter_bits))
 
@@ -316,21 +327,25 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
     edges = edges.unionByName(more)
     comp = components(edges)
 
-    # deficient sets among themselves: exact prefix filter over hash order, across components only
-    def prefixes(batches):
+    # deficient sets among themselves: exact prefix filter, rarest tokens first, across components only.
+    # Tokens of one set alone come first in its order and meet nothing, so they only shorten what is left of its prefix.
+    def tokens(batches):
         for b in batches:
             node, token, size = [], [], []
             for k, x in zip(b.column("node").to_pylist(), b.column("hashes").to_pylist(), strict=True):
                 h = np.frombuffer(x, np.int64)
-                p = len(h) - -(-percent * len(h) // 100) + 1
-                node.append(np.full(p, k))
-                token.append(h[:p])
-                size.append(np.full(p, len(h)))
+                node.append(np.full(len(h), k))
+                token.append(h)
+                size.append(np.full(len(h), len(h)))
             if node:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (node, token, size)], ["node", "token", "n"])
 
-    short = sets.join(deficient, "node", "left_semi").select("node", "hashes").mapInArrow(prefixes, "node long, token long, n long")
-    short = cut(short.join(comp, "node", "left").select("node", "token", "n", F.coalesce("component", "node").alias("c")))
+    every = sets.join(deficient, "node", "left_semi").select("node", "hashes").mapInArrow(tokens, "node long, token long, n long")
+    known = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("node").orderBy("df", "token")
+    met = every.join(known, "token").withColumns({"place": F.row_number().over(order), "met": F.count("*").over(Window.partitionBy("node"))})
+    prefix = F.expr(f"n - ceil({percent} * n / 100D) + 1 - (n - met)")
+    short = cut(met.where(F.col("place") <= prefix).select("node", "token", "n").join(comp, "node", "left").select("node", "token", "n", F.coalesce("component", "node").alias("c")))
     mixed = short.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     left = short.join(mixed, "token").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     right = left.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
@@ -347,11 +362,10 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
     return out.unionByName(none).withColumn("one", F.explode(F.expr("sequence(1, rows)"))).drop("rows", "one")
 
 
-def _found(kind, a, b, l0=None, l1=None) -> pa.Table:
-    n = len(a)
-    none = pa.array([None] * n, pa.int32())
-    z = np.zeros(n, np.int64)
-    return pa.table({"kind": pa.array(np.full(n, kind), pa.int32()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "n": none, "s0": none, "s1": none, "l0": pa.array(z if l0 is None else l0.astype(np.int64)), "l1": pa.array(z if l1 is None else l1.astype(np.int64))})
+def _found(kind, a, b, n=None, l0=None, l1=None) -> pa.Table:
+    none = pa.array([None] * len(a), pa.int32())
+    z = np.zeros(len(a), np.int64)
+    return pa.table({"kind": pa.array(np.full(len(a), kind), pa.int32()), "a": pa.array(a), "b": pa.array(b), "n": none if n is None else pa.array(n, pa.int32()), "s0": none, "s1": none, "l0": pa.array(z if l0 is None else l0.astype(np.int64)), "l1": pa.array(z if l1 is None else l1.astype(np.int64))})
 
 
 def _sets(spark, docs: DataFrame, wanted: DataFrame, shingle: int, bits: int) -> DataFrame:
