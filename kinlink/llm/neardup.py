@@ -1,19 +1,22 @@
 """Op 4: near-duplicate embeddings by a robust-pruned flat graph.
 
 Vectors are compared within a class (equal label, equal dimension) by cosine
-in double precision. Equal vectors are one node. A class is covered by
-overlapping shards around centroids (fitted on a bounded sample): a vector
-joins its nearest shard and those nearly as near. In each shard every vector
-gets a robust-pruned list of neighbours; the lists of all shards are united
-by vector; then each shard searches the united graph, from its medoid, for all
-of its vectors: a beam descends greedily and, while what it holds is in range,
-grows, so that the search expands through everything in range. Hits are
-verified in double precision.
-
-A pair may share several shards; it is counted in the first of them, so pairs
-are never shuffled, and a shard reports only link counts and a spanning forest.
-Shards are of bounded size for up to `max_centroids` x `shard` vectors; the
-centroids are the only broadcast and bounded by `max_centroids`.
+in double precision. Equal vectors are one node. A class is divided into
+shards around centroids (fitted on a bounded sample). In each shard every
+vector gets a robust-pruned list of neighbours and the shard searches this
+graph, from its medoid, for all of its vectors: a beam descends greedily and,
+while what it holds is in range, grows, so that the search expands through
+everything in range. Hits are verified in double precision.
+
+Pairs of different shards are compared exactly, in blocks: shards form pieces
+of `block_bytes` of vectors, and a vector goes to every pair of pieces where a
+vector in range can lie by the planes between centroids and the shards' radii.
+No such pair is left out; in a class without clusters all pieces meet, which
+is quadratic in the class.
+
+A pair is counted in one place and never shuffled: what is reported are link
+counts and a spanning forest. The broadcasts (centroids, pieces) are bounded
+by `max_centroids`.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows
 without label, link with nothing and form their own component. A null vec_id
@@ -177,12 +180,53 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return low
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, overlap: int = 3, margin: float = 0.08, pool: int = 48, degree: int = 20, alpha: float = 1.2, beam: int = 48, per_centroid: int = 24, max_centroids: int = 50_000) -> DataFrame:
+def compare(x: np.ndarray, mult: np.ndarray, home: np.ndarray, sides: list[np.ndarray], least: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Link counts and smallest node reachable, over all pairs of different homes within one side or between two.
+
+    Tiles of rows meet by matrix products; two tiles whose angle exceeds their
+    radii and the range's angle together cannot hold a pair.
+    """
+    n, angle = len(x), np.arccos(least)
+    links, low = np.zeros(n), np.arange(n)
+    tiles = []
+    for side in sides:
+        own = []
+        for at in (side[i : i + tile] for i in range(0, len(side), tile)):
+            mid = x[at].sum(axis=0)
+            size = np.linalg.norm(mid)
+            mid = mid / size if size > 1e-9 else x[at[0]]
+            own.append((at, mid, np.arccos(np.clip(x[at] @ mid, -1, 1)).max()))
+        tiles.append(own)
+    if len(sides) == 1:
+        meet = [(a, b, i == j) for i, a in enumerate(tiles[0]) for j, b in enumerate(tiles[0][: i + 1])]
+    else:
+        meet = [(a, b, False) for a in tiles[0] for b in tiles[1]]
+    for (a, am, ar), (b, bm, br), same in meet:
+        if np.arccos(np.clip(am @ bm, -1, 1)) > ar + br + angle + 1e-6:
+            continue
+        s = x[a] @ x[b].T
+        hit = s >= least
+        # next to the bound verified as the whole operator compares: double precision, both norms
+        for i, j in zip(*np.nonzero(np.abs(s - least) < 1e-9), strict=True):
+            u, v = x[a[i]], x[b[j]]
+            hit[i, j] = float((u * v).sum()) / np.sqrt(float((u * u).sum()) * float((v * v).sum())) >= least
+        hit &= home[a][:, None] != home[b]
+        if not hit.any():
+            continue
+        links[a] += hit @ mult[b].astype(np.float64)
+        if not same:
+            links[b] += mult[a].astype(np.float64) @ hit
+        i, j = np.nonzero(hit & (low[a][:, None] != low[b]))
+        if len(i):
+            low = forest(n, low[a[i]], low[b[j]])[low]
+    return links.astype(np.int64), low
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, pool: int = 48, degree: int = 20, alpha: float = 1.2, beam: int = 48, per_centroid: int = 24, max_centroids: int = 50_000, block_bytes: int = 8 << 20) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
 
     per_centroid x number of centroids bounds the sample that centroids are
-    fitted on. overlap: shards a vector joins at most; margin: how much less
-    similar than to the nearest centroid it may be to the others.
+    fitted on. block_bytes: vectors of a piece, two of which meet in a task.
     """
     spark = vectors.sparkSession
     rows = cut(prepared(vectors))
@@ -200,54 +244,94 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, o
         got = picked.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < rate * 1_000_000).select("cls", "key", "vec").orderBy("cls", "key").toPandas()
         for c, g in got.groupby("cls"):
             x = np.stack([np.frombuffer(v) for v in g["vec"]])
-            centre[c] = centroids(x, parts[c])
+            m = centroids(x, parts[c])
+            centre[c] = m[np.argsort(m @ np.linalg.svd(m, full_matrices=False)[2][0])]  # near ones next to each other
     shared = spark.sparkContext.broadcast(centre)
 
+    def by_class(b, most=1 << 22):
+        """Class, its centroids and the places of some of its rows in a batch, with their vectors."""
+        cls, vec = b.column("cls").to_pylist(), b.column("vec").to_pylist()
+        by: dict[str, list[int]] = {}
+        for i, c in enumerate(cls):
+            by.setdefault(c, []).append(i)
+        for c, at in by.items():
+            m = shared.value.get(c)
+            step = max(16, most // (1 if m is None else len(m)))
+            for a in range(0, len(at), step):
+                yield c, m, at[a : a + step], np.stack([np.frombuffer(vec[i]) for i in at[a : a + step]])
+
     def assign(batches):
         for b in batches:
-            cls, vec = b.column("cls").to_pylist(), b.column("vec").to_pylist()
-            lists: list[list[str]] = [[] for _ in cls]
-            by: dict[str, list[int]] = {}
-            for i, c in enumerate(cls):
-                by.setdefault(c, []).append(i)
-            for c, at in by.items():
-                m = shared.value.get(c)
-                if m is None:
-                    for i in at:
-                        lists[i] = [f"{c}/0"]
-                    continue
-                for a in range(0, len(at), 1024):
-                    part = at[a : a + 1024]
-                    s = np.stack([np.frombuffer(vec[i]) for i in part]) @ m.T
-                    k = min(overlap, s.shape[1])
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    ok = np.take_along_axis(s, top, 1) >= s.max(axis=1, keepdims=True) - margin
-                    for i, t, o in zip(part, top, ok, strict=True):
-                        lists[i] = sorted(f"{c}/{j}" for j in t[o])
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("vec"), pa.array(lists, pa.list_(pa.string()))], ["node", "n", "vec", "shards"])
-
-    member = cut(nodes.select("node", "n", "vec", "cls").mapInArrow(assign, "node long, n long, vec binary, shards array<string>").withColumn("shard", F.explode("shards")))
-
-    def lists_of(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        x = np.stack([np.frombuffer(v) for v in t["vec"].to_pylist()])
-        ids = np.asarray(t["node"].combine_chunks(), np.int64)
-        adj = build(x, pool, degree, alpha)
-        return pa.table({"node": t["node"], "near": pa.array([ids[a].tolist() for a in adj], pa.list_(pa.int64()))})
-
-    united = member.select("shard", "node", "vec").groupBy("shard").applyInArrow(lists_of, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most `overlap` lists
+            home, near = np.zeros(b.num_rows, np.int32), np.full(b.num_rows, -1.0)
+            for _, m, at, x in by_class(b):
+                if m is not None:
+                    s = x @ m.T
+                    home[at], near[at] = np.argmax(s, axis=1), s.max(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(near)], [*b.schema.names, "home", "near"])
+
+    housed = cut(nodes.select("cls", "key", "node", "n", "vec").mapInArrow(assign, "cls string, key binary, node long, n long, vec binary, home int, near double"))
+    # pieces of at most block_bytes of vectors: runs of whole shards, or parts of one shard
+    runs: dict[str, list] = {}
+    for r in housed.groupBy("cls", "home").agg(F.count("*").alias("n"), F.min("near").alias("near")).orderBy("cls", "home").collect():  # one row a centroid
+        most = max(256, block_bytes // (8 * int(r["cls"].rsplit(":", 1)[1])))
+        own = runs.setdefault(r["cls"], [])
+        if own and own[-1]["n"] + r["n"] <= most:
+            own[-1]["n"] += r["n"]
+        else:
+            own.append({"n": r["n"], "first": r["home"], "most": most})
+        own[-1].setdefault("angle", {})[r["home"]] = float(np.arccos(np.clip(r["near"], -1, 1)))
+    plan = {}
+    for c, own in runs.items():
+        count = np.array([-(-w["n"] // w["most"]) for w in own])
+        radius = np.full(len(centre[c]) if c in centre else 1, -np.inf)  # of empty shards
+        for w in own:
+            for h, v in w["angle"].items():
+                radius[h] = v
+        plan[c] = np.array([w["first"] for w in own]), count, np.cumsum(count) - count, radius
+    laid = spark.sparkContext.broadcast(plan)
+    angle, width = np.arccos(least), np.sqrt(2 - 2 * least)
+
+    def deal(batches):
+        for b in batches:
+            home, key = np.asarray(b.column("home")), b.column("key").to_pylist()
+            piece, cells = np.zeros(b.num_rows, np.int32), [[] for _ in key]
+            for c, m, at, x in by_class(b):
+                first, count, start, radius = laid.value[c]
+                h = home[at]
+                run = np.searchsorted(first, h, side="right") - 1
+                own = start[run] + np.array([int.from_bytes(key[i][:6], "big") for i in at]) % count[run]
+                piece[at] = own
+                if m is None or len(first) == 1:
+                    met = np.ones((len(at), len(first)), bool)
+                else:
+                    # a pair in range lies within the range of the plane between its two shards, and within the range of both shards' balls
+                    s = x @ m.T
+                    apart = np.sqrt(np.maximum(2 - 2 * m[h] @ m.T, 0))
+                    ok = s[np.arange(len(at)), h][:, None] - s <= width * apart + 1e-6
+                    ok &= np.arccos(np.clip(s, -1, 1)) <= radius + angle + 1e-6
+                    ok[np.arange(len(at)), h] = True
+                    met = np.logical_or.reduceat(ok, np.append(0, first[1:]), axis=1)
+                met = np.repeat(met, count, axis=1)
+                for i, p, w in zip(at, own.tolist(), met, strict=True):
+                    cells[i] = [f"{c}/{min(p, q)}/{max(p, q)}" for q in np.flatnonzero(w).tolist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("vec"), b.column("home"), pa.array(piece), pa.array(cells, pa.list_(pa.string()))], ["node", "n", "vec", "home", "piece", "cells"])
+
+    met = housed.select("cls", "key", "node", "n", "vec", "home").mapInArrow(deal, "node long, n long, vec binary, home int, piece int, cells array<string>").withColumn("cell", F.explode("cells")).drop("cells")
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("piece", "ascending"), ("home", "ascending"), ("node", "ascending")])
+        x = np.frombuffer(b"".join(t["vec"].to_pylist())).reshape(t.num_rows, -1)
+        ids, mult, home, piece = (np.asarray(t[k].combine_chunks()) for k in ("node", "n", "home", "piece"))
+        sides = [np.flatnonzero(piece == p) for p in sorted({int(p) for p in t["cell"][0].as_py().rsplit("/", 2)[1:]})]
+        links, low = compare(x, mult, home, sides, least)
+        some = np.flatnonzero(links)
+        return pa.table({"node": pa.array(ids[some]), "links": pa.array(links[some]), "low": pa.array(ids[low[some]])})
 
     def find(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
         x = np.stack([np.frombuffer(v) for v in t["vec"].to_pylist()])
         ids, mult = np.asarray(t["node"].combine_chunks(), np.int64), np.asarray(t["n"].combine_chunks(), np.int64)
-        own, shards, n = t["shard"][0].as_py(), t["shards"].to_pylist(), len(ids)
-        near = []
-        for v in t["near"].to_pylist():
-            w = np.array(v or [], np.int64)
-            i = np.searchsorted(ids, w)
-            i[i == n] = 0
-            near.append(i[ids[i] == w] if len(w) else i)
+        near, n = build(x, pool, degree, alpha), len(ids)
         table = np.full((n, max(1, max(map(len, near)))), -1)
         for i, v in enumerate(near):
             table[i, : len(v)] = v
@@ -259,14 +343,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, o
         ok = np.array([float((x[i] * x[j]).sum()) / np.sqrt(float((x[i] * x[i]).sum()) * float((x[j] * x[j]).sum())) >= least for i, j in zip(a, b, strict=True)], bool)
         a, b = a[ok], b[ok]
         low = forest(n, a, b)
-        first = np.array([min(set(shards[i]) & set(shards[j])) == own for i, j in zip(a, b, strict=True)], bool)
-        links = np.bincount(a[first], mult[b[first]], n) + np.bincount(b[first], mult[a[first]], n)
+        links = np.bincount(a, mult[b], n) + np.bincount(b, mult[a], n)
         return pa.table({"node": pa.array(ids), "links": pa.array(links.astype(np.int64)), "low": pa.array(ids[low])})
 
-    found = cut(member.join(united, "node").groupBy("shard").applyInArrow(find, "node long, links long, low long"))
+    out = "node long, links long, low long"
+    within = housed.select("cls", "home", "node", "n", "vec").groupBy("cls", "home").applyInArrow(find, out)
+    found = cut(within.unionByName(met.groupBy("cell").applyInArrow(meet, out)))
     comp = components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = cut(nodes.select("cls", "key", "node", "n").join(links, "node").join(comp, "node", "left").select("cls", "key", "node", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    known = cut(nodes.select("cls", "key", "node", "n").join(links, "node", "left").join(comp, "node", "left").select("cls", "key", "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
     out = rows.where("key is not null").select("vec_id", "cls", "key").join(known, ["cls", "key"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -55,6 +55,21 @@ def test_op4_brute_force(spark, shard):
     assert neardup.audit_recall(df, out) >= 0.9
 
 
+def test_op4_family_over_many_shards(spark):
+    r = np.random.default_rng(5)
+    near = r.standard_normal(64) + r.standard_normal((2400, 64)) * 0.23  # mean cosine 0.95, links astride of all its shards
+    x = np.concatenate([near, r.standard_normal((1200, 64))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    for block_bytes in (8 << 20, 300 * 64 * 8):  # one piece, and many that meet two by two
+        out = neardup.near_duplicates(df, shard=60, block_bytes=block_bytes).cache()
+        got = {r["vec_id"]: r["n_links"] for r in out.collect()}
+        found = sum(min(got[i], n) for i, n in enumerate(want.tolist()))
+        assert len(got) == len(x) and found >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want.tolist()))
+        assert neardup.audit_recall(df, out) >= 0.99
+
+
 def test_op4_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert neardup.near_duplicates(df).count() == 0
