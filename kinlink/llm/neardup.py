@@ -1,18 +1,13 @@
-"""Op 4: near-duplicate embeddings by a robust-pruned flat graph.
+"""Op 4: near-duplicate embeddings by exact comparison of shards in blocks.
 
 Vectors are compared within a class (equal label, equal dimension) by cosine
 in double precision. Equal vectors are one node. A class is divided into
-shards around centroids (fitted on a bounded sample). In each shard every
-vector gets a robust-pruned list of neighbours and the shard searches this
-graph, from its medoid, for all of its vectors: a beam descends greedily and,
-while what it holds is in range, grows, so that the search expands through
-everything in range. Hits are verified in double precision.
-
-Pairs of different shards are compared exactly, in blocks: shards form pieces
-of `block_bytes` of vectors, and a vector goes to every pair of pieces where a
-vector in range can lie by the planes between centroids and the shards' radii.
-No such pair is left out; in a class without clusters all pieces meet, which
-is quadratic in the class.
+shards around centroids (fitted on a bounded sample); shards form pieces of
+`block_bytes` of vectors, and two pieces, or one with itself, meet in a task.
+A vector goes to every pair of pieces where a vector in range can lie by the
+planes between centroids and the shards' radii, and is compared there by
+matrix products. No pair in range is left out; in a class without clusters all
+pieces meet, which is quadratic in the class.
 
 A pair is counted in one place and never shuffled: what is reported are link
 counts and a spanning forest. The broadcasts (centroids, pieces) are bounded
@@ -72,102 +67,6 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6, seed: int = 2) -> np.ndarr
     return c
 
 
-def robust_prune(x: np.ndarray, node: int, cand: np.ndarray, sim: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Neighbours of one node among candidates ordered by falling similarity; a candidate much nearer to a kept one than to the node goes."""
-    kept: list[int] = []
-    alive = np.ones(len(cand), bool)
-    dist = 1 - sim
-    between = 1 - x[cand] @ x[cand].T
-    for i in range(len(cand)):
-        if alive[i]:
-            kept.append(i)
-            if len(kept) == degree:
-                break
-            alive &= alpha * between[i] > dist
-    return cand[kept]
-
-
-def build(x: np.ndarray, pool: int, degree: int, alpha: float) -> list[np.ndarray]:
-    """Robust-pruned lists of all vectors of a shard, made symmetric."""
-    n = len(x)
-    out: list[list[int]] = [[] for _ in range(n)]
-    k = min(pool, n - 1)
-    if k < 1:
-        return [np.zeros(0, np.int64) for _ in out]
-    for a in range(0, n, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        val = np.take_along_axis(s, top, 1)
-        o = np.argsort(-val, axis=1, kind="stable")
-        top, val = np.take_along_axis(top, o, 1), np.take_along_axis(val, o, 1)
-        for i in range(len(s)):
-            for j in robust_prune(x, a + i, top[i], val[i], degree, alpha).tolist():
-                out[a + i].append(j)
-                out[j].append(a + i)
-    return [np.unique(v) for v in out]
-
-
-def search(x: np.ndarray, table: np.ndarray, queries: np.ndarray, beam: int, reach: float, slack: float = 0.2):
-    """Greedy beam search from the medoid for many queries at once; returns (query place, hit) with similarity >= reach.
-
-    table: neighbours, padded with -1. Queries are nodes: once a query has
-    met itself, its search goes on through nodes within `slack` of the range
-    and ends where none is left. The beam of a query grows fourfold while half
-    of it is in range.
-    """
-    n = len(x)
-    mean = x.sum(axis=0)
-    medoid = int(np.argmax(x @ mean))
-    got_q, got_h = [], []
-    todo = np.arange(len(queries))
-    width = min(beam, n)
-    while len(todo):
-        again = []
-        for a in range(0, len(todo), max(1, 32_768 // (width + table.shape[1]))):
-            t = todo[a : a + max(1, 32_768 // (width + table.shape[1]))]
-            q = x[queries[t]]
-            seen = np.zeros((len(t), n), bool)
-            ids = np.full((len(t), width), -1)
-            val = np.full((len(t), width), -2.0)
-            done = np.ones((len(t), width), bool)
-            ids[:, 0], val[:, 0], done[:, 0] = medoid, q @ x[medoid], False
-            seen[:, medoid] = True
-            rows = np.arange(len(t))
-            while len(rows):
-                v = np.where(done[rows], -3.0, val[rows])
-                best = np.argmax(v, axis=1)
-                top = v[np.arange(len(rows)), best]
-                on = (top > -3.0) & ~(seen[rows, queries[t[rows]]] & (top < reach - slack))
-                rows, best = rows[on], best[on]
-                if not len(rows):
-                    break
-                done[rows, best] = True
-                near = table[ids[rows, best]]
-                new = (near >= 0) & ~seen[rows[:, None], near]
-                r, c = np.nonzero(new)
-                if not len(r):
-                    continue
-                h = near[r, c]
-                seen[rows[r], h] = True
-                s = np.full(near.shape, -2.0)
-                s[r, c] = np.einsum("ij,ij->i", q[rows[r]], x[h])
-                ids2 = np.concatenate([ids[rows], np.where(new, near, -1)], 1)
-                val2 = np.concatenate([val[rows], s], 1)
-                done2 = np.concatenate([done[rows], ~new], 1)
-                o = np.argpartition(-val2, width - 1, axis=1)[:, :width]
-                ids[rows], val[rows], done[rows] = (np.take_along_axis(z, o, 1) for z in (ids2, val2, done2))
-            hit = val >= reach
-            full = (hit.sum(axis=1) * 2 >= width) & (width < n)
-            again.append(t[full])
-            r, c = np.nonzero(hit & ~full[:, None])
-            got_q.append(t[r])
-            got_h.append(ids[r, c])
-        todo = np.concatenate(again)
-        width = min(width * 4, n)
-    return (np.concatenate(got_q), np.concatenate(got_h)) if got_q else (np.zeros(0, np.int64),) * 2
-
-
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node reachable from each node."""
     low = np.arange(n)
@@ -180,8 +79,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return low
 
 
-def compare(x: np.ndarray, mult: np.ndarray, home: np.ndarray, sides: list[np.ndarray], least: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Link counts and smallest node reachable, over all pairs of different homes within one side or between two.
+def compare(x: np.ndarray, mult: np.ndarray, sides: list[np.ndarray], least: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Link counts and smallest node reachable, over all pairs within one side or between two.
 
     Tiles of rows meet by matrix products; two tiles whose angle exceeds their
     radii and the range's angle together cannot hold a pair.
@@ -210,7 +109,8 @@ def compare(x: np.ndarray, mult: np.ndarray, home: np.ndarray, sides: list[np.nd
         for i, j in zip(*np.nonzero(np.abs(s - least) < 1e-9), strict=True):
             u, v = x[a[i]], x[b[j]]
             hit[i, j] = float((u * v).sum()) / np.sqrt(float((u * u).sum()) * float((v * v).sum())) >= least
-        hit &= home[a][:, None] != home[b]
+        if same:
+            np.fill_diagonal(hit, False)
         if not hit.any():
             continue
         links[a] += hit @ mult[b].astype(np.float64)
@@ -222,7 +122,7 @@ def compare(x: np.ndarray, mult: np.ndarray, home: np.ndarray, sides: list[np.nd
     return links.astype(np.int64), low
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, pool: int = 48, degree: int = 20, alpha: float = 1.2, beam: int = 48, per_centroid: int = 24, max_centroids: int = 50_000, block_bytes: int = 8 << 20) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, per_centroid: int = 24, max_centroids: int = 50_000, block_bytes: int = 8 << 20) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
 
     per_centroid x number of centroids bounds the sample that centroids are
@@ -321,34 +221,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, p
     def meet(t: pa.Table) -> pa.Table:
         t = t.sort_by([("piece", "ascending"), ("home", "ascending"), ("node", "ascending")])
         x = np.frombuffer(b"".join(t["vec"].to_pylist())).reshape(t.num_rows, -1)
-        ids, mult, home, piece = (np.asarray(t[k].combine_chunks()) for k in ("node", "n", "home", "piece"))
+        ids, mult, piece = (np.asarray(t[k].combine_chunks()) for k in ("node", "n", "piece"))
         sides = [np.flatnonzero(piece == p) for p in sorted({int(p) for p in t["cell"][0].as_py().rsplit("/", 2)[1:]})]
-        links, low = compare(x, mult, home, sides, least)
+        links, low = compare(x, mult, sides, least)
         some = np.flatnonzero(links)
         return pa.table({"node": pa.array(ids[some]), "links": pa.array(links[some]), "low": pa.array(ids[low[some]])})
 
-    def find(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        x = np.stack([np.frombuffer(v) for v in t["vec"].to_pylist()])
-        ids, mult = np.asarray(t["node"].combine_chunks(), np.int64), np.asarray(t["n"].combine_chunks(), np.int64)
-        near, n = build(x, pool, degree, alpha), len(ids)
-        table = np.full((n, max(1, max(map(len, near)))), -1)
-        for i, v in enumerate(near):
-            table[i, : len(v)] = v
-        q, h = search(x, table, np.arange(n), beam, least)
-        a, b = np.minimum(q, h), np.maximum(q, h)
-        pair = np.unique(a[a != b] * n + b[a != b])
-        a, b = pair // n, pair % n
-        # verified as the whole operator compares: double precision, both norms
-        ok = np.array([float((x[i] * x[j]).sum()) / np.sqrt(float((x[i] * x[i]).sum()) * float((x[j] * x[j]).sum())) >= least for i, j in zip(a, b, strict=True)], bool)
-        a, b = a[ok], b[ok]
-        low = forest(n, a, b)
-        links = np.bincount(a, mult[b], n) + np.bincount(b, mult[a], n)
-        return pa.table({"node": pa.array(ids), "links": pa.array(links.astype(np.int64)), "low": pa.array(ids[low])})
-
-    out = "node long, links long, low long"
-    within = housed.select("cls", "home", "node", "n", "vec").groupBy("cls", "home").applyInArrow(find, out)
-    found = cut(within.unionByName(met.groupBy("cell").applyInArrow(meet, out)))
+    found = cut(met.groupBy("cell").applyInArrow(meet, "node long, links long, low long"))
     comp = components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = cut(nodes.select("cls", "key", "node", "n").join(links, "node", "left").join(comp, "node", "left").select("cls", "key", "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))

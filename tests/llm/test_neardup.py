@@ -70,6 +70,15 @@ def test_op4_family_over_many_shards(spark):
         assert neardup.audit_recall(df, out) >= 0.99
 
 
+@pytest.mark.parametrize("groups", [(60,) * 10, (60, 60), (60, 120, 200, 300)])
+def test_op4_groups_of_copies_only(spark, groups):
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.standard_normal(64) + r.standard_normal((n, 64)) * 0.1 for n in groups])
+    data = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    out = neardup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == brute(data)
+
+
 def test_op4_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert neardup.near_duplicates(df).count() == 0
