@@ -17,9 +17,9 @@ from kinlink.llm.shared import table
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Drops documents with a toxicity of 0.3 or more."""
+    """Drops documents with a toxicity of 0.3 or more; keeps all where the labels lack a class and no model can be trained."""
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))
-    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), learn).where("toxicity < 0.3").drop("toxicity")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), learn, untrained=0.0).where("toxicity < 0.3").drop("toxicity")
 
 
 def drop_near_duplicates(spark, docs, sf_dir):

@@ -26,3 +26,13 @@ def test_stages_take_effect(spark):
     assert docs.count() < before
     mix = p.STAGES[-1][1](spark, docs, D)
     assert mix.count() == docs.count() and mix.where("taken > 2 * size").count() == 0
+
+
+def test_toxicity_keeps_all_without_a_model(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(i, f"clean document {i}") for i in range(8)], "doc_id long, text string")
+    for name, labels in (("empty", []), ("one_class", [(i, 1, 0) for i in range(8)])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = p.drop_toxic(spark, docs, f"{tmp_path}/{name}")
+        assert out.columns == docs.columns and out.count() == 8
