@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from kinlink.llm import decontam, mixing, ngram_join, secrets, toxicity
-from kinlink.llm.shared import table
+from kinlink.llm.shared import cut, table
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -23,14 +23,23 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Keeps of every group of linked documents the one with the smallest doc_id (null: all stay), once."""
-    groups = ngram_join.near_duplicate_groups(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Keeps one row of every group of linked rows: of the smallest doc_id (null: after all others), then of the smallest key.
+
+    Rows are told apart by a 64-bit digest of doc_id and text, so texts under
+    one doc_id are judged one by one. Rows without words link with nothing and stay.
+    """
+    key = "__kl_key"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = ngram_join.near_duplicate_groups(keyed.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0")
+    rows = groups.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("n")).withColumnRenamed("doc_id", key)
+    rows = cut(rows.join(keyed.select(key, "doc_id").distinct(), key))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("best"), F.count("*").alias("keys")).where("keys > 1")
+    gone = rows.join(best, "component").where(f"{key} <> best.{key}").select(key)
+    kept = keyed.join(gone, key, "left_anti")
+    again = rows.where("n > 1").select(key)
+    if not again.isEmpty():
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+    return kept.select(docs.columns)
 
 
 def drop_contaminated(spark, docs, sf_dir):

@@ -36,3 +36,19 @@ def test_toxicity_keeps_all_without_a_model(spark, tmp_path):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         out = p.drop_toxic(spark, docs, f"{tmp_path}/{name}")
         assert out.columns == docs.columns and out.count() == 8
+
+
+def test_near_duplicates_one_row_of_each_group(spark, prose):
+    import random
+
+    import corpus_pipeline as p
+
+    r = random.Random(4)
+    a, b, c, d, e, f = (prose(r, 40) for _ in range(6))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, d), (None, a), (None, e), (None, e + " more"), (None, f), (7, None), (7, ""), (8, "")]
+    out = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), None)
+    got = [(x["doc_id"], x["text"]) for x in out.collect()]
+    assert out.columns == ["doc_id", "text"]
+    assert sum(x in got for x in [(None, e), (None, e + " more")]) == 1
+    rest = [x for x in got if not (x[1] or "").startswith(e)]
+    assert sorted(rest, key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, f), (7, None), (7, ""), (8, "")], key=str)
