@@ -12,8 +12,9 @@ text. The windows are broadcast in blocks of `block_bytes` of benchmark text;
 a larger benchmark takes more passes, never a larger broadcast.
 
 Words: A-Z lower-cased, then `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A null or
-empty text has no words; an item without words, or with a null id, has no windows. Repeated
-rows are judged one by one.
+empty text has no words; an item without words has no
+windows. An item with a null id has windows but no place in n_items and
+items_sha256. Repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -42,9 +43,11 @@ class Windows:
             buf = tk.LOWER[np.frombuffer((text or "").encode(), np.uint8)] if text else np.zeros(0, np.uint8)
             s, e, _ = tk.words(buf, np.array([0, len(buf)]), tk.ALNUM)
             w = [buf[a:b].tobytes() for a, b in zip(s, e, strict=True)]
-            if w and item is not None:
+            if w:
                 for i in range(max(1, len(w) - window + 1)):
-                    seen.setdefault(b" ".join(w[i : i + window]), set()).add(str(item))
+                    ids = seen.setdefault(b" ".join(w[i : i + window]), set())
+                    if item is not None:
+                        ids.add(str(item))
         self.text = sorted(seen)
         self.items = [sorted(seen[t]) for t in self.text]
         self.length = np.array([t.count(b" ") + 1 for t in self.text], np.int64)
@@ -102,10 +105,10 @@ def _slices(batches):
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     n = max(1, -(-int(b.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // block_bytes))
     for i in range(n):
-        yield (b if n == 1 else b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)).toPandas()
+        yield (b if n == 1 else b.where(F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(n)) == i)).toPandas()
 
 
 def hits(docs: DataFrame, items: pd.DataFrame, carry: list[str], window: int = 10, shingle: int = 3, only_clean: bool = False) -> DataFrame:

@@ -179,6 +179,17 @@ def test_op6_brute_force(spark, documents, block):
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(x[0] for x in hits_by_brute_force(rows_of(docs), items) if not x[5])
 
 
+@pytest.mark.parametrize("block", [16 << 20, 100])
+def test_op6_items_without_id(spark, block):
+    said = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, f"before {said} after"), (2, "nothing of the kind"), (3, f"light {said}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, said), (None, None), (9, "light")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.find_contamination(docs, bench, block_bytes=block).collect()}
+    of = lambda *x: hashlib.sha256(",".join(x).encode()).hexdigest()
+    assert got == {1: (12, 0, of(), True), 2: (0, 0, of(), False), 3: (13, 1, of("9"), True)}
+    assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench, block_bytes=block).collect()] == [2]
+
+
 def test_op6_empty(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_contamination(documents, none).where("contaminated").count() == 0
