@@ -6,8 +6,9 @@ occur between the end of the previous match and the match itself, so its start
 is the first occurrence after that end.
 
 On top of them two character Markov models, of random strings and of ordinary
-identifiers, score every long token by the log-likelihood ratio of its
-transitions; tokens above the threshold and apart from base spans are added as
+identifiers, score every token of at least 12 characters by the log-likelihood
+ratio of its transitions; tokens above the threshold, which rises for those of
+less than 20 characters, and apart from base spans are added as
 kind `markov`. The models are trained on the driver from labelled samples
 (made by rule in `samples`, or given) and enter the plan as one constant array.
 
@@ -33,7 +34,7 @@ BASE = {
 SYMBOLS = string.ascii_lowercase + "A0_"
 _FROM = string.ascii_uppercase + string.digits + "+/_=-"
 _TO = "A" * 26 + "0" * 10 + "_" * 5
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 
 _WORDS = "get set user name account table value index count list item order total price date time file path read write open close start stop test main config option default handler request response server client session token cache buffer string number field column query result error message event stream thread process worker manager factory service module package version update delete insert select filter group merge split parse format encode decode when where which there their other with that this from have been were will would should could about after before between under over through nation action station information straße einheit freiheit möglich schnell gesellschaft verbindung entwicklung richtung zeichen nicht auch sich werden wurde haben einen eine und der die das gouvernement élément nous vous leur pour dans avec sont cette comme mais plus tout faire être aussi même temps après sans deux donde para como pero este esta todo sobre entre cuando tiempo también porque desde hasta nación mente ción".split()
 
@@ -90,9 +91,10 @@ def _located(text: str, matches: Column) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(matches, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<m:string,start:int,end:int>>"))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", threshold: float = 0.35, model: list[float] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", threshold: float = 0.35, model: list[float] | None = None, rise: float = 0.12) -> DataFrame:
     """docs with column `secrets`: array of (start, rank, kind, end) by start, then kind; rank 3 is `markov`.
 
+    A token of less than 20 characters needs `rise` more for each it lacks.
     Existing columns stay; one called secrets is replaced. Positions are code
     points, end exclusive.
     """
@@ -109,7 +111,7 @@ def find_secrets(docs: DataFrame, text: str = "text", threshold: float = 0.35, m
     d = d.withColumn("__kl_base", F.array_sort(F.concat(*spans)))
     d = d.withColumn("__kl_token", _located(t, F.expr(f"regexp_extract_all({t}, {_sql(TOKEN)}, 0)")))
     apart = lambda x: ~F.exists("__kl_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.transform(F.filter("__kl_token", lambda x: apart(x) & (likelihood(x["m"], model) > threshold)), lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("markov").alias("kind"), x["end"].alias("end")))
+    added = F.transform(F.filter("__kl_token", lambda x: apart(x) & (likelihood(x["m"], model) > F.lit(threshold) + F.lit(rise) * F.greatest(F.lit(0), 20 - F.length(x["m"])))), lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("markov").alias("kind"), x["end"].alias("end")))
     d = d.withColumn("secrets", F.array_sort(F.concat("__kl_base", F.when(F.size("__kl_token") > 0, added).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))))
     return d.drop(t, "__kl_base", "__kl_token", *[f"__kl_{k}" for k in BASE])
 

@@ -338,6 +338,16 @@ def test_op10_base_and_added(spark, documents):
     assert done[1003] == "[SECRET]" and done[1001] == "TOKEN: short" and done[1009] is None and done[1011].endswith("table and [SECRET] here")
 
 
+def test_op10_short_tokens(spark):
+    r = random.Random(12)
+    noise = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=12 + i % 8)) for i in range(400)]
+    words = ["gesellschaft_entwicklung", "get_user_name", "GetAccountTable", "zusammenarbeit", "gouvernements", "configuration", "administration", "read/file/path", "Aa1-Bb2-Cc3"]
+    docs = spark.createDataFrame(list(enumerate(noise + words)), "i int, text string")
+    got = {x["i"]: len(x["secrets"]) for x in secrets.find_secrets(docs).collect()}
+    assert sum(got[i] for i in range(400)) >= 0.95 * 400
+    assert not any(got[i] for i in range(400, len(got)))
+
+
 def test_op10_models():
     noise, names = secrets.samples(400, 3)
     m = secrets.train(*secrets.samples())
