@@ -9,19 +9,29 @@ hashes of its non-empty segments, and for the first d segments also by their
 one-deletion neighbourhoods. A segment allocates 1, or 2 where neighbourhoods
 are indexed (m and d per band by the cheapest expected index that suffices);
 if what a set allocates exceeds the bound on its differences, every partner
-shares an index entry with it (pigeonhole).
-
-What a set allocates beyond its bound, its slack, is a filter too: partners share
-at least slack + 1 entries, so pairs with fewer never reach verification.
-
-Cost. An entry that many sets own gets allocation 0: it only ties its owners to
-one hub. A set whose remaining allocation no longer exceeds the bound is
-*deficient*; it is compared with its hubs, and pairs of two deficient sets are
-found by an exact prefix filter, among those not in one component already.
-Every candidate is verified on the full 64-bit shingle hashes.
-
-Entries are packed, 8 bytes each, into one binary value per chunk of documents
-and bucket; equal sets are one node (by a 64-bit digest of the set).
+shares an index entry with it (pigeonhole). What a set allocates beyond its
+bound is its slack: partners share entries that allocate more than that.
+
+Three passes over ever fewer sets:
+
+1. All sets are indexed, packed 8 bytes an entry. A set whose shared entries
+   allocate no more than its slack can have no partner and leaves; the others
+   are *open*.
+2. Open sets, equal ones as one node, are indexed again by node. An entry's cost
+   is the number of its owners. Entries of up to `group` owners give pairs;
+   costlier ones get allocation 0. Pairs whose shared allocation is within the
+   slack of either go, as do those whose parity bitmaps differ in more bits than
+   the sets may differ in tokens (a bound, so nothing is lost). The rest is
+   verified: first one pair a set, then those of different components.
+3. Sets that costly entries have left with less than their bound, the
+   *deficient* ones, can only miss each other, and only through a shared costly
+   entry. They are laid in blocks by their costliest entry and component; blocks
+   that own a costly entry in common meet in a task, which reports a spanning
+   forest of the links. No pairs are made; two blocks of one and the same
+   component do not meet.
+
+Hashes find and filter; whether a pair links is decided on the bytes of its
+shingles. Equal sets are told by 128 bits of digest.
 """
 
 from __future__ import annotations
@@ -31,41 +41,88 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kinlink.llm import textkit as tk
 from kinlink.llm.shared import components, cut, text_bytes
 
 U64 = np.uint64
 SLICE = 1 << 20
-CHUNK_DOCS = 16_000
-PACKED = "bucket int, kind int, a long, b long, n int, s0 int, s1 int, payload binary"
-FOUND = "kind int, a long, b long, n int, s0 int, s1 int, l0 long, l1 long"
+CHUNK_DOCS = 1 << 14
+PACKED = "bucket int, chunk long, doc_id long, d0 long, d1 long, n int, s0 int, s1 int, names binary, payload binary"
+MET = "kind int, a long, b long, x long, y long"
+
+
+class Shingles:
+    """Shingle sets of some texts: sorted distinct hashes, and where each shingle first stands."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, shingle: int):
+        self.low = tk.LOWER[buf]
+        self.s, self.e, first = tk.words(self.low, off, tk.NOT_SPACE)
+        h = tk.word_hash(self.low, self.s, self.e)
+        g = tk.gram_hash(h, shingle)
+        self.sets, self.at, self.width = [], [], np.minimum(np.diff(first), shingle)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            own = g[a : b - shingle + 1] if b - a >= shingle else tk.gram_hash(h[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+            u, i = np.unique(own, return_index=True)
+            self.sets.append(u)
+            self.at.append(a + i)
+
+    def exact(self, i: int) -> set[tuple[bytes, ...]]:
+        w, k = int(self.width[i]), sorted(self.at[i].tolist())
+        if not k:
+            return set()
+        words = [self.low[a:b].tobytes() for a, b in zip(self.s[k[0] : k[-1] + w].tolist(), self.e[k[0] : k[-1] + w].tolist(), strict=True)]
+        return {tuple(words[j : j + w]) for j in range(len(words) - w + 1)}
+
+
+def linked(x: Shingles, i: int, y: Shingles, j: int, percent: int) -> bool:
+    """Whether two sets link: counted by hashes, then confirmed on the bytes of the shared shingles."""
+    a, b = x.sets[i], y.sets[j]
+    if not len(a) or not len(b):
+        return False
+    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+        return False
+    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if 100 * len(ia) < percent * (len(a) + len(b) - len(ia)):
+        return False
+    w = int(x.width[i])
+    if w == int(y.width[j]):
+        wa = (x.at[i][ia][:, None] + np.arange(w)).ravel()
+        wb = (y.at[j][ib][:, None] + np.arange(w)).ravel()
+        size = x.e[wa] - x.s[wa]
+        if (size == y.e[wb] - y.s[wb]).all() and (x.low[tk.ranges(x.s[wa], size)] == y.low[tk.ranges(y.s[wb], size)]).all():
+            return True
+    u, v = x.exact(i), y.exact(j)  # two shingles of one hash: decide without hashes
+    return 100 * len(u & v) >= percent * len(u | v)
+
+
+def digest_of(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed 64-bit integers."""
+    if not len(s):
+        return 0, 0
+    size = U64(len(s) * 0x9E3779B1)
+    x = np.array([tk.mix(s + U64(0x1234567)).sum(dtype=np.uint64) + size, tk.mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) - size], np.uint64)
+    a, b = tk.mix(x).view(np.int64).tolist()
+    return a, b
 
 
-def sets_of(buf: np.ndarray, off: np.ndarray, shingle: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every document."""
-    low = tk.LOWER[buf]
-    s, e, first = tk.words(low, off, tk.NOT_SPACE)
-    h = tk.span_hash(tk.prefix_hash(low), s, e)
-    g = tk.gram_hash(h, shingle)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= shingle:
-            out.append(np.unique(g[a : b - shingle + 1]))
-        else:
-            out.append(tk.gram_hash(h[a:b], b - a) if b > a else np.zeros(0, np.uint64))
-    return out
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each value that an odd number of tokens hash to; two sets differ in as many tokens at least as their bitmaps in bits."""
+    bits = 1 << min(15, max(9, int(2 * len(s) - 1).bit_length()))
+    at = (tk.mix(s + U64(0x77)) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def digest_of(s: np.ndarray) -> int:
-    """Digest of a set, as a signed 64-bit integer."""
-    if not len(s):
-        return 0
-    x = tk.mix(s + U64(0x1234567)).sum(dtype=np.uint64)
-    return int(tk.mix(np.array([x + U64(len(s) * 0x9E3779B1)], np.uint64)).view(np.int64)[0])
+def folded(x, size: int) -> np.ndarray:
+    """A bitmap of parities brought to fewer 64-bit words."""
+    v = np.frombuffer(x, np.uint64)
+    while len(v) > size:
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return v
 
 
 class Bands:
@@ -115,7 +172,7 @@ class Bands:
 
 
 def entries(flat: np.ndarray, off: np.ndarray, bands: Bands):
-    """Index entries of sets (flat, sorted within off): 64-bit signature, set, flags (role, weight - 1); and both slacks of the sets."""
+    """Index entries of sets (flat, sorted within off): 64-bit signature, set, flags (role, segment's allocation - 1); and both slacks of the sets."""
     n = np.diff(off)
     own = bands.band(np.maximum(n, 1))
     mixed = tk.mix(flat + U64(0xABCDEF))
@@ -148,7 +205,7 @@ def entries(flat: np.ndarray, off: np.ndarray, bands: Bands):
             of = np.repeat(some, size[some])
             sig_all.append(tk.mix(total[of] - x[at] + salt[of]))
             set_all.append(dd[i[of]])
-            flag_all.append(np.full(len(at), role * 2, np.int64))
+            flag_all.append(np.full(len(at), role * 2 + 1, np.int64))
         have = np.bincount(dd[i], 1 + two, len(n)).astype(np.int64)
         need = bands.need(np.maximum(n, 1), role == 0)
         # no set may be missed where the instance has no other sizes to meet
@@ -158,12 +215,56 @@ def entries(flat: np.ndarray, off: np.ndarray, bands: Bands):
     return cat(sig_all).astype(np.uint64), cat(set_all), cat(flag_all), slack
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def _packed(sets: list[np.ndarray], bands: Bands, n_buckets: int, names: np.ndarray | None = None):
+    """Both slacks of a chunk's sets, and for each bucket the names of its sets (where given) and its entries: 48 bits of signature, 14 of set, 2 of flags."""
+    off = np.append(0, np.cumsum([len(s) for s in sets]))
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    sig, of, flag, slack = entries(flat, off, bands)
+    bucket = (((sig >> U64(48)) * U64(n_buckets)) >> U64(16)).astype(np.int64)
+    o = np.argsort(bucket, kind="stable")
+    sig, of, flag, cuts = sig[o], of[o].astype(np.uint64), flag[o].astype(np.uint64), np.searchsorted(bucket[o], np.arange(n_buckets + 1))
+    out = []
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[k], cuts[k + 1])
+        local, own = of[part], None
+        if names is not None:
+            used, local = np.unique(local, return_inverse=True)
+            own = names[used.astype(np.int64)].tobytes()
+        out.append((k, own, ((sig[part] << U64(16)) | (local.astype(np.uint64) << U64(2)) | flag[part]).tobytes()))
+    return slack, out
+
+
+def _unpacked(t: pa.Table):
+    """Signatures that two sets or more own, by signature and set: signature, set, role, allocation."""
+    sig, name, flag = [], [], []
+    for chunk, own, p in zip(t["chunk"].to_pylist(), t["names"].to_pylist(), t["payload"].to_pylist(), strict=True):
+        e = np.frombuffer(p, np.uint64)
+        local = ((e >> U64(2)) & U64(CHUNK_DOCS - 1)).astype(np.int64)
+        sig.append(e >> U64(16))
+        name.append(np.frombuffer(own, np.int64)[local] if own is not None else (chunk << 14) + local)
+        flag.append((e & U64(3)).astype(np.int8))
+    sig, name, flag = map(np.concatenate, (sig, name, flag))
+    o = np.argsort(sig, kind="stable")
+    s = sig[o]
+    same = np.zeros(len(s), bool)
+    same[1:] = s[1:] == s[:-1]
+    same[:-1] |= same[1:]
+    o = o[same]
+    o = o[np.lexsort((name[o], sig[o]))]
+    sig, name, flag = sig[o], name[o], flag[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
+    sig, name, flag = sig[new], name[new], flag[new]
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+    return sig, name, flag >> 1, (flag & 1).astype(np.int64) + 1, first, np.diff(np.append(first, len(sig)))
+
+
+def _met(kind: int, a, b, x=None, y=None) -> pa.Table:
+    z = np.zeros(len(a), np.int64)
+    return pa.table({"kind": pa.array(np.full(len(a), kind), pa.int32()), **{k: pa.array(z if v is None else np.asarray(v).astype(np.int64)) for k, v in (("a", a), ("b", b), ("x", x), ("y", y))}})
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75, chunk_bytes: int = 6 << 20, group: int = 24, filter_bits: int = 23) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75, chunk_bytes: int = 6 << 20, group: int = 16, block: int = 512, filter_bits: int = 23) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
     A set holds the distinct runs of `shingle` words (A-Z lower-cased,
@@ -172,48 +273,30 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
     component_id is the smallest doc_id reachable; rows with null doc_id can
     connect others and get their component's smallest id. Repeated rows are
     linked rows. group: sets that may own an index entry before it counts as
-    costly; filter_bits: size of the broadcast row filter (2**bits bits).
+    costly; block: deficient sets of a block, two of which meet in a task;
+    filter_bits: size of the broadcast row filter (2**bits bits).
     """
     assert 50 <= percent <= 100
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_buckets = max(1, -(-text_bytes(docs) // chunk_bytes))
-    bands = percent  # rebuilt on the executors: its tables are small
+    columns = [x.split()[0] for x in PACKED.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in PACKED.split(", ")]
+
+    def batch(rows: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(rows, t) for c, t in zip(columns, kinds, strict=True)], columns)
 
+    # 1: which sets share enough entries to have a partner at all
     def index(batches):
-        b_ = Bands(bands)
+        bands, part, count = Bands(percent), TaskContext.get().partitionId(), 0
 
         def emit(ids, sets):
-            n = np.array([len(s) for s in sets], np.int64)
-            nodes = np.array([digest_of(s) for s in sets], np.int64)
-            first = np.zeros(len(sets), bool)
-            first[np.unique(nodes, return_index=True)[1]] = True
-            use = np.flatnonzero(first & (n > 0))
-            off = np.append(0, np.cumsum(n[use]))
-            flat = np.concatenate([sets[i] for i in use]) if len(use) else np.zeros(0, np.uint64)
-            sig, of, flag, slack = entries(flat, off, b_)
-            s0, s1 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-            if len(use):
-                order = np.argsort(nodes[use])
-                at = np.minimum(np.searchsorted(nodes[use], nodes, sorter=order), len(use) - 1)
-                s0, s1 = slack[0][order[at]], slack[1][order[at]]
-            rows = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.abs(nodes % n_buckets), pa.int32()), pa.array(np.zeros(rows), pa.int32()), pa.array(nodes), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(s0, pa.int32()), pa.array(s1, pa.int32()), pa.array([None] * rows, pa.binary())],
-                NAMES,
-            )
-            if not len(sig):
-                return
-            bucket = (((sig >> U64(48)) * U64(n_buckets)) >> U64(16)).astype(np.int64)
-            packed = (sig << U64(16)) | (of.astype(np.uint64) << U64(2)) | flag.astype(np.uint64)
-            o = np.argsort(bucket, kind="stable")
-            packed, cuts = packed[o], np.searchsorted(bucket[o], np.arange(n_buckets + 1))
-            table = np.concatenate([nodes[use], n[use]]).tobytes()
-            got = [i for i in range(n_buckets) if cuts[i + 1] > cuts[i]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(got, pa.int32()), pa.array([1] * len(got), pa.int32()), *[pa.array([None] * len(got), t) for t in (pa.int64(), pa.int64())], pa.array([len(use)] * len(got), pa.int32()), *[pa.array([None] * len(got), pa.int32())] * 2, pa.array([table + packed[cuts[i] : cuts[i + 1]].tobytes() for i in got], pa.binary())],
-                NAMES,
-            )
+            chunk = (part << 24) + count
+            slack, out = _packed(sets, bands, n_buckets)
+            d = [digest_of(s) for s in sets]
+            at = range(chunk << 14, (chunk << 14) + len(sets))
+            yield batch(len(sets), bucket=[x[0] % n_buckets for x in d], chunk=list(at), doc_id=ids, d0=[x[0] for x in d], d1=[x[1] for x in d], n=[len(s) for s in sets], s0=slack[0], s1=slack[1])
+            yield batch(len(out), bucket=[x[0] for x in out], chunk=[chunk] * len(out), payload=[x[2] for x in out])
 
         ids, sets, size = [], [], 0
         for b in batches:
@@ -224,159 +307,221 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
                     j = min(z, i + CHUNK_DOCS)
                     if ids and (size + off[j] - off[i] > chunk_bytes or len(ids) + j - i > CHUNK_DOCS):
                         yield from emit(ids, sets)
-                        ids, sets, size = [], [], 0
+                        ids, sets, size, count = [], [], 0, count + 1
                     ids += own[i:j]
-                    sets += sets_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
+                    sets += Shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle).sets
                     size += int(off[j] - off[i])
         if ids:
             yield from emit(ids, sets)
 
-    NAMES = [x.split()[0] for x in PACKED.split(", ")]
+    def share(t: pa.Table) -> pa.Table:
+        is_doc = pc.is_null(t["payload"])
+        d, p = t.filter(is_doc), t.filter(pc.invert(is_doc))
+        zero = pa.array(np.zeros(d.num_rows, np.int64))
+        out = [pa.table({"ref": d["chunk"], **{c: d[c] for c in ("doc_id", "d0", "d1", "n", "s0", "s1")}, "w0": zero, "w1": zero})]
+        if p.num_rows:
+            _, name, role, weight, _, _ = _unpacked(p)
+            refs, at = np.unique(name, return_inverse=True)
+            none = {c: pa.nulls(len(refs), out[0].schema.field(c).type) for c in ("doc_id", "d0", "d1", "n", "s0", "s1")}
+            out.append(pa.table({"ref": pa.array(refs), **none, **{f"w{r}": pa.array(np.bincount(at, weight * (role == r), len(refs)).astype(np.int64)) for r in (0, 1)}}))
+        return pa.concat_tables(out)
+
+    met = docs.mapInArrow(index, PACKED).groupBy("bucket").applyInArrow(share, "ref long, doc_id long, d0 long, d1 long, n int, s0 int, s1 int, w0 long, w1 long")
+    rows = met.groupBy("ref").agg(*[F.max(c).alias(c) for c in ("doc_id", "d0", "d1", "n", "s0", "s1")], F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+    rows = cut(rows.select("ref", "doc_id", "d0", "d1", "n", "s0", "s1", F.expr("n > 0 and (w0 > s0 or w1 > s1)").alias("open")))
+    nodes = cut(rows.where("open").groupBy("d0", "d1").agg(F.min("ref").alias("node"), F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("n", "s0", "s1")]))
+    texts = cut(_texts(spark, docs, nodes, shingle, filter_bits))
+
+    # 2: entries of open sets, by node
+    def again(batches):
+        bands = Bands(percent)
+
+        def emit(ids, sets):
+            yield from (batch(1, bucket=[k], names=[own], payload=[p]) for k, own, p in _packed(sets, bands, n_buckets, np.array(ids, np.int64))[1])
+
+        ids, sets, size = [], [], 0
+        for b in batches:
+            buf, off = tk.buffer_of(b.column("text"))
+            own = b.column("node").to_pylist()
+            for a, z in tk.slices(off, SLICE):
+                for i in range(a, z, CHUNK_DOCS):
+                    j = min(z, i + CHUNK_DOCS)
+                    if ids and (size + off[j] - off[i] > chunk_bytes or len(ids) + j - i > CHUNK_DOCS):
+                        yield from emit(ids, sets)
+                        ids, sets, size = [], [], 0
+                    ids += own[i:j]
+                    sets += Shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle).sets
+                    size += int(off[j] - off[i])
+        if ids:
+            yield from emit(ids, sets)
 
     def meet(t: pa.Table) -> pa.Table:
-        kind = np.asarray(t["kind"].combine_chunks())
-        d = t.filter(pa.array(kind == 0))
-        out = [pa.table({"kind": d["kind"], "a": d["a"], "b": d["b"], "n": d["n"], "s0": d["s0"], "s1": d["s1"], "l0": pa.array(np.zeros(d.num_rows, np.int64)), "l1": pa.array(np.zeros(d.num_rows, np.int64))})]
-        x = t.filter(pa.array(kind == 1))
-        if x.num_rows:
-            sig, node, size, flag = [], [], [], []
-            for k, p in zip(x["n"].to_pylist(), x["payload"].to_pylist(), strict=True):
-                table, e = np.frombuffer(p, np.int64, 2 * k), np.frombuffer(p, np.uint64, -1, 16 * k)
-                at = ((e >> U64(2)) & U64(0x3FFF)).astype(np.int64)
-                sig.append(e >> U64(16))
-                node.append(table[at])
-                size.append(table[k + at])
-                flag.append((e & U64(3)).astype(np.int8))
-            sig, node, size, flag = map(np.concatenate, (sig, node, size, flag))
-            o = np.argsort(sig, kind="stable")
-            s = sig[o]
-            same = np.zeros(len(s), bool)
-            same[1:] = s[1:] == s[:-1]
-            same[:-1] |= same[1:]
-            o = o[same]
-            o = o[np.lexsort((node[o], sig[o]))]
-            sig, node, size, flag = sig[o], node[o], size[o], flag[o]
-            new = np.ones(len(o), bool)  # a set counts once, from however many chunks
-            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            i = np.flatnonzero(new)
-            sig, node, size, flag = sig[i], node[i], size[i], flag[i]
-            i = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
-            count = np.diff(np.append(i, len(sig)))
-            pairs = []
-            small = (count >= 2) & (count <= group)
-            for gap in range(1, group):
-                g = np.flatnonzero(small & (count > gap))
-                if not len(g):
-                    break
-                first = tk.ranges(i[g], count[g] - gap)
-                pairs.append(np.stack([first, first + gap]))
-            if pairs:
-                p = np.concatenate(pairs, axis=1)
-                a, b = node[p[0]], node[p[1]]
-                ok = np.minimum(size[p[0]], size[p[1]]) * 100 >= percent * np.maximum(size[p[0]], size[p[1]])
-                both, shared = np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1), axis=0, return_counts=True)
-                out.append(_found(1, both[:, 0], both[:, 1], n=shared))
-            big = np.flatnonzero(count > group)
-            if len(big):
-                at = tk.ranges(i[big], count[big])
-                hub = np.repeat(node[i[big]], count[big])
-                near = np.minimum(size[at], np.repeat(size[i[big]], count[big])) * 100 >= percent * np.maximum(size[at], np.repeat(size[i[big]], count[big]))
-                both = np.unique(np.stack([node[at], hub], 1)[near & (node[at] != hub)], axis=0)
-                out.append(_found(3, both[:, 0], both[:, 1]))
-                names, inv = np.unique(node[at], return_inverse=True)
-                w = (flag[at] & 1) + 1
-                role = flag[at] >> 1
-                out.append(_found(2, names, names, l0=np.bincount(inv, w * (role == 0), len(names)), l1=np.bincount(inv, w * (role == 1), len(names))))
+        sig, node, role, weight, first, count = _unpacked(t)
+        out = [_met(0, [], [])]
+        pairs, shared = [], []
+        for gap in range(1, group):
+            g = np.flatnonzero((count <= group) & (count > gap))
+            if not len(g):
+                break
+            at = tk.ranges(first[g], count[g] - gap)
+            pairs.append(np.stack([node[at], node[at + gap]], 1))  # nodes ascend within an entry
+            shared.append(np.maximum(weight[at], weight[at + gap]))
+        if pairs:
+            both, at = np.unique(np.concatenate(pairs), axis=0, return_inverse=True)
+            out.append(_met(1, both[:, 0], both[:, 1], np.bincount(at.ravel(), np.concatenate(shared), len(both))))
+        big = np.flatnonzero(count > group)
+        if len(big):
+            at = tk.ranges(first[big], count[big])
+            names, inv = np.unique(node[at], return_inverse=True)
+            out.append(_met(2, names, names, *(np.bincount(inv, weight[at] * (role[at] == r), len(names)) for r in (0, 1))))
+            out.append(_met(3, node[at], sig[at].view(np.int64), np.repeat(node[first[big]], count[big])))
         return pa.concat_tables(out)
 
-    found = docs.mapInArrow(index, PACKED).groupBy("bucket").applyInArrow(meet, FOUND)
-    found = cut(found.groupBy("kind", "a", "b").agg(F.count("*").alias("rows"), F.min("n").alias("n"), F.sum("n").alias("shared"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1")))
-    rows = found.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("doc_id"), "n", "s0", "s1", "rows")
-    lost = found.where("kind = 2").select(F.col("a").alias("node"), "l0", "l1")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
+    def bitmaps(batches):
+        for b in batches:
+            buf, off = tk.buffer_of(b.column("text"))
+            for a, z in tk.slices(off, SLICE):
+                sets = Shingles(buf[off[a] : off[z]], off[a : z + 1] - off[a], shingle).sets
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(a, z - a), pa.array([parity(s) for s in sets], pa.binary())], ["node", "bits"])
+
+    met = cut(texts.select("node", "text").mapInArrow(again, PACKED).groupBy("bucket").applyInArrow(meet, MET))
+    lost = met.where("kind = 2").groupBy(F.col("a").alias("node")).agg(F.sum("x").alias("l0"), F.sum("y").alias("l1"))
     # what is left of the slacks, as one of the lower and of the upper band; below 0: deficient
-    nodes = cut(nodes.join(lost, "node", "left").select("node", "doc_id", "n", (F.col("s0") - F.coalesce("l0", F.lit(0))).alias("e0"), (F.col("s1") - F.coalesce("l1", F.lit(0))).alias("e1")))
-    deficient = nodes.where("e0 < 0 or e1 < 0").select("node")
-    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("e0").alias(f"e0{x}"), F.least("e0", "e1").alias(f"e{x}"))
-    pairs = found.where("kind = 1").select("a", "b", "shared").join(of("a"), "a").join(of("b"), "b")
+    info = nodes.join(lost, "node", "left").select("node", "n", "s0", "s1", (F.col("s0") - F.coalesce("l0", F.lit(0))).alias("e0"), (F.col("s1") - F.coalesce("l1", F.lit(0))).alias("e1"))
+    info = cut(info.join(texts.select("node", "text").mapInArrow(bitmaps, "node long, bits binary"), "node"))
+    deficient = info.where("e0 < 0 or e1 < 0")
+
+    of = lambda x: info.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("e0").alias(f"e0{x}"), F.least("e0", "e1").alias(f"e{x}"), F.col("bits").alias(f"bits{x}"))
+    pairs = met.where("kind = 1").groupBy("a", "b").agg(F.sum("x").alias("shared")).join(of("a"), "a").join(of("b"), "b")
     smaller, larger = F.when(F.col("na") <= F.col("nb"), F.col("e0a")).otherwise(F.col("e0b")), F.when(F.col("na") <= F.col("nb"), F.col("eb")).otherwise(F.col("ea"))
-    pairs = pairs.where(F.col("shared") > F.greatest(smaller, larger)).select("a", "b")
-    hubs = found.where("kind = 3").select("a", "b").join(deficient.withColumnRenamed("node", "a"), "a", "left_semi").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.unionByName(hubs).distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(deficient).distinct().join(nodes, "node").select("node", "doc_id"))
-    sets = cut(_sets(spark, docs, wanted, shingle, filter_bits))
+    pairs = pairs.where((F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")) & (F.col("shared") > F.greatest(smaller, larger)))
 
-    def verify(batches):
+    def close(batches):
         for b in batches:
-            ok = np.array([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
+            most = (100 - percent) * (np.asarray(b.column("na")).astype(np.int64) + np.asarray(b.column("nb"))) // (100 + percent)
+            ok = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("bitsa").to_pylist(), b.column("bitsb").to_pylist(), strict=True)):
+                size = min(len(x), len(y)) // 8
+                ok[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= most[i]
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    def linked(p: DataFrame) -> DataFrame:
-        p = p.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        return p.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    pairs = cut(pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(close, "a long, b long"))
 
-    def apart(p: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        ca, cb = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        return p.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-
-    # one pair a set first: most others then lie within a component
-    edges = cut(linked(pairs.groupBy("b").agg(F.min("a").alias("a"))))
-    comp = components(edges)
-    more = cut(linked(apart(pairs, comp).select("a", "b")))
-    edges = edges.unionByName(more)
-    comp = components(edges)
-
-    # deficient sets among themselves: exact prefix filter, rarest tokens first, across components only.
-    # Tokens of one set alone come first in its order and meet nothing, so they only shorten what is left of its prefix.
-    def tokens(batches):
+    def verify(batches):
         for b in batches:
-            node, token, size = [], [], []
-            for k, x in zip(b.column("node").to_pylist(), b.column("hashes").to_pylist(), strict=True):
-                h = np.frombuffer(x, np.int64)
-                node.append(np.full(len(h), k))
-                token.append(h)
-                size.append(np.full(len(h), len(h)))
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (node, token, size)], ["node", "token", "n"])
-
-    every = sets.join(deficient, "node", "left_semi").select("node", "hashes").mapInArrow(tokens, "node long, token long, n long")
-    known = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    order = Window.partitionBy("node").orderBy("df", "token")
-    met = every.join(known, "token").withColumns({"place": F.row_number().over(order), "met": F.count("*").over(Window.partitionBy("node"))})
-    prefix = F.expr(f"n - ceil({percent} * n / 100D) + 1 - (n - met)")
-    short = cut(met.where(F.col("place") <= prefix).select("node", "token", "n").join(comp, "node", "left").select("node", "token", "n", F.coalesce("component", "node").alias("c")))
-    mixed = short.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
-    left = short.join(mixed, "token").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = left.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
-    rest = left.join(right, "token").where(F.expr(f"ca < cb and least(na, nb) * 100 >= {percent} * greatest(na, nb)")).select("a", "b").distinct()
-    rest = cut(linked(rest))
-    if not rest.isEmpty():
-        comp = components(edges.unionByName(rest))
-
-    ids = nodes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
-    least = ids.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    known = cut(ids.join(least, "c").select("node", "component_id"))
-    out = rows.where("n > 0").join(known, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "rows")
-    none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rows")
-    return out.unionByName(none).withColumn("one", F.explode(F.expr("sequence(1, rows)"))).drop("rows", "one")
+            x, y = tk.buffer_of(b.column("x")), tk.buffer_of(b.column("y"))
+            for i, j in tk.slices(x[1] + y[1], SLICE):
+                s, t = (Shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle) for buf, off in (x, y))
+                ok = pa.array([linked(s, k, t, k, percent) for k in range(j - i)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(i, j - i).filter(ok) for c in ("a", "b")], ["a", "b"])
 
+    text = texts.select("node", "text")
 
-def _found(kind, a, b, n=None, l0=None, l1=None) -> pa.Table:
-    none = pa.array([None] * len(a), pa.int32())
-    z = np.zeros(len(a), np.int64)
-    return pa.table({"kind": pa.array(np.full(len(a), kind), pa.int32()), "a": pa.array(a), "b": pa.array(b), "n": none if n is None else pa.array(n, pa.int32()), "s0": none, "s1": none, "l0": pa.array(z if l0 is None else l0.astype(np.int64)), "l1": pa.array(z if l1 is None else l1.astype(np.int64))})
+    def links(p: DataFrame) -> DataFrame:
+        p = p.join(text.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return p.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
+    # one pair a set and, of deficient sets, one hub first: most others then lie within a component
+    hubs = met.where("kind = 3 and a <> x").join(deficient.select(F.col("node").alias("a")), "a", "left_semi").groupBy(F.col("a").alias("b")).agg(F.min("x").alias("a"))
+    edges = cut(links(pairs.groupBy("b").agg(F.min("a").alias("a")).unionByName(hubs).distinct()))
+    comp = components(edges)
+    ca, cb = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    apart = pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = cut(links(apart))
 
-def _sets(spark, docs: DataFrame, wanted: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """node, hashes of the wanted nodes, read from one document each.
+    # 3: deficient sets among themselves
+    rest = _blocks(met, deficient.select("node", "n", "s0", "s1"), comp, text, shingle, percent, block)
+    comp = components(edges.unionByName(more).unionByName(rest))
+
+    ids = nodes.join(comp, "node", "left").select("d0", "d1", "doc_id", F.coalesce("component", "node").alias("c"))
+    least = ids.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    known = ids.join(least, "c").select("d0", "d1", "component_id")
+    out = rows.where("open").join(known, ["d0", "d1"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = rows.where("not open").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def _blocks(met: DataFrame, deficient: DataFrame, comp: DataFrame, text: DataFrame, shingle: int, percent: int, most: int) -> DataFrame:
+    """Links (a, b) that join deficient sets of different components, as far as they share a costly entry."""
+    deficient = cut(deficient.join(comp, "node", "left").select("node", "n", "s0", "s1", F.coalesce("component", "node").alias("label")))
+    bands = Bands(percent)
+    edges = [int(x) for x in bands.edges if x < 1 << 31]
+    band = F.expr(f"array_size(filter(array({', '.join(map(str, edges))}), e -> e <= n)) - 1")
+    costly = met.where("kind = 3").select(F.col("a").alias("node"), F.col("b").alias("sig")).join(deficient.select("node"), "node", "left_semi")
+    # sets whose own entries fall short of the bound can miss any deficient set of a near size: an entry for each of the bands
+    short = deficient.where("s0 < 0 or s1 < 0").select("node", band.alias("band"))
+    odd = [r["band"] for r in short.select("band").distinct().collect()]  # at most one a band
+    if odd:
+        near = sorted({b + x for b in odd for x in (-1, 0, 1)})
+        costly = costly.unionByName(short.select("node", F.explode(F.expr("transform(array(band - 1, band, band + 1), x -> cast(x as long))")).alias("sig")))
+        costly = costly.unionByName(deficient.withColumn("band", band).where(F.col("band").isin(near)).select("node", F.col("band").cast("long").alias("sig"))).distinct()
+    costly = cut(costly)
+    owners = costly.groupBy("sig").agg(F.count("*").alias("owners"))
+    key = costly.join(owners, "sig").groupBy("node").agg(F.max_by("sig", F.struct("owners", "sig")).alias("key"))
+    base = deficient.select("node", "label").join(key, "node")
+    sizes = base.groupBy("key", "label").agg(F.count("*").alias("c"))
+    small = sizes.where(F.col("c") < most).groupBy("key").agg(F.sum("c").alias("few"))
+    base = base.join(sizes, ["key", "label"]).join(small, "key", "left")
+    place = F.when(F.col("c") >= most, F.xxhash64("key", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / most)))).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("label"), F.ceil(F.col("few") / most))))
+    blocks = cut(base.select("node", "label", place.alias("block")))
+    own = blocks.groupBy("block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+    sets = costly.join(blocks.select("node", "block"), "node").groupBy("sig").agg(F.sort_array(F.collect_set("block")).alias("bs")).select("bs").distinct()
+    cells = sets.select(F.explode(F.expr("flatten(transform(bs, (p, i) -> transform(slice(bs, i + 1, size(bs)), q -> struct(p, q))))")).alias("c")).select("c.p", "c.q").distinct()
+    cells = cells.join(own.withColumnRenamed("block", "p"), "p").join(own.select(F.col("block").alias("q"), F.col("l0").alias("m0"), F.col("l1").alias("m1")), "q").where("least(l0, m0) <> greatest(l1, m1)").select("p", "q")
+    sides = cells.select("p", "q", F.explode(F.expr("if(p = q, array(p), array(p, q))")).alias("block"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, label = t["node"].to_pylist(), t["label"].to_pylist()
+        side = (np.asarray(t["block"].combine_chunks()) == t["p"][0].as_py()).astype(np.int8)
+        s = Shingles(*tk.buffer_of(t["text"]), shingle)
+        n = np.array([len(x) for x in s.sets])
+        up = {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        wide = [np.frombuffer(parity(x), np.uint64) for x in s.sets]
+        a, b = [], []
+        lone = len(set(side.tolist())) == 1
+        order = np.argsort(n, kind="stable")
+        one = order if lone else order[side[order] == 1]
+        other = order if lone else order[side[order] == 0]
+        table: dict[int, np.ndarray] = {}
+        for k, i in enumerate(one.tolist()):
+            lo, hi = -(-percent * int(n[i]) // 100), int(n[i]) * 100 // percent
+            x, y = np.searchsorted(n[other], [lo, hi + 1])
+            x = max(x, k + 1) if lone else x
+            if x >= y or not n[i]:
+                continue
+            size = len(wide[other[x]])  # the smallest bitmap among them
+            size = min(size, len(wide[i]))
+            if size not in table:
+                table = {size: np.stack([folded(wide[j], size) if len(wide[j]) >= size else np.zeros(size, np.uint64) for j in other.tolist()])}
+            far = np.bitwise_count(table[size][x:y] ^ folded(wide[i], size)).sum(axis=1)
+            for j in other[x:y][far <= (100 - percent) * (n[i] + n[other[x:y]]) // (100 + percent)].tolist():
+                u, v = root(label[i]), root(label[j])
+                if u != v and linked(s, i, s, j, percent):
+                    up[max(u, v)] = min(u, v)
+                    a.append(node[i])
+                    b.append(node[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    met = sides.join(blocks, "block").join(text, "node").select("p", "q", "block", "node", "label", "text")
+    return cut(met.groupBy("p", "q").applyInArrow(compare, "a long, b long"))
+
+
+def _texts(spark, docs: DataFrame, nodes: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """node, text of the nodes, read from one document each.
 
     A bitmap of 2**bits bits of the wanted ids, built by aggregation, lets the
     scan pass over most other documents before they are shingled; it is of
-    fixed size, and the join by node that follows is what decides.
+    fixed size, and the join by digest that follows is what decides.
     """
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    maps = wanted.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()  # 2**bits bits at most
+    maps = nodes.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()  # 2**bits bits at most
     table = np.zeros((1 << bits) + 1 + 8 * 4096, bool)
     for r in maps:
         got = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
@@ -386,14 +531,14 @@ def _sets(spark, docs: DataFrame, wanted: DataFrame, shingle: int, bits: int) ->
     shared = spark.sparkContext.broadcast(np.packbits(table))
 
     def read(batches):
-        on = np.unpackbits(shared.value).astype(bool)
+        on = shared.value
         for b in batches:
-            keep = on[np.asarray(b.column("at"))]
-            b = b.filter(pa.array(keep))
+            at = np.asarray(b.column("at"))
+            b = b.filter(pa.array((on[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
             buf, off = tk.buffer_of(b.column("text"))
             for a, z in tk.slices(off, SLICE):
-                sets = sets_of(buf[off[a] : off[z]], off[a : z + 1] - off[a], shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+                d = [digest_of(s) for s in Shingles(buf[off[a] : off[z]], off[a : z + 1] - off[a], shingle).sets]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), b.column("text").slice(a, z - a)], ["d0", "d1", "text"])
 
-    got = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("at"), "text").mapInArrow(read, "node long, hashes binary")
-    return got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    got = docs.select(at.alias("at"), "text").mapInArrow(read, "d0 long, d1 long, text string")
+    return got.join(nodes.select("d0", "d1", "node"), ["d0", "d1"]).groupBy("node").agg(F.min("text").alias("text"))

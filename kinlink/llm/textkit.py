@@ -110,6 +110,21 @@ def span_hash(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64) * _GRAM[63])
 
 
+def word_hash(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes at a time through a nonlinear mixer: no structure of a span cancels out."""
+    size = (e - s).astype(np.int64)
+    wide = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    h = mix(size.astype(np.uint64) * _GRAM[63] + _GRAM[62])
+    at, k = np.flatnonzero(size > 0), 0
+    while len(at):
+        left = np.minimum(size[at] - k, 8)
+        v = wide[s[at] + k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * left.astype(np.uint64)))
+        h[at] = mix((h[at] ^ v) * _GRAM[61] + _GRAM[60])
+        k += 8
+        at = at[size[at] > k]
+    return h
+
+
 def gram_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive word hashes; shorter input gives none."""
     m = len(h) - n + 1

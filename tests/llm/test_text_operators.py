@@ -300,6 +300,34 @@ def test_op9_empty(spark):
     assert ngram_join.near_duplicate_groups(empty(spark)).count() == 0
 
 
+def test_op9_words_that_defeat_polynomial_hashes(spark):
+    """A Thue-Morse word and its complement share nothing, whatever the base of a hash modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a + " x"), (4, a.upper())], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicate_groups(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_op9_colliding_hashes_are_decided_on_bytes():
+    texts = [" ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    s = ngram_join.Shingles(buf, np.array([0, len(texts[0]), len(buf)]), 5)
+    s.sets[1] = s.sets[0]  # as if every shingle collided
+    assert not ngram_join.linked(s, 0, s, 1, 75) and ngram_join.linked(s, 0, s, 0, 75)
+
+
+def test_op9_parity_never_exceeds_the_difference():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        a = r.integers(0, 2**63, int(r.integers(1, 3000))).astype(np.uint64)
+        a = np.unique(a)
+        b = np.unique(np.concatenate([a[r.random(len(a)) > 0.2], r.integers(0, 2**63, 1 + len(a) // 5).astype(np.uint64)]))
+        x, y = ngram_join.parity(a), ngram_join.parity(b)
+        size = min(len(x), len(y)) // 8
+        assert np.bitwise_count(ngram_join.folded(x, size) ^ ngram_join.folded(y, size)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_op9_allocation_suffices():
     """Any two linked sets share an entry unless one is marked deficient."""
     r = np.random.default_rng(3)
@@ -314,7 +342,8 @@ def test_op9_allocation_suffices():
         if 100 * c < 75 * (len(a) + len(b) - c):
             continue
         sig, of, flag, slack = ngram_join.entries(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
-        shared = len(np.intersect1d(sig[of == 0], sig[of == 1]))
+        _, ia, ib = np.intersect1d(sig[of == 0], sig[of == 1], return_indices=True)
+        shared = (np.maximum(flag[of == 0][ia] & 1, flag[of == 1][ib] & 1) + 1).sum()
         small, large = (0, 1) if len(a) <= len(b) else (1, 0)
         least = max(slack[0][small], min(slack[0][large], slack[1][large]))
         assert shared > least or least < 0
