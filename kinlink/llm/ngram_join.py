@@ -314,21 +314,36 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
         if ids:
             yield from emit(ids, sets)
 
+    about = ("doc_id", "d0", "d1", "n", "s0", "s1")
+
     def share(t: pa.Table) -> pa.Table:
+        """Documents as they are, and what their shared entries allocate here: one packed row for each partition that the documents came from."""
         is_doc = pc.is_null(t["payload"])
         d, p = t.filter(is_doc), t.filter(pc.invert(is_doc))
-        zero = pa.array(np.zeros(d.num_rows, np.int64))
-        out = [pa.table({"ref": d["chunk"], **{c: d[c] for c in ("doc_id", "d0", "d1", "n", "s0", "s1")}, "w0": zero, "w1": zero})]
+        out = [pa.table({"part": pc.cast(pc.shift_right(d["chunk"], 38), pa.int32()), "ref": d["chunk"], **{c: d[c] for c in about}, "shared": pa.nulls(d.num_rows, pa.binary())})]
         if p.num_rows:
             _, name, role, weight, _, _ = _unpacked(p)
             refs, at = np.unique(name, return_inverse=True)
-            none = {c: pa.nulls(len(refs), out[0].schema.field(c).type) for c in ("doc_id", "d0", "d1", "n", "s0", "s1")}
-            out.append(pa.table({"ref": pa.array(refs), **none, **{f"w{r}": pa.array(np.bincount(at, weight * (role == r), len(refs)).astype(np.int64)) for r in (0, 1)}}))
+            w = np.stack([refs, *(np.bincount(at, weight * (role == r), len(refs)).astype(np.int64) for r in (0, 1))], 1)
+            parts, first = np.unique(refs >> 38, return_index=True)
+            shared = [x.tobytes() for x in np.split(w, first[1:])] if len(parts) else []
+            out.append(pa.table({"part": pa.array(parts, pa.int32()), **{c: pa.nulls(len(parts), out[0].schema.field(c).type) for c in ("ref", *about)}, "shared": pa.array(shared, pa.binary())}))
         return pa.concat_tables(out)
 
-    met = docs.mapInArrow(index, PACKED).groupBy("bucket").applyInArrow(share, "ref long, doc_id long, d0 long, d1 long, n int, s0 int, s1 int, w0 long, w1 long")
-    rows = met.groupBy("ref").agg(*[F.max(c).alias(c) for c in ("doc_id", "d0", "d1", "n", "s0", "s1")], F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
-    rows = cut(rows.select("ref", "doc_id", "d0", "d1", "n", "s0", "s1", F.expr("n > 0 and (w0 > s0 or w1 > s1)").alias("open")))
+    def total(t: pa.Table) -> pa.Table:
+        is_doc = pc.is_null(t["shared"])
+        d, p = t.filter(is_doc).sort_by("ref"), t.filter(pc.invert(is_doc))
+        ref, n, s0, s1 = (np.asarray(d[c].combine_chunks()) for c in ("ref", "n", "s0", "s1"))
+        w0, w1 = np.zeros(len(ref), np.int64), np.zeros(len(ref), np.int64)
+        for x in p["shared"].to_pylist():
+            w = np.frombuffer(x, np.int64).reshape(-1, 3)
+            at = np.searchsorted(ref, w[:, 0])
+            w0[at] += w[:, 1]
+            w1[at] += w[:, 2]
+        return pa.table({"ref": d["ref"], **{c: d[c] for c in about}, "open": pa.array((n > 0) & ((w0 > s0) | (w1 > s1)))})
+
+    met = docs.mapInArrow(index, PACKED).groupBy("bucket").applyInArrow(share, "part int, ref long, doc_id long, d0 long, d1 long, n int, s0 int, s1 int, shared binary")
+    rows = cut(met.groupBy("part").applyInArrow(total, "ref long, doc_id long, d0 long, d1 long, n int, s0 int, s1 int, open boolean"))
     nodes = cut(rows.where("open").groupBy("d0", "d1").agg(F.min("ref").alias("node"), F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("n", "s0", "s1")]))
     texts = cut(_texts(spark, docs, nodes, shingle, filter_bits))
 
