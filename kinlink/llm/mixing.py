@@ -35,7 +35,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def word_count(col):
     """Number of `[^\\x20\\x09-\\x0D]+` in a text; null has none."""
-    return F.coalesce(F.size(F.split(F.regexp_replace(col, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")) - F.when(F.regexp_replace(col, r"^[\x20\x09-\x0D]+", "") == "", 1).otherwise(0), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: dict[str | None, int], weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:

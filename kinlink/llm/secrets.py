@@ -1,9 +1,8 @@
 """Op 10: secrets in text, with DataFrame functions only.
 
 Base rules (assign, access, hex) are regular expressions; where a match lies
-follows from the matches in order: without look-around a match's text cannot
-occur between the end of the previous match and the match itself, so its start
-is the first occurrence after that end.
+follows from running sums over the lengths of the matches and of the gaps
+between them.
 
 On top of them two character Markov models, of random strings and of ordinary
 identifiers, score every token of at least 12 characters by the log-likelihood
@@ -70,25 +69,64 @@ def train(noise: list[str], names: list[str], smooth: float = 0.5) -> list[float
     return [math.log(tables[0][i][j] / tables[1][i][j]) for i in range(k) for j in range(k)]
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _scan(values: Column, merge, zero: Column, block: int = 100) -> Column:
+    """For each value the merge of those before it (merge: associative, with zero as its neutral element).
+
+    A block is scanned value by value, and the blocks' totals likewise, so that
+    ten thousand values take ten thousand steps of a hundred.
+    """
+    total = lambda a: F.aggregate(a, zero, merge)
+    plain = lambda a: F.transform(a, lambda x, i: total(F.slice(a, 1, i)))
+
+    def cut(a):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda i: F.slice(a, i * block + 1, block))
+        return _let(parts, lambda p: _let(F.transform(p, total), lambda t: F.flatten(F.transform(p, lambda c, i: _let(total(F.slice(t, 1, i)), lambda z: F.transform(plain(c), lambda x: merge(z, x)))))))
+
+    return _let(values, lambda a: F.when(F.size(a) <= block, plain(a)).otherwise(cut(a)))
+
+
 def likelihood(token: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's transitions; positive: rather random."""
     k = len(SYMBOLS)
     constant = F.array(*[F.lit(round(x, 6)) for x in table])
     s = F.translate(F.when(token == F.upper(token), F.lower(token)).otherwise(token), _FROM, _TO)
-    code = lambda i: F.instr(F.lit(SYMBOLS), F.substr(s, i, F.lit(1))) - 1
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(constant, (code(i) * k + code(i + 1) + 1).cast("int")))
-    return total / (F.length(token) - 1)
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    # the transition into each character, from the code before it; the accumulator holds that code and the sum
+    zero = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("sum"))
+    step = lambda acc, c: F.struct(c.alias("at"), (acc["sum"] + F.when(acc["at"] < 0, F.lit(0.0)).otherwise(F.element_at(constant, acc["at"] * k + c + 1))).alias("sum"))
+    return F.aggregate(codes, zero, step, lambda acc: acc["sum"]) / (F.length(token) - 1)
 
 
-def _located(text: str, matches: Column) -> Column:
-    """Array of (m, start, end) for the matches of one pattern in order."""
-    zero = F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<m:string,start:int,end:int>>").alias("out"))
+_NONE = "array<struct<m:string,start:int,end:int>>"
 
-    def step(acc, m):
-        at = F.call_function("locate", m, F.col(text), acc["from"])
-        return F.struct((at + F.length(m)).alias("from"), F.concat(acc["out"], F.array(F.struct(m.alias("m"), (at - 1).alias("start"), (at - 1 + F.length(m)).alias("end")))).alias("out"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(matches, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<m:string,start:int,end:int>>"))
+def _located(text: str, pattern: str) -> Column:
+    """Array of (m, start, end) for the matches of a pattern in order, from the lengths of the matches and of what lies between them."""
+    gaps = lambda: F.split(F.col(text), pattern, -1)
+
+    def place(found):
+        sized = _let(gaps(), lambda g: F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(F.get(g, i)).alias("gap"), F.length(m).alias("size"))))
+        add = lambda x, y: x + y
+        return _let(sized, lambda z: _let(_scan(F.transform(z, lambda x: x["gap"] + x["size"]), add, F.lit(0)), lambda at: F.zip_with(z, at, lambda x, y: F.struct(x["m"].alias("m"), (y + x["gap"]).alias("start"), (y + x["gap"] + x["size"]).alias("end")))))
+
+    return _let(F.expr(f"regexp_extract_all({text}, {_sql(pattern)}, 0)"), lambda found: F.when(F.size(found) > 0, place(found)).otherwise(F.array().cast(_NONE)))
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span: none that starts before a token's end ends after its start."""
+    rows = F.sort_array(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("token"), b["end"].alias("end"), F.lit("").alias("m"))), F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("token"), t["end"].alias("end"), t["m"].alias("m")))))
+    ends = lambda r: _scan(F.transform(r, lambda x: F.when(x["token"] == 0, x["end"]).otherwise(F.lit(-1))), lambda x, y: F.greatest(x, y), F.lit(-1))
+    starts = lambda r: F.reverse(_scan(F.transform(F.reverse(r), lambda x: F.when(x["token"] == 0, x["start"]).otherwise(F.lit(_FAR))), lambda x, y: F.least(x, y), F.lit(_FAR)))
+    keep = lambda r: _let(F.struct(ends(r).alias("e"), starts(r).alias("s")), lambda n: F.filter(r, lambda x, i: (x["token"] == 1) & (F.get(n["e"], i) <= x["start"]) & (F.get(n["s"], i) >= x["end"])))
+    return F.when(F.size(base) == 0, tokens).otherwise(F.transform(_let(rows, keep), lambda x: F.struct(x["m"].alias("m"), x["start"].alias("start"), x["end"].alias("end"))))
+
+
+_FAR = 2**31 - 1
 
 
 def find_secrets(docs: DataFrame, text: str = "text", threshold: float = 0.35, model: list[float] | None = None, rise: float = 0.12) -> DataFrame:
@@ -96,24 +134,19 @@ def find_secrets(docs: DataFrame, text: str = "text", threshold: float = 0.35, m
 
     A token of less than 20 characters needs `rise` more for each it lacks.
     Existing columns stay; one called secrets is replaced. Positions are code
-    points, end exclusive.
+    points, end exclusive. Work is in proportion to a text's length, with tokens
+    and matches of any length and number. An empty table gives an empty result.
     """
     model = model or train(*samples())
     t = "__kl_text"
     d = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
     spans = []
     for rank, (kind, (pattern, least)) in enumerate(BASE.items()):
-        found = F.expr(f"regexp_extract_all({t}, {_sql(pattern)}, 0)")
-        got = F.col(f"__kl_{kind}")
-        d = d.withColumn(f"__kl_{kind}", _located(t, found))
         ok = (lambda p: lambda x: F.length(F.regexp_extract(x["m"], p, 1)) >= 8)(pattern) if kind == "assign" else (lambda n: lambda x: F.length(x["m"]) >= n)(least)
-        spans.append(F.transform(F.filter(got, ok), (lambda r, k: lambda x: F.struct(x["start"].alias("start"), F.lit(r).alias("rank"), F.lit(k).alias("kind"), x["end"].alias("end")))(rank, kind)))
-    d = d.withColumn("__kl_base", F.array_sort(F.concat(*spans)))
-    d = d.withColumn("__kl_token", _located(t, F.expr(f"regexp_extract_all({t}, {_sql(TOKEN)}, 0)")))
-    apart = lambda x: ~F.exists("__kl_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.transform(F.filter("__kl_token", lambda x: apart(x) & (likelihood(x["m"], model) > F.lit(threshold) + F.lit(rise) * F.greatest(F.lit(0), 20 - F.length(x["m"])))), lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("markov").alias("kind"), x["end"].alias("end")))
-    d = d.withColumn("secrets", F.array_sort(F.concat("__kl_base", F.when(F.size("__kl_token") > 0, added).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))))
-    return d.drop(t, "__kl_base", "__kl_token", *[f"__kl_{k}" for k in BASE])
+        spans.append(F.transform(F.filter(_located(t, pattern), ok), (lambda r, k: lambda x: F.struct(x["start"].alias("start"), F.lit(r).alias("rank"), F.lit(k).alias("kind"), x["end"].alias("end")))(rank, kind)))
+    random_ = lambda x: likelihood(x["m"], model) > F.lit(threshold) + F.lit(rise) * F.greatest(F.lit(0), 20 - F.length(x["m"]))
+    added = lambda base: F.transform(_let(F.filter(_located(t, TOKEN), random_), lambda z: F.when(F.size(z) == 0, z).otherwise(_apart(z, base))), lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("markov").alias("kind"), x["end"].alias("end")))
+    return d.withColumn("secrets", _let(F.concat(*spans), lambda base: F.sort_array(F.concat(base, added(base))))).drop(t)
 
 
 def _sql(pattern: str) -> str:
@@ -132,12 +165,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with all spans in `secrets` replaced by the mark; the column is dropped. Null text stays null."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        piece = F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("secrets", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
+    """docs with all spans in `secrets` replaced by the mark, overlapping ones by one mark; the column is dropped. Null text stays null."""
+
+    def pieces(x, part):
+        # (where the text before a span begins, where the span starts) of the spans that begin past all spans before them; then the end
+        reach = _scan(F.transform(x, lambda y: y["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        heads = _let(reach, lambda at: F.transform(x, lambda y, i: F.when(y["start"] >= F.get(at, i), F.concat(part(F.get(at, i), y["start"] - F.get(at, i)), F.lit(mark))).otherwise(F.lit(""))))
+        last = F.array_max(F.transform(x, lambda y: y["end"]))
+        return F.concat(F.array_join(heads, ""), part(last, F.length(F.col(text))))
+
+    few = lambda x: pieces(x, lambda at, n: F.substr(F.col(text), at + 1, n))
+    # with many spans the text is split once: a substring is found by walking from the start
+    many = lambda x: _let(F.split(F.col(text), ""), lambda c: pieces(x, lambda at, n: F.array_join(F.slice(c, at + 1, n), "")))
+    done = _let(F.col("secrets"), lambda x: F.when(F.size(x) <= 32, few(x)).otherwise(many(x)))
     return docs.withColumn(text, F.when(F.size("secrets") > 0, done).otherwise(F.col(text))).drop("secrets")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -111,6 +112,15 @@ def mixed(documents):
     return {(r["doc_id"], r["size"]): r for r in mixing.mix_sources(documents).collect()}
 
 
+def test_op5_sizes_by_brute_force(spark, documents):
+    """Line terminators that a regular expression's `$` skips are characters of words."""
+    odd = ["abc \u0085", "abc \u2028", "abc\u2029 x\u2028", "\u0085", " a\tb\x0b\x0cc\r\nd ", "a\x1cb\xa0c", "", " ", None]
+    docs = documents.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(2000 + i, t, "src0") for i, t in enumerate(odd)], "doc_id long, text string, source string"))
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    got = mixing.mix_sources(docs).collect()
+    assert sorted((str(x["doc_id"]), x["size"]) for x in got) == sorted((str(i), count(t)) for i, t in rows_of(docs))
+
+
 def test_op5_mixture(spark, documents):
     got = mixing.mix_sources(documents).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
@@ -377,6 +387,55 @@ def test_op10_short_tokens(spark):
     assert not any(got[i] for i in range(400, len(got)))
 
 
+def spans_by_brute_force(text, threshold=0.35, rise=0.12):
+    """All spans of a text: base matches, and tokens scored one transition at a time."""
+    pats = [("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
+    base = [(m.start(), k, n, m.end()) for k, (n, p) in enumerate(pats) for m in p.finditer(text) if (len(m.group(1)) >= 8 if n == "assign" else len(m.group()) >= (16 if n == "access" else 32))]
+    table, k = secrets.train(*secrets.samples()), len(secrets.SYMBOLS)
+    out = list(base)
+    for m in re.finditer(secrets.TOKEN, text):
+        x = [secrets.SYMBOLS.index(c) for c in secrets._symbols(m.group())]
+        mean = sum(round(table[a * k + b], 6) for a, b in zip(x, x[1:])) / (len(x) - 1)
+        if mean > threshold + rise * max(0, 20 - len(x)) and not any(a < m.end() and m.start() < e for a, _, _, e in base):
+            out.append((m.start(), 3, "markov", m.end()))
+    return ",".join(f"{n}:{a}:{e}" for a, _, n, e in sorted(out))
+
+
+def test_op10_all_spans_brute_force(spark):
+    r = random.Random(21)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rand = lambda n, a=alphabet: "".join(r.choices(a, k=n))
+    make = [lambda: rand(24), lambda: rand(r.randint(8, 40)), lambda: rand(40, "0123456789abcdef"), lambda: "password = " + rand(20), lambda: "AKIA" + rand(16, alphabet[:26]), lambda: "get_user_name_table", lambda: "é😀 漢", lambda: "token: " + rand(33, "0123456789abcdef") + rand(14), lambda: ""]
+    texts = [r.choice(["", " ", "\u2028"]).join(" " * r.randint(0, 1) + r.choice(make)() for _ in range(n)) for n in (0, 1, 2, 5, 31, 32, 33, 34, 70, 300, 1500) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.find_secrets(docs)
+    got = {x["doc_id"]: x["spans"] for x in secrets.digest(found).collect()}
+    want = {i: spans_by_brute_force(t) for i, t in enumerate(texts)}
+    assert got == want
+    for x in secrets.redact(found).collect():
+        t, out, at = texts[x["doc_id"]], "", 0
+        for _, a, e in sorted((int(v.split(":")[1]), *map(int, v.split(":")[1:])) for v in want[x["doc_id"]].split(",") if v):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, e)
+        assert x["text"] == out + t[at:]
+    assert secrets.digest(secrets.find_secrets(empty(spark))).count() == 0
+
+
+def test_op10_long_tokens_and_many_tokens_take_time_in_proportion(spark):
+    r = random.Random(22)
+    one = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    many = " ".join(one[i : i + 24] for i in range(0, 960_000, 24))
+    docs = spark.createDataFrame([(1, one), (2, many)], "doc_id long, text string").repartition(2)
+    began = time.time()
+    found = secrets.find_secrets(docs)
+    got = {x["doc_id"]: x["spans"] for x in secrets.digest(found).collect()}
+    done = {x["doc_id"]: len(x["text"]) for x in secrets.redact(found).collect()}
+    assert got[1] == "markov:0:1000000" and done[1] == len("[SECRET]")
+    assert got[2].count("markov") > 39_000 and done[2] < 400_000
+    assert time.time() - began < 90  # quadratic work on a token of 40,000 characters alone took longer
+
+
 def test_op10_models():
     noise, names = secrets.samples(400, 3)
     m = secrets.train(*secrets.samples())
