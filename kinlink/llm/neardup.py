@@ -1,17 +1,32 @@
-"""Op 4: near-duplicate embeddings by exact comparison of shards in blocks.
+"""Op 4: near-duplicate embeddings by a robust-pruned flat graph.
 
 Vectors are compared within a class (equal label, equal dimension) by cosine
-in double precision. Equal vectors are one node. A class is divided into
-shards around centroids (fitted on a bounded sample); shards form pieces of
-`block_bytes` of vectors, and two pieces, or one with itself, meet in a task.
-A vector goes to every pair of pieces where a vector in range can lie by the
-planes between centroids and the shards' radii, and is compared there by
-matrix products. No pair in range is left out; in a class without clusters all
-pieces meet, which is quadratic in the class.
-
-A pair is counted in one place and never shuffled: what is reported are link
-counts and a spanning forest. The broadcasts (centroids, pieces) are bounded
-by `max_centroids`.
+in double precision. Equal vectors are one node. A class is covered by
+overlapping shards around centroids, which are fitted on a bounded sample and
+kept apart by more than the range, so that a dense family is not cut up: a
+vector has its home in the nearest shard and visits those nearly as near.
+
+Build. A shard inserts its vectors batch by batch: a beam search of the graph
+so far finds a vector's candidates; one that is so near to a leader that all
+vectors of its ball link joins the ball, any other becomes a leader with a
+robust-pruned list of neighbours, which get it in turn. The lists of all shards
+are united by vector into one flat graph.
+
+Search. Each shard searches the united graph for its leaders, from the medoid
+and the leader itself; the beam descends greedily and, while half of what it
+holds can still hold links, grows, so that the search expands through
+everything in range. Balls that it brings together are verified member by
+member in double precision, unless their radii leave no doubt. A pair is
+counted in one shard and never shuffled: a shard reports link counts and a
+spanning forest.
+
+A shard of more than `most` vectors, such as one family that holds a third of
+all rows, is no graph's task: it is laid in pieces of `block_bytes`, which meet
+two by two and are compared by matrix products, exactly.
+
+`audit_recall` measures the links found against brute force for every vector
+whose id is divisible by 50. The broadcasts (centroids, pieces) are bounded by
+`max_centroids`.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows
 without label, link with nothing and form their own component. A null vec_id
@@ -24,11 +39,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.shared import components, cut
-
+from kinlink.llm.textkit import ranges
 
 def prepared(df: DataFrame) -> DataFrame:
     """vec_id, class (label and dimension; null: links with nothing), key (digest of the vector), unit vector as float64 bytes."""
@@ -54,10 +70,19 @@ def prepared(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(unit, "vec_id long, cls string, key binary, vec binary")
 
 
-def centroids(x: np.ndarray, k: int, rounds: int = 6, seed: int = 2) -> np.ndarray:
-    """Unit centroids of a sample by spherical k-means."""
-    r = np.random.default_rng(seed)
-    c = x[r.choice(len(x), min(k, len(x)), replace=False)]
+def centroids(x: np.ndarray, k: int, apart: float, rounds: int = 4) -> np.ndarray:
+    """Unit centroids of a sample in a fixed order: k at most, no two of them more similar than `apart`, moved to the middle of what is theirs."""
+    c = np.zeros((0, x.shape[1]))
+    for a in range(0, len(x), 1024):
+        own = x[a : a + 1024]
+        own = own[(own @ c.T < apart).all(axis=1)] if len(c) else own
+        kept: list[int] = []
+        for i in range(len(own)):
+            if len(c) + len(kept) < k and (not kept or (own[kept] @ own[i]).max() < apart):
+                kept.append(i)
+        c = np.concatenate([c, own[kept]])
+        if len(c) >= k:
+            break
     for _ in range(rounds):
         own = np.concatenate([np.argmax(x[a : a + 4096] @ c.T, axis=1) for a in range(0, len(x), 4096)])
         s = np.zeros_like(c)
@@ -79,7 +104,189 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return low
 
 
-def compare(x: np.ndarray, mult: np.ndarray, sides: list[np.ndarray], least: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def robust_prune(x: np.ndarray, node: int, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Neighbours of a node among candidates, nearest first; a candidate much nearer to a kept one than to the node goes."""
+    v = x[cand]
+    dist = 1 - v @ x[node]
+    o = np.argsort(dist, kind="stable")
+    cand, v, dist = cand[o], v[o], dist[o]
+    between, alive, kept = alpha * (1 - v @ v.T), np.ones(len(cand), bool), []
+    for i in range(len(cand)):
+        if alive[i]:
+            kept.append(i)
+            if len(kept) == degree:
+                break
+            alive &= between[i] > dist
+    return cand[kept]
+
+
+def beam(x: np.ndarray, table: np.ndarray, q: np.ndarray, start: np.ndarray, width: int, stop: float = -2.0) -> tuple[np.ndarray, np.ndarray]:
+    """The `width` nearest nodes that greedy searches of the graph reach, for many query vectors at once; -1 where there are fewer.
+
+    table: neighbours of each node, -1 for none; start: first nodes of each
+    query, -1 for none. A search goes on while its beam holds a node that it
+    has not gone through, among the `width` nearest and not below `stop`
+    (a similarity) unless all its beam is.
+    """
+    n, m = len(x), len(q)
+    seen = np.zeros((m, n), bool)
+    ids, val, done = np.full((m, width), -1), np.full((m, width), -3.0), np.ones((m, width), bool)
+    r, c = np.nonzero(start >= 0)
+    ids[r, c], val[r, c], done[r, c] = start[r, c], np.einsum("ij,ij->i", q[r], x[start[r, c]]), False
+    seen[r, start[r, c]] = True
+    rows = np.arange(m)
+    while len(rows):
+        v = np.where(done[rows], -4.0, val[rows])
+        best = np.argmax(v, axis=1)
+        top = v[np.arange(len(rows)), best]
+        on = (top > -3.0) & ((top >= stop) | (val[rows].max(axis=1) < stop))
+        rows, best = rows[on], best[on]
+        if not len(rows):
+            break
+        done[rows, best] = True
+        near = table[ids[rows, best]]
+        new = (near >= 0) & ~seen[rows[:, None], near]
+        r, c = np.nonzero(new)
+        if not len(r):
+            continue
+        h = near[r, c]
+        seen[rows[r], h] = True
+        s = np.full(near.shape, -3.0)
+        s[r, c] = np.einsum("ij,ij->i", q[rows[r]], x[h])
+        some = np.unique(r)
+        at = rows[some]
+        ids2 = np.concatenate([ids[at], np.where(new[some], near[some], -1)], 1)
+        val2 = np.concatenate([val[at], s[some]], 1)
+        done2 = np.concatenate([done[at], ~new[some]], 1)
+        o = np.argpartition(-val2, width - 1, axis=1)[:, :width]
+        ids[at], val[at], done[at] = (np.take_along_axis(z, o, 1) for z in (ids2, val2, done2))
+    return ids, val
+
+
+class Graph:
+    """The graph of one shard while it is built: leaders, whose balls hold what is nearer than `ball`, and their lists."""
+
+    def __init__(self, x: np.ndarray, group: np.ndarray, ball: float, degree: int, alpha: float, width: int):
+        n = len(x)
+        self.x, self.leader = x, np.arange(n)
+        table = np.full((n, 2 * degree), -1)
+        size = np.zeros(n, np.int64)
+        seed = int(np.argmax(x @ x.sum(axis=0)))
+        order = np.append(seed, np.delete(np.arange(n), seed))
+        a, step = 0, 1
+        while a < n:
+            batch = order[a : a + step]
+            q = x[batch]
+            ids = val = None
+            if a:
+                ids, val = (np.concatenate(v) for v in zip(*[beam(x, table, q[i : i + 256], np.full((len(q[i : i + 256]), 1), seed), width) for i in range(0, len(q), 256)], strict=True))
+                near = np.where((ids >= 0) & (group[ids] == group[batch][:, None]), val, -3.0)
+                best = near.argmax(axis=1)
+                joins = near.max(axis=1) >= ball
+                self.leader[batch[joins]] = ids[joins, best[joins]]
+                batch, q, ids = batch[~joins], q[~joins], ids[~joins]
+            new: list[int] = []
+            among = q @ q.T
+            for i, node in enumerate(batch.tolist()):
+                prior = np.array(new, np.int64)
+                if len(prior):
+                    own = np.where(group[batch[prior]] == group[node], among[i, prior], -3.0)
+                    if own.max() >= ball:
+                        self.leader[node] = batch[prior[own.argmax()]]
+                        continue
+                cand = batch[prior[np.argsort(-among[i, prior], kind="stable")[:degree]]] if len(prior) else prior
+                if ids is not None:
+                    cand = np.concatenate([ids[i][ids[i] >= 0], cand])
+                new.append(i)
+                if not len(cand):
+                    continue
+                kept = robust_prune(x, node, cand, degree, alpha)
+                table[node, : len(kept)], size[node] = kept, len(kept)
+                for other in kept.tolist():
+                    if size[other] == table.shape[1]:
+                        fewer = robust_prune(x, other, np.append(table[other], node), degree, alpha)
+                        table[other] = -1
+                        table[other, : len(fewer)], size[other] = fewer, len(fewer)
+                    else:
+                        table[other, size[other]] = node
+                        size[other] += 1
+            a, step = a + step, min(256, max(step * 2, 16))
+        self.table = table
+
+
+def in_range(u: np.ndarray, v: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of rows in range; next to the bound decided as the whole operator compares: in double precision, by both norms."""
+    s = u @ v.T
+    hit = s >= least
+    for i, j in zip(*np.nonzero(np.abs(s - least) < 1e-9), strict=True):
+        a, b = u[i], v[j]
+        hit[i, j] = float((a * b).sum()) / np.sqrt(float((a * a).sum()) * float((b * b).sum())) >= least
+    return hit
+
+
+def counted(home: np.ndarray, visits: np.ndarray, own: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of members (rows a, columns b) this shard counts: both at home here, or one, unless the other's home has both and comes first."""
+    here = (home[a] == own)[:, None], (home[b] == own)[None, :]
+    met = lambda p, q: (visits[p][:, None, :] == home[q][None, :, None]).any(axis=2)  # noqa: E731  p visits the home of q
+    left = here[0] & ~here[1] & ~((home[b] < own)[None, :] & met(a, b))
+    right = here[1] & ~here[0] & ~((home[a] < own)[:, None] & met(b, a).T)
+    return (here[0] & here[1]) | left | right
+
+
+def counted_pairs(home: np.ndarray, visits: np.ndarray, own: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As `counted`, for pairs (a[i], b[i])."""
+    here = home[a] == own, home[b] == own
+    met = lambda p, q: (visits[p] == home[q][:, None]).any(axis=1)
+    return (here[0] & here[1]) | (here[0] & ~here[1] & ~((home[b] < own) & met(a, b))) | (here[1] & ~here[0] & ~((home[a] < own) & met(b, a)))
+
+
+def verified(x: np.ndarray, mult: np.ndarray, home: np.ndarray, visits: np.ndarray, own: int, leader: np.ndarray, radius: np.ndarray, pairs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Link counts and smallest node reachable, from pairs of leaders whose balls may hold links (a leader with itself included)."""
+    n, angle = len(x), np.arccos(least)
+    links, low = np.zeros(n, np.int64), np.arange(n)
+    o = np.argsort(leader, kind="stable")
+    first, count = np.searchsorted(leader[o], np.arange(n)), np.bincount(leader, minlength=n)
+    lone = (count[pairs[:, 0]] == 1) & (count[pairs[:, 1]] == 1)
+    one = pairs[lone & (pairs[:, 0] != pairs[:, 1])]
+    for i in range(0, len(one), 1 << 16):
+        a, b = one[i : i + (1 << 16)].T
+        s = np.einsum("ij,ij->i", x[a], x[b])
+        hit = s >= least
+        for k in np.flatnonzero(np.abs(s - least) < 1e-9).tolist():
+            hit[k] = in_range(x[a[k : k + 1]], x[b[k : k + 1]], least)[0, 0]
+        a, b = a[hit], b[hit]
+        low = forest(n, low[a], low[b])[low]
+        here = counted_pairs(home, visits, own, a, b)
+        np.add.at(links, a[here], mult[b[here]])
+        np.add.at(links, b[here], mult[a[here]])
+    for p, q in pairs[~lone].tolist():
+        a, b = (o[first[k] : first[k] + count[k]] for k in (p, q))
+        # members of a ball agree in home and visits
+        here = counted_pairs(home, visits, own, a[:1], b[:1])[0]
+        sure = 2 * radius[p] if p == q else np.arccos(np.clip(x[p] @ x[q], -1, 1)) + radius[p] + radius[q]
+        if sure < angle - 1e-7:  # all pairs link
+            low = forest(n, low[np.append(a, np.full(len(b), a[0]))], low[np.append(np.full(len(a), b[0]), b)])[low]
+            if here:
+                links[a] += mult[b].sum() - (mult[a] if p == q else 0)
+                if p != q:
+                    links[b] += mult[a].sum()
+            continue
+        for i in range(0, len(a), 2048):
+            u = a[i : i + 2048]
+            hit = in_range(x[u], x[b], least)
+            if p == q:
+                hit[np.arange(len(u)), np.arange(i, i + len(u))] = False
+            r, c = np.nonzero(hit & (low[u][:, None] != low[b]))
+            if len(r):
+                low = forest(n, low[u[r]], low[b[c]])[low]
+            if here:
+                links[u] += hit @ mult[b]
+                if p != q:
+                    links[b] += mult[u] @ hit
+    return links, low
+
+
+def compare(x: np.ndarray, mult: np.ndarray, home: np.ndarray, visits: np.ndarray, own: int, sides: list[np.ndarray], least: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Link counts and smallest node reachable, over all pairs within one side or between two.
 
     Tiles of rows meet by matrix products; two tiles whose angle exceeds their
@@ -89,13 +296,13 @@ def compare(x: np.ndarray, mult: np.ndarray, sides: list[np.ndarray], least: flo
     links, low = np.zeros(n), np.arange(n)
     tiles = []
     for side in sides:
-        own = []
+        own_tiles = []
         for at in (side[i : i + tile] for i in range(0, len(side), tile)):
             mid = x[at].sum(axis=0)
             size = np.linalg.norm(mid)
             mid = mid / size if size > 1e-9 else x[at[0]]
-            own.append((at, mid, np.arccos(np.clip(x[at] @ mid, -1, 1)).max()))
-        tiles.append(own)
+            own_tiles.append((at, mid, np.arccos(np.clip(x[at] @ mid, -1, 1)).max()))
+        tiles.append(own_tiles)
     if len(sides) == 1:
         meet = [(a, b, i == j) for i, a in enumerate(tiles[0]) for j, b in enumerate(tiles[0][: i + 1])]
     else:
@@ -103,30 +310,40 @@ def compare(x: np.ndarray, mult: np.ndarray, sides: list[np.ndarray], least: flo
     for (a, am, ar), (b, bm, br), same in meet:
         if np.arccos(np.clip(am @ bm, -1, 1)) > ar + br + angle + 1e-6:
             continue
-        s = x[a] @ x[b].T
-        hit = s >= least
-        # next to the bound verified as the whole operator compares: double precision, both norms
-        for i, j in zip(*np.nonzero(np.abs(s - least) < 1e-9), strict=True):
-            u, v = x[a[i]], x[b[j]]
-            hit[i, j] = float((u * v).sum()) / np.sqrt(float((u * u).sum()) * float((v * v).sum())) >= least
+        hit = in_range(x[a], x[b], least)
         if same:
             np.fill_diagonal(hit, False)
         if not hit.any():
             continue
-        links[a] += hit @ mult[b].astype(np.float64)
-        if not same:
-            links[b] += mult[a].astype(np.float64) @ hit
         i, j = np.nonzero(hit & (low[a][:, None] != low[b]))
         if len(i):
             low = forest(n, low[a[i]], low[b[j]])[low]
+        hit &= counted(home, visits, own, a, b)
+        links[a] += hit @ mult[b].astype(np.float64)
+        if not same:
+            links[b] += mult[a].astype(np.float64) @ hit
     return links.astype(np.int64), low
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, per_centroid: int = 24, max_centroids: int = 50_000, block_bytes: int = 8 << 20) -> DataFrame:
+def _arrays(t: pa.Table):
+    """Of a shard's rows: vectors, nodes, copies, homes, and the other shards of each (padded with -1)."""
+    x = np.frombuffer(b"".join(t["vec"].to_pylist())).reshape(t.num_rows, -1)
+    ids, mult, home = (np.asarray(t[k].combine_chunks(), np.int64) for k in ("node", "n", "home"))
+    lists = t["shards"].to_pylist()
+    visits = np.full((t.num_rows, max(1, max(map(len, lists)))), -1, np.int64)
+    for i, v in enumerate(lists):
+        visits[i, : len(v)] = v
+    return x, ids, mult, home, visits
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, overlap: int = 2, margin: float = 0.06, degree: int = 16, alpha: float = 1.2, width: int = 32, per_centroid: int = 24, max_centroids: int = 50_000, most: int = 4_000, block_bytes: int = 8 << 20) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
 
     per_centroid x number of centroids bounds the sample that centroids are
-    fitted on. block_bytes: vectors of a piece, two of which meet in a task.
+    fitted on. overlap: shards of a vector at most; margin: how much less similar
+    than to its home it may be to the others. width: beam of the searches before
+    it grows. most: vectors of a shard searched as a graph; larger ones meet in
+    pieces of block_bytes of vectors.
     """
     spark = vectors.sparkSession
     rows = cut(prepared(vectors))
@@ -135,6 +352,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, p
     total = sum(sizes.values())
     per = max(shard, -(-total // max_centroids))
     parts = {c: max(1, -(-n // per)) for c, n in sizes.items()}
+    number = {c: i for i, c in enumerate(sorted(sizes))}
     centre: dict[str, np.ndarray] = {}
     large = [c for c in parts if parts[c] > 1]
     if large:
@@ -143,91 +361,131 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, p
         picked = nodes.where(F.col("cls").isin(large)) if len(large) <= 2000 else nodes
         got = picked.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < rate * 1_000_000).select("cls", "key", "vec").orderBy("cls", "key").toPandas()
         for c, g in got.groupby("cls"):
-            x = np.stack([np.frombuffer(v) for v in g["vec"]])
-            m = centroids(x, parts[c])
-            centre[c] = m[np.argsort(m @ np.linalg.svd(m, full_matrices=False)[2][0])]  # near ones next to each other
-    shared = spark.sparkContext.broadcast(centre)
-
-    def by_class(b, most=1 << 22):
-        """Class, its centroids and the places of some of its rows in a batch, with their vectors."""
-        cls, vec = b.column("cls").to_pylist(), b.column("vec").to_pylist()
-        by: dict[str, list[int]] = {}
-        for i, c in enumerate(cls):
-            by.setdefault(c, []).append(i)
-        for c, at in by.items():
-            m = shared.value.get(c)
-            step = max(16, most // (1 if m is None else len(m)))
-            for a in range(0, len(at), step):
-                yield c, m, at[a : a + step], np.stack([np.frombuffer(vec[i]) for i in at[a : a + step]])
+            # centroids nearer to each other than the range's angle and a little would cut a dense family up
+            centre[c] = centroids(np.stack([np.frombuffer(v) for v in g["vec"]]), parts[c], least - 0.05)
+    shared = spark.sparkContext.broadcast((number, centre))
 
     def assign(batches):
+        number, centre = shared.value
         for b in batches:
-            home, near = np.zeros(b.num_rows, np.int32), np.full(b.num_rows, -1.0)
-            for _, m, at, x in by_class(b):
-                if m is not None:
-                    s = x @ m.T
-                    home[at], near[at] = np.argmax(s, axis=1), s.max(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(near)], [*b.schema.names, "home", "near"])
-
-    housed = cut(nodes.select("cls", "key", "node", "n", "vec").mapInArrow(assign, "cls string, key binary, node long, n long, vec binary, home int, near double"))
-    # pieces of at most block_bytes of vectors: runs of whole shards, or parts of one shard
-    runs: dict[str, list] = {}
-    for r in housed.groupBy("cls", "home").agg(F.count("*").alias("n"), F.min("near").alias("near")).orderBy("cls", "home").collect():  # one row a centroid
-        most = max(256, block_bytes // (8 * int(r["cls"].rsplit(":", 1)[1])))
-        own = runs.setdefault(r["cls"], [])
-        if own and own[-1]["n"] + r["n"] <= most:
-            own[-1]["n"] += r["n"]
-        else:
-            own.append({"n": r["n"], "first": r["home"], "most": most})
-        own[-1].setdefault("angle", {})[r["home"]] = float(np.arccos(np.clip(r["near"], -1, 1)))
-    plan = {}
-    for c, own in runs.items():
-        count = np.array([-(-w["n"] // w["most"]) for w in own])
-        radius = np.full(len(centre[c]) if c in centre else 1, -np.inf)  # of empty shards
-        for w in own:
-            for h, v in w["angle"].items():
-                radius[h] = v
-        plan[c] = np.array([w["first"] for w in own]), count, np.cumsum(count) - count, radius
-    laid = spark.sparkContext.broadcast(plan)
-    angle, width = np.arccos(least), np.sqrt(2 - 2 * least)
-
-    def deal(batches):
-        for b in batches:
-            home, key = np.asarray(b.column("home")), b.column("key").to_pylist()
-            piece, cells = np.zeros(b.num_rows, np.int32), [[] for _ in key]
-            for c, m, at, x in by_class(b):
-                first, count, start, radius = laid.value[c]
-                h = home[at]
-                run = np.searchsorted(first, h, side="right") - 1
-                own = start[run] + np.array([int.from_bytes(key[i][:6], "big") for i in at]) % count[run]
-                piece[at] = own
-                if m is None or len(first) == 1:
-                    met = np.ones((len(at), len(first)), bool)
-                else:
-                    # a pair in range lies within the range of the plane between its two shards, and within the range of both shards' balls
-                    s = x @ m.T
-                    apart = np.sqrt(np.maximum(2 - 2 * m[h] @ m.T, 0))
-                    ok = s[np.arange(len(at)), h][:, None] - s <= width * apart + 1e-6
-                    ok &= np.arccos(np.clip(s, -1, 1)) <= radius + angle + 1e-6
-                    ok[np.arange(len(at)), h] = True
-                    met = np.logical_or.reduceat(ok, np.append(0, first[1:]), axis=1)
-                met = np.repeat(met, count, axis=1)
-                for i, p, w in zip(at, own.tolist(), met, strict=True):
-                    cells[i] = [f"{c}/{min(p, q)}/{max(p, q)}" for q in np.flatnonzero(w).tolist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("vec"), b.column("home"), pa.array(piece), pa.array(cells, pa.list_(pa.string()))], ["node", "n", "vec", "home", "piece", "cells"])
-
-    met = housed.select("cls", "key", "node", "n", "vec", "home").mapInArrow(deal, "node long, n long, vec binary, home int, piece int, cells array<string>").withColumn("cell", F.explode("cells")).drop("cells")
-
-    def meet(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("piece", "ascending"), ("home", "ascending"), ("node", "ascending")])
-        x = np.frombuffer(b"".join(t["vec"].to_pylist())).reshape(t.num_rows, -1)
-        ids, mult, piece = (np.asarray(t[k].combine_chunks()) for k in ("node", "n", "piece"))
-        sides = [np.flatnonzero(piece == p) for p in sorted({int(p) for p in t["cell"][0].as_py().rsplit("/", 2)[1:]})]
-        links, low = compare(x, mult, sides, least)
-        some = np.flatnonzero(links)
-        return pa.table({"node": pa.array(ids[some]), "links": pa.array(links[some]), "low": pa.array(ids[low[some]])})
-
-    found = cut(met.groupBy("cell").applyInArrow(meet, "node long, links long, low long"))
+            cls, vec = b.column("cls").to_pylist(), b.column("vec").to_pylist()
+            home, lists = np.zeros(b.num_rows, np.int64), [[] for _ in cls]
+            by: dict[str, list[int]] = {}
+            for i, c in enumerate(cls):
+                by.setdefault(c, []).append(i)
+            for c, at in by.items():
+                m, base = centre.get(c), number[c] << 32
+                step = max(16, (1 << 22) // (1 if m is None else len(m)))
+                for a in range(0, len(at), step):
+                    part = at[a : a + step]
+                    if m is None or len(m) == 1:
+                        home[part] = base
+                        continue
+                    s = np.stack([np.frombuffer(vec[i]) for i in part]) @ m.T
+                    k = min(overlap, s.shape[1])
+                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    val = np.take_along_axis(s, top, 1)
+                    o = np.argsort(-val, axis=1, kind="stable")
+                    top, val = np.take_along_axis(top, o, 1), np.take_along_axis(val, o, 1)
+                    home[part] = base + top[:, 0]
+                    for i, t, v in zip(part, top.tolist(), val.tolist(), strict=True):
+                        lists[i] = [base + j for j, w in zip(t[1:], v[1:], strict=True) if w >= v[0] - margin]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("vec"), pa.array(home), pa.array(lists, pa.list_(pa.int64()))], ["node", "n", "vec", "home", "shards"])
+
+    housed = cut(nodes.select("node", "n", "vec", "cls").mapInArrow(assign, "node long, n long, vec binary, home long, shards array<long>"))
+    member = housed.withColumn("shard", F.explode(F.concat(F.array("home"), "shards")))
+    # one row a centroid; shards too large for a graph, and into how many pieces they go
+    over = {r["shard"]: max(2, -(-r["bytes"] // block_bytes)) for r in member.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.octet_length("vec")).alias("bytes")).where(F.col("n") > most).collect()}
+    ball = np.cos(0.45 * np.arccos(least))
+    inside = member.where(~F.col("shard").isin(list(over))) if over else member
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        x, ids, _, home, visits = _arrays(t)
+        group = np.unique(np.concatenate([home[:, None], visits], 1), axis=0, return_inverse=True)[1].ravel()
+        g = Graph(x, group, ball, degree, alpha, width)
+        return pa.table({"shard": t["shard"], "node": t["node"], "leader": pa.array(ids[g.leader]), "near": pa.array([ids[v[v >= 0]].tolist() for v in g.table], pa.list_(pa.int64()))})
+
+    built = cut(inside.groupBy("shard").applyInArrow(build, "shard long, node long, leader long, near array<long>"))
+    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most `overlap` lists
+
+    def find(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        x, ids, mult, home, visits = _arrays(t)
+        n, own = len(ids), t["shard"][0].as_py()
+        leader = np.searchsorted(ids, np.asarray(t["leader"].combine_chunks(), np.int64))
+        # the united lists, as far as they lie in this shard, lead from ball to ball
+        near = t["near"].combine_chunks()
+        to, of = np.asarray(near.flatten(), np.int64), np.repeat(np.arange(n), np.asarray(pc.list_value_length(near).fill_null(0)))
+        at = np.minimum(np.searchsorted(ids, to), n - 1)
+        ok = ids[at] == to
+        a, b = leader[of[ok]], leader[at[ok]]
+        edge = np.unique(np.concatenate([a * n + b, b * n + a])[np.tile(a != b, 2)])
+        a, b = edge // n, edge % n
+        count = np.bincount(a, minlength=n)
+        table = np.full((n, max(1, int(count.max(initial=0)))), -1)
+        table[a, ranges(np.zeros(n, np.int64), count)] = b
+        heads = np.unique(leader)
+        medoid = heads[np.argmax(x[heads] @ x.sum(axis=0))]
+        turn = np.arccos(np.clip(np.einsum("ij,ij->i", x, x[leader]), -1, 1))
+        radius = np.zeros(n)
+        np.maximum.at(radius, leader, turn)
+        reach = np.cos(min(np.pi, np.arccos(least) + 2 * radius.max()))
+        pairs, todo, wide = [np.stack([heads, heads], 1)], heads, min(width, len(heads))
+        while len(todo) and len(heads) > 1:
+            again = []
+            if wide > width and wide * 16 > len(heads):  # what has grown so far goes through all there is
+                for i in range(0, len(todo), 512):
+                    q = todo[i : i + 512]
+                    r, c = np.nonzero(np.arccos(np.clip(x[q] @ x[heads].T, -1, 1)) - radius[q][:, None] - radius[heads] <= np.arccos(least) + 1e-9)
+                    pairs.append(np.stack([q[r], heads[c]], 1))
+                break
+            for i in range(0, len(todo), step := max(16, 65_536 // (wide + table.shape[1]))):
+                q = todo[i : i + step]
+                hit, val = beam(x, table, x[q], np.stack([q, np.where(q == medoid, -1, medoid)], 1), max(2, wide), reach - 0.25)
+                far = np.arccos(np.clip(val, -1, 1)) - radius[q][:, None] - radius[hit] <= np.arccos(least) + 1e-9
+                good = (hit >= 0) & far
+                full = (good.sum(axis=1) * 2 >= wide) & (wide < len(heads))
+                again.append(q[full])
+                r, c = np.nonzero(good & ~full[:, None])
+                pairs.append(np.stack([q[r], hit[r, c]], 1))
+            todo, wide = np.concatenate(again), min(wide * 4, len(heads))
+        p = np.concatenate(pairs)
+        code = np.unique(p.min(axis=1) * n + p.max(axis=1))
+        links, low = verified(x, mult, home, visits, own, leader, radius, np.stack([code // n, code % n], 1), least)
+        return pa.table({"node": pa.array(ids), "links": pa.array(links), "low": pa.array(ids[low])})
+
+    found = inside.join(built.select("shard", "node", "leader"), ["shard", "node"]).join(united, "node").groupBy("shard").applyInArrow(find, "node long, links long, low long")
+    if over:
+        laid = spark.sparkContext.broadcast(over)
+
+        def deal(batches):
+            for b in batches:
+                cells = []
+                for s, node in zip(b.column("shard").to_pylist(), b.column("node").to_pylist(), strict=True):
+                    k = laid.value[s]
+                    own = hash((node, 7)) % k
+                    cells.append([(own, min(own, p), max(own, p)) for p in range(k)])
+                count = [len(c) for c in cells]
+                flat = np.array([c for x in cells for c in x], np.int64).reshape(-1, 3)
+                big = pa.Table.from_batches([b]).take(pa.array(np.repeat(np.arange(b.num_rows), count)))
+                for k, name in enumerate(("piece", "p", "q")):
+                    big = big.append_column(name, pa.array(flat[:, k]))
+                yield from big.to_batches(max_chunksize=4096)
+
+        def meet(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("piece", "ascending"), ("node", "ascending")])
+            x, ids, mult, home, visits = _arrays(t)
+            piece = np.asarray(t["piece"].combine_chunks())
+            sides = [np.flatnonzero(piece == p) for p in sorted({t["p"][0].as_py(), t["q"][0].as_py()})]
+            links, low = compare(x, mult, home, visits, t["shard"][0].as_py(), sides, least)
+            some = np.flatnonzero((links > 0) | (low != np.arange(len(low))))
+            return pa.table({"node": pa.array(ids[some]), "links": pa.array(links[some]), "low": pa.array(ids[low[some]])})
+
+        outside = member.where(F.col("shard").isin(list(over))).select("shard", "node", "n", "vec", "home", "shards")
+        outside = outside.mapInArrow(deal, "shard long, node long, n long, vec binary, home long, shards array<long>, piece long, p long, q long")
+        found = found.unionByName(outside.groupBy("shard", "p", "q").applyInArrow(meet, "node long, links long, low long"))
+    found = cut(found)
     comp = components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = cut(nodes.select("cls", "key", "node", "n").join(links, "node", "left").join(comp, "node", "left").select("cls", "key", "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
