@@ -12,16 +12,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; only in one local process, as in tests, a temporary folder where it is unset."""
     sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        found = sc._jsc.sc().getCheckpointDir().get()
+    if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="kinlink-")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the cluster's shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kinlink-checkpoint-")
-        sc.setCheckpointDir(own)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
     """Bytes of all texts, for choosing numbers of partitions."""
     return int(docs.agg(F.sum(F.octet_length(col))).first()[0] or 0)
