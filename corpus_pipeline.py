@@ -7,13 +7,12 @@ next; a lost executor costs at most the stage that was running.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from kinlink.llm import decontam, mixing, ngram_join, secrets, toxicity
-from kinlink.llm.shared import cut, table
+from kinlink.llm.shared import cut, remove, shared_folder, table
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -63,12 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over documents."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinlink-pipeline-")
+    """All stages over documents; what a stage wrote goes once the next one has written."""
     docs = table(spark, sf_dir, "documents")
-    home = f"{base}/pipeline-{uuid.uuid4().hex}"
+    home, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{home}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
