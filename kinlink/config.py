@@ -132,6 +132,17 @@ class MatchConfig:
     def sha256(self) -> str:
         return hashlib.sha256(self.to_json().encode()).hexdigest()
 
+    def text_signature(self, role: str) -> str:
+        """Digest of all that a side's retrieval text follows from: its own definition, or the sides of the weighted rules (with value mappings of the source)."""
+        own = getattr(self.retrieval, role)
+        if own is not None:
+            what: object = {"explicit": asdict(own)}
+        else:
+            rules = [r for r in self.rules if r.weight > 0]
+            mapped = role == "source" and any(r.value_mapping for r in rules)
+            what = {"derived_from_rules": [{"side": asdict(getattr(r, role)), "value_mapping": dict(r.value_mapping)} if mapped else asdict(getattr(r, role)) for r in rules]}
+        return hashlib.sha256(json.dumps(what, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
     def source_columns(self) -> list[str]:
         own = [c for r in self.rules for c in r.source.columns]
         own += [c for c in (self.source_id_column, self.scope.source_column, self.source_filter.column if self.source_filter else None) if c]

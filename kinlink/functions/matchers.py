@@ -37,9 +37,19 @@ def contains(s: Column, t: Column, score: float = 1.0, by_length: bool = False)
     return F.when(s == t, 1.0).when(F.contains(s, t) | F.contains(t, s), c).otherwise(0.0)
 
 
+def tokens(c: Column) -> Column:
+    """Distinct words of a text."""
+    return F.array_distinct(F.filter(F.split(c, WORD_BREAK), lambda w: w != ""))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets of words; the union's size follows from the intersection's."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
+
+
 def jaccard(s: Column, t: Column) -> Column:
-    a, b = (F.array_distinct(F.filter(F.split(x, WORD_BREAK), lambda w: w != "")) for x in (s, t))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    return overlap(tokens(s), tokens(t))
 
 
 @F.pandas_udf(T.DoubleType())

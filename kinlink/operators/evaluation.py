@@ -24,9 +24,10 @@ def truth_errors(truth: DataFrame) -> DataFrame:
 
 
 def evaluation_items(truth: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row per truth row; truth without an item keeps matched_task_row = 0."""
+    """One row per truth row; truth without an item keeps matched_task_row = 0. NO_MATCH is right where the item ended UNMATCHED without a code."""
     own = truth.select("truth_key", "expected", "expected_code")
-    d = own.join(items.select(F.col("source_id").alias("truth_key"), "current_status", "top1_group_code", "final_group_code", "top1_score"), "truth_key", "left")
+    first = F.col("original_status") if "original_status" in items.columns else F.col("current_status")
+    d = own.join(items.select(F.col("source_id").alias("truth_key"), "current_status", first.alias("original_status"), "top1_group_code", "final_group_code", "top1_score"), "truth_key", "left")
     ranks = candidates.select(F.col("source_id").alias("truth_key"), F.col("target_group_code").alias("expected_code"), "rank").groupBy("truth_key", "expected_code").agg(F.min("rank").alias("expected_rank"))
     d = d.join(ranks, ["truth_key", "expected_code"], "left")
     is_match = F.col("expected") == "MATCH"
@@ -35,7 +36,7 @@ def evaluation_items(truth: DataFrame, items: DataFrame, candidates: DataFrame)
         {
             "matched_task_row": here.cast("int"),
             "top1_correct": F.coalesce(is_match & (F.col("top1_group_code") == F.col("expected_code")), F.lit(False)).cast("int"),
-            "final_correct": F.coalesce(F.when(is_match, F.col("final_group_code") == F.col("expected_code")).otherwise(here & F.col("final_group_code").isNull()), F.lit(False)).cast("int"),
+            "final_correct": F.coalesce(F.when(is_match, F.col("final_group_code") == F.col("expected_code")).otherwise((F.col("current_status") == "UNMATCHED") & (F.coalesce("final_group_code", F.lit("")) == "")), F.lit(False)).cast("int"),
         }
     )
 
@@ -78,6 +79,43 @@ def metrics(e: DataFrame) -> DataFrame:
     )
 
 
+def full_metrics(e: DataFrame, ks: tuple[int, ...] = RECALL_AT) -> DataFrame:
+    """The whole evaluation report in one global aggregation: the task's first decisions, its current ones, and what people changed."""
+    here, match = F.col("matched_task_row") == 1, F.col("expected") == "MATCH"
+    final = F.coalesce("final_group_code", F.lit("")) != ""
+    right = match & (F.col("top1_group_code") == F.col("expected_code"))
+    was, now = (lambda x: here & (F.col("original_status") == x)), (lambda x: here & (F.col("current_status") == x))
+    n, nm, nn = F.count_if(here), F.count_if(here & match), F.count_if(here & ~match)
+    top, done = F.count_if(here & (F.col("top1_correct") == 1)), F.count_if(here & (F.col("final_correct") == 1))
+    tn = F.count_if(here & ~match & (F.col("final_correct") == 1))
+    fp = F.count_if(here & ~match & (F.col("current_status").isin("MATCHED", "CONFIRMED") | final))
+    resolved = F.count_if(here & (final | (~match & (F.col("current_status") == "UNMATCHED"))))
+    maybe = lambda a, b: F.when(b > 0, F.round(a / F.when(b > 0, b), 6))
+    signed = lambda a, b: F.when(b > 0, F.round(a / F.when(b > 0, b), 6)).otherwise(0.0)
+    counts = {
+        "truth_rows": F.count("*"), "evaluated_rows": n, "positive_truth_rows": nm, "no_match_truth_rows": nn, "top1_correct": top, "final_correct": done,
+        "automatic_rows": F.count_if(was("MATCHED")), "automatic_correct": F.count_if(was("MATCHED") & right), "automatic_match_rows": F.count_if(now("MATCHED")), "automatic_match_correct": F.count_if(now("MATCHED") & right),
+        "review_rows": F.count_if(was("REVIEW")), "current_review_rows": F.count_if(now("REVIEW")), "unmatched_rows": F.count_if(was("UNMATCHED")), "resolved_rows": resolved, "human_changed_rows": F.count_if(here & final & ~F.col("final_group_code").eqNullSafe(F.col("top1_group_code"))),
+        "no_match_true_negative": tn, "no_match_false_positive": fp,
+    }
+    rates = {
+        "truth_coverage": ratio(n, F.count("*")), "top1_accuracy": ratio(top, nm), "positive_top1_accuracy": ratio(top, nm), "final_accuracy": ratio(done, n), "human_accuracy_gain": signed(done - top - tn, n),
+        "automatic_accuracy": ratio(counts["automatic_correct"], counts["automatic_rows"]), "automatic_match_precision": ratio(counts["automatic_match_correct"], counts["automatic_match_rows"]),
+        "review_rate": ratio(counts["review_rows"], n), "current_review_rate": ratio(counts["current_review_rows"], n), "unmatched_rate": ratio(counts["unmatched_rows"], n), "resolved_rate": ratio(resolved, n),
+        "no_match_true_negative_rate": maybe(tn, nn), "no_match_false_positive_rate": maybe(fp, nn), **{f"candidate_recall_at_{k}": ratio(F.count_if(here & match & (F.col("expected_rank") <= k)), nm) for k in ks},
+    }
+    return e.agg(*[c.alias(k) for k, c in (counts | rates).items()])
+
+
+def extremes(e: DataFrame, n: int = 12) -> DataFrame:
+    """kind, place, truth_key, top1_score: right first candidates with the lowest scores, and rows without a match with the highest."""
+    right, none = e.where("top1_correct = 1"), e.where("expected <> 'MATCH' and matched_task_row = 1")
+    pick = lambda d, kind, order: d.orderBy(order, "truth_key").limit(n).select(F.lit(kind).alias("kind"), "truth_key", "top1_score")
+    low, high = pick(right, "lowest_correct_top1", F.col("top1_score").asc_nulls_first()), pick(none, "highest_true_no_match_top1", F.col("top1_score").desc_nulls_last())
+    rank = lambda d, order: d.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(order, "truth_key")))  # noqa: E731  n rows
+    return rank(low, F.col("top1_score").asc_nulls_first()).unionByName(rank(high, F.col("top1_score").desc_nulls_last()))
+
+
 def errors(e: DataFrame, limit: int) -> DataFrame:
     return e.orderBy("matched_task_row", "final_correct", "top1_correct", "truth_key").limit(limit)
 

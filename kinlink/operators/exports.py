@@ -6,10 +6,13 @@ items, candidates and reviews as kept by the store; joins are by
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinlink.errors import ConfigError
 from kinlink.operators.calibration import status_for
 from kinlink.operators.review import latest_review, method_label
 
@@ -62,6 +65,13 @@ def field_state(score: Column) -> Column:
     return F.when(score.isNull(), 4).when(score >= 0.999999, 1).when(score > 0, 2).otherwise(3)
 
 
+def column_states(source: Column, target: Column, ruled: Column | None = None) -> Column:
+    """State of a column that both sides have: that of the rules over it, else by comparing the trimmed texts; missing wherever a side is."""
+    blank = lambda c: F.coalesce(F.regexp_replace(c, r"(?U)\s+", ""), F.lit("")) == ""
+    plain = F.when(F.trim(source) == F.trim(target), 1).otherwise(3)
+    return F.when(blank(source) | blank(target), 4).otherwise(F.coalesce(ruled, plain) if ruled is not None else plain)
+
+
 STATES = ("EXACT", "PARTIAL", "DIFFERENT", "MISSING")
 
 
@@ -86,3 +96,56 @@ def best_and_second(scores: DataFrame, by: str, score: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.col(score).desc())
     d = scores.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
     return d.groupBy(by).agg(F.max(F.when(F.col("_n") == 1, F.col(score))).alias("best"), F.max(F.when(F.col("_n") == 2, F.col(score))).alias("second"))
+
+
+def ordered_rules(rules) -> list:
+    """Rules as reports show them: critical ones first, then by falling weight; equals as configured."""
+    return sorted(rules, key=lambda r: (not r.critical, -r.weight))
+
+
+def column_pairs(rules, source_columns, target_columns) -> list[tuple[list[str], list[str], str]]:
+    """(source columns, target columns, label) side by side in a report: each column goes to the first rule, in that order, that has columns left on both sides."""
+    left, right = dict.fromkeys(source_columns), dict.fromkeys(target_columns)
+    out = []
+    for r in ordered_rules(rules):
+        s, t = [c for c in r.source.columns if c in left], [c for c in r.target.columns if c in right]
+        if s and t:
+            for names, own in ((left, s), (right, t)):
+                for c in own:
+                    names.pop(c, None)
+            a, b = " / ".join(s), " / ".join(t)
+            out.append((s, t, a if a == b else f"{a} ↔ {b}"))
+    return out
+
+
+def merge_template(base: dict, given: dict, path: str = "") -> dict:
+    """A report template: the base with the given values in place of its own, at any depth; keys that the base lacks are refused."""
+    out = dict(base)
+    for k, v in given.items():
+        where = f"{path}.{k}" if path else str(k)
+        if k not in base:
+            raise ConfigError("TEMPLATE_INVALID", f"unknown {where}")
+        if isinstance(base[k], dict) != isinstance(v, dict):
+            raise ConfigError("TEMPLATE_INVALID", f"{where} has the wrong kind")
+        out[k] = merge_template(base[k], v, where) if isinstance(v, dict) else v
+    return out
+
+
+def check_template(t: dict) -> dict:
+    """The template, if a workbook can be made from it: sheet names that differ and fit, colours of six hex digits, a number of candidates within 1 to 50."""
+    names = [str(x or "").strip() for x in t.get("sheets", {}).values()]
+    if not names or not all(names) or len(set(names)) < len(names) or any(len(x) > 31 for x in names):
+        raise ConfigError("TEMPLATE_INVALID", "sheets")
+    if not 1 <= int(t.get("candidate_top_n") or 0) <= 50:
+        raise ConfigError("TEMPLATE_INVALID", "candidate_top_n")
+
+    def colours(d: dict, path: str):
+        for k, v in d.items():
+            if isinstance(v, dict):
+                colours(v, f"{path}.{k}")
+            elif k.endswith(("_fill", "_color")) or path.endswith("_fill"):
+                if not re.fullmatch(r"#?[0-9A-Fa-f]{6}", str(v or "")):
+                    raise ConfigError("TEMPLATE_INVALID", f"{path}.{k}")
+
+    colours(t.get("style", {}), "style")
+    return t

@@ -58,7 +58,7 @@ def long_form(df: DataFrame, columns: Sequence[str], ordinal: str) -> DataFrame:
     """column_name, value (text), ordinal: one row per filled cell."""
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
     d = df.select(F.col(ordinal).alias("ordinal"), F.inline(cells))
-    return d.where(F.coalesce(F.trim("value"), F.lit("")) != "")
+    return d.where(F.coalesce(F.regexp_replace("value", r"(?U)[\s\x1c-\x1f]+", ""), F.lit("")) != "")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], ordinal: str) -> DataFrame:
@@ -94,11 +94,33 @@ def token_lengths(df: DataFrame, length: str, candidates: Sequence[int] = TOKEN_
     return d.withColumn("recommended_length", fit)
 
 
-def text_profile(df: DataFrame, text: str) -> DataFrame:
+def column_values(df: DataFrame, column: str, ordinal: str, k: int = 20) -> DataFrame:
+    """One row about a column: type, distinct values, whether they look like an enumeration, the commonest values (value=n), the values of an enumeration, and whether those are all."""
+    p = column_profile(df, [column], ordinal)
+    top = top_values(df, [column], ordinal, k).groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("place", "value", "n"))).alias("t"))  # k values
+    d = p.join(top, "column_name", "left")
+    values = F.transform("t", lambda x: x["value"])
+    return d.select("column_name", "datatype", "unique_count", "enum_candidate", F.array_join(F.transform("t", lambda x: F.concat(x["value"], F.lit("="), x["n"].cast("string"))), ",").alias("top_values"), F.when(F.col("enum_candidate"), F.array_join(values, ",")).otherwise("").alias("values"), (F.coalesce(F.size("t"), F.lit(0)) >= F.col("unique_count")).alias("values_complete"))
+
+
+def text_profile(df: DataFrame, text: str, most: int = 512, scanned: DataFrame | None = None) -> DataFrame:
+    """Rows, filled and distinct texts, rates of empty, repeated and too long ones. scanned: the part of df to profile, if not all; coverage is its share."""
+    d = df if scanned is None else scanned
     t = F.coalesce(F.col(text), F.lit(""))
     n, filled = F.count("*"), F.count_if(t != "")
     part = lambda a, b: F.when(b > 0, F.round(a / F.when(b > 0, b), 6)).otherwise(0.0)
-    return df.agg(n.alias("row_count"), filled.alias("filled_rows"), F.count_distinct(F.when(t != "", t)).alias("distinct_texts"), F.max(F.length(t)).alias("longest")).select("row_count", "filled_rows", "distinct_texts", "longest", part(F.col("row_count") - F.col("filled_rows"), F.col("row_count")).alias("empty_rate"), part(F.col("filled_rows") - F.col("distinct_texts"), F.col("filled_rows")).alias("duplicate_rate"))
+    got = d.agg(n.alias("row_count"), filled.alias("filled_rows"), F.count_distinct(F.when(t != "", t)).alias("distinct_texts"), F.max(F.length(t)).alias("longest"), F.count_if(F.length(t) > most).alias("_long"))
+    whole = F.lit(1.0)
+    if scanned is not None:
+        got, whole = got.crossJoin(df.agg(F.count("*").alias("_all"))), part(F.col("row_count"), F.col("_all"))  # one row each
+    return got.select("row_count", "filled_rows", "distinct_texts", "longest", part(F.col("row_count") - F.col("filled_rows"), F.col("row_count")).alias("empty_rate"), part(F.col("filled_rows") - F.col("distinct_texts"), F.col("filled_rows")).alias("duplicate_rate"), part(F.col("_long"), F.col("filled_rows")).alias("truncation_rate"), whole.alias("coverage_ratio"))
+
+
+def latencies(df: DataFrame, seconds: str, rows: str) -> DataFrame:
+    """One row about timed batches: median and 95th percentile in milliseconds, rows a second, hours for 1.1 million rows."""
+    p = F.percentile(seconds, F.array(F.lit(0.5), F.lit(0.95)))
+    d = df.agg(p.alias("p"), (F.sum(rows) / F.sum(seconds)).alias("r"))
+    return d.select(F.round(F.col("p")[0] * 1000, 3).alias("p50_ms"), F.round(F.col("p")[1] * 1000, 3).alias("p95_ms"), F.round("r", 3).alias("rows_per_second"), F.round(1_100_000 / F.col("r") / 3600, 3).alias("projected_hours"))
 
 
 def bottom_k_sample(df: DataFrame, key: str, k: int = 4096, seed: int = 20260915) -> DataFrame:

@@ -37,13 +37,45 @@ def duration(start: Column, end: Column) -> tuple[Column, Column]:
     return ms, text
 
 
-def throughput(progress: DataFrame, window_s: int = 900) -> DataFrame:
-    """progress: task_id, seconds (whole), done, total. Rate since the first sample of the last window_s seconds, and remaining seconds."""
-    w = Window.partitionBy("task_id").orderBy("seconds").rangeBetween(-window_s, 0)
-    d = progress.withColumns({"_s": F.min("seconds").over(w), "_d": F.min_by("done", "seconds").over(w)})
-    dt, dn = F.col("seconds") - F.col("_s"), F.col("done") - F.col("_d")
+def with_versions(entities: DataFrame, versions: DataFrame, key: str) -> DataFrame:
+    """Versions with what is known of their entity; versions of unknown entities are left out. `version_place`: 1 for the newest of an entity."""
+    w = Window.partitionBy(key).orderBy(F.col("created_at").desc(), F.col("version_id").desc())
+    return versions.join(entities, key).withColumn("version_place", F.row_number().over(w))
+
+
+def task_details(tasks: DataFrame, **parts: DataFrame) -> DataFrame:
+    """tasks with the columns of each part (task_id and others) where there is one: lifecycle, actors, runtime, index version. A part's columns are prefixed by its name."""
+    for name, part in parts.items():
+        tasks = tasks.join(part.select("task_id", *[F.col(c).alias(f"{name}_{c}") for c in part.columns if c != "task_id"]), "task_id", "left")
+    return tasks
+
+
+def claim_next(tasks: DataFrame, waiting=("PENDING", "RECOVERING")) -> DataFrame:
+    """tasks (task_id, status, created_at, started_at) with the oldest waiting one being prepared."""
+    first = tasks.where(F.col("status").isin(*waiting)).agg(F.min_by("task_id", F.struct("created_at", "task_id")).alias("_claimed"))  # one row
+    d = tasks.crossJoin(F.broadcast(first))
+    mine = F.col("task_id").eqNullSafe(F.col("_claimed"))
+    return d.withColumns({"status": F.when(mine, "PREPARING").otherwise(F.col("status")), "started_at": F.when(mine, F.coalesce("started_at", "created_at")).otherwise(F.col("started_at"))}).drop("_claimed")
+
+
+def same_children(frozen: DataFrame, bound: DataFrame, key: str, child: str) -> DataFrame:
+    """key, same: whether a composite's frozen children and those a run is bound to are the same set."""
+    a = frozen.groupBy(key).agg(F.array_sort(F.collect_set(child)).alias("_a"))
+    b = bound.groupBy(key).agg(F.array_sort(F.collect_set(child)).alias("_b"))
+    return a.join(b, key, "full_outer").select(key, F.col("_a").eqNullSafe(F.col("_b")).alias("same"))
+
+
+def throughput(progress: DataFrame, window_s: int = 900, most: int = 120) -> DataFrame:
+    """progress: task_id, seconds (whole), done, total. Rate since the first sample of the last window_s seconds and the last `most` samples, and remaining seconds."""
+    order = Window.partitionBy("task_id").orderBy("seconds", "done")
+    d = progress.withColumn("_n", F.row_number().over(order))
+    recent = Window.partitionBy("task_id").orderBy("seconds").rangeBetween(-window_s, 0)
+    back = most - 1
+    d = d.withColumns({"_first": F.min("_n").over(recent), "_ws": F.min("seconds").over(recent), "_wd": F.min_by("done", "_n").over(recent), "_ls": F.lag("seconds", back).over(order), "_ld": F.lag("done", back).over(order)})
+    late = F.col("_n") - back > F.col("_first")
+    dt, dn = F.col("seconds") - F.when(late, F.col("_ls")).otherwise(F.col("_ws")), F.col("done") - F.when(late, F.col("_ld")).otherwise(F.col("_wd"))
     rate = F.when((dt > 0) & (dn > 0), dn / F.when(dt > 0, dt))
-    return d.withColumn("rows_per_second", F.round(rate, 6)).withColumn("eta_seconds", F.when(rate.isNotNull(), F.ceil(F.round((F.col("total") - F.col("done")) / rate, 6)))).drop("_s", "_d")
+    return d.withColumn("rows_per_second", F.round(rate, 6)).withColumn("eta_seconds", F.when(rate.isNotNull(), F.ceil(F.round((F.col("total") - F.col("done")) / rate, 6)))).drop("_n", "_first", "_ws", "_wd", "_ls", "_ld")
 
 
 def stale(results: DataFrame, changes: DataFrame) -> DataFrame:

@@ -27,37 +27,53 @@ def _filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def _raw(side: Side, columns=F.col) -> list[Column]:
+    """Texts of one side before processing."""
+    if side.fixed_value is not None:
+        return [F.lit(side.fixed_value)]
+    if side.combine == "best_of":
+        return [columns(c).cast("string") for c in side.columns]
+    filled = [_filled(columns(c).cast("string")) for c in side.columns]
+    return [_filled(F.concat_ws(side.separator, *filled))] if side.combine == "concat" else [F.coalesce(*filled)]
+
+
+def _some(texts: list[Column]) -> Column:
+    return F.filter(F.array(*texts), lambda x: x.isNotNull() & (x != ""))
+
+
 def combined(side: Side, columns=F.col) -> Column:
     """Processed texts of one side, as an array of non-empty strings."""
-    if side.fixed_value is not None:
-        raw = [F.lit(side.fixed_value)]
-    else:
-        filled = [_filled(columns(c).cast("string")) for c in side.columns]
-        if side.combine == "concat":
-            raw = [_filled(F.concat_ws(side.separator, *filled))]
-        elif side.combine == "coalesce":
-            raw = [F.coalesce(*filled)]
-        else:
-            raw = [columns(c).cast("string") for c in side.columns]
-    return F.filter(F.array(*[normalize.apply(c, side.processors) for c in raw]), lambda x: x.isNotNull() & (x != ""))
+    return _some([normalize.apply(c, side.processors) for c in _raw(side, columns)])
+
+
+def _mapping_table(mapping) -> Column:
+    return normalize.constant_map({str(k): str(v) for k, v in mapping.items()})
 
 
 def value_mapped(side: Side, mapping, columns=F.col) -> Column:
     """Texts of a source side after value mapping: the processed text, else the raw one, is looked up; what it maps to is processed again; unmapped texts stay."""
     if not mapping:
         return combined(side, columns)
-    table = normalize.constant_map({str(k): str(v) for k, v in mapping.items()})
-    if side.fixed_value is not None:
-        raw = [F.lit(side.fixed_value)]
-    else:
-        filled = [_filled(columns(c).cast("string")) for c in side.columns]
-        raw = [_filled(F.concat_ws(side.separator, *filled))] if side.combine == "concat" else [F.coalesce(*filled)] if side.combine == "coalesce" else [columns(c).cast("string") for c in side.columns]
-    out = []
-    for c in raw:
+    table, out = _mapping_table(mapping), []
+    for c in _raw(side, columns):
         done = normalize.apply(c, side.processors)
         mapped = F.coalesce(F.try_element_at(table, done), F.try_element_at(table, c))
         out.append(F.when(mapped.isNotNull(), normalize.apply(mapped, side.processors)).otherwise(done))
-    return F.filter(F.array(*out), lambda x: x.isNotNull() & (x != ""))
+    return _some(out)
+
+
+def mapping_trace(side: Side, mapping, columns=F.col) -> Column:
+    """What value mapping did to a source side: the texts before it, joined by ` / `; whether it changed any; those it does not know."""
+    done = [normalize.apply(c, side.processors) for c in _raw(side, columns)]
+    before = F.array_join(_some(done), " / ").alias("before")
+    if not mapping:
+        return F.struct(before, F.lit(False).alias("applied"), F.array().cast("array<string>").alias("unconfigured"))
+    table, changed, unknown = _mapping_table(mapping), F.lit(False), []
+    for raw, text in zip(_raw(side, columns), done, strict=True):
+        mapped = F.coalesce(F.try_element_at(table, text), F.try_element_at(table, raw))
+        changed = changed | F.coalesce((text != "") & (mapped != text), F.lit(False))
+        unknown.append(F.when(mapped.isNull(), text))
+    return F.struct(before, changed.alias("applied"), _some(unknown).alias("unconfigured"))
 
 
 def source_predicate(f: SourceFilter) -> Column:
@@ -148,6 +164,18 @@ def best_pair(r: Rule, s: Column, t: Column, semantic: Column | None) -> Column:
     return F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: one(x, y)))))
 
 
+def winning_pair(r: Rule, s: Column, t: Column, semantic: Column | None = None) -> Column:
+    """(score, source text, target text) of the best pair over arrays of texts; ties keep the first pair. Null if a side has none."""
+    of = lambda texts, side: [F.try_element_at(texts, F.lit(i + 1)) for i in range(len(side.columns) if several(side) else 1)]
+    value = number if r.matcher == "numeric" else lambda x: x
+    out = []
+    for x in of(s, r.source):
+        for y in of(t, r.target):
+            score = pair_score(r.matcher, value(x), value(y), r.matcher_options, semantic)
+            out.append(F.when(x.isNotNull() & y.isNotNull(), F.struct(score.alias("score"), F.lit(-len(out)).alias("place"), x.alias("source"), y.alias("target"))))
+    return F.greatest(*out) if len(out) > 1 else out[0]
+
+
 def score_pairs(pairs: DataFrame, config: MatchConfig, semantic: str | None = None) -> DataFrame:
     """Adds f_<i> (best score of rule i, null: not compared), v_<i> (vetoed), score, vetoed, coverage, compared_fields, critical_conflict, auto_match_safe."""
     sem = F.col(semantic) if semantic else None
@@ -173,16 +201,26 @@ def score_pairs(pairs: DataFrame, config: MatchConfig, semantic: str | None = No
 
 
 def with_field_scores(candidates: DataFrame, source: DataFrame, target: DataFrame, config: MatchConfig, source_ordinal: str = "row_ordinal", target_ordinal: str = "row_ordinal") -> DataFrame:
-    """Candidates with `field_scores`, per-rule detail of the kept pairs: texts come back by ordinal for these alone."""
-    st = source.select(F.col(source_ordinal).cast("long").alias("s_ord"), *[F.try_element_at(value_mapped(r.source, r.value_mapping), F.lit(1)).alias(f"x_{i}") for i, r in enumerate(config.rules)])
-    tt = target.select(F.col(target_ordinal).cast("long").alias("t_ord"), *[F.try_element_at(combined(r.target), F.lit(1)).alias(f"y_{i}") for i, r in enumerate(config.rules)])
+    """Candidates with `field_scores`, per-rule detail of the kept pairs with the texts that scored and the trace of value mapping: texts come back by ordinal for these alone."""
+    st = source.select(F.col(source_ordinal).cast("long").alias("s_ord"), *[value_mapped(r.source, r.value_mapping).alias(f"x_{i}") for i, r in enumerate(config.rules)], *[mapping_trace(r.source, r.value_mapping).alias(f"m_{i}") for i, r in enumerate(config.rules)])
+    tt = target.select(F.col(target_ordinal).cast("long").alias("t_ord"), *[combined(r.target).alias(f"y_{i}") for i, r in enumerate(config.rules)])
+    d = candidates.join(st, "s_ord").join(tt, "t_ord")
+    semantic = F.col("semantic") if "semantic" in candidates.columns else None
+    d = d.withColumns({f"w_{i}": winning_pair(r, F.col(f"x_{i}"), F.col(f"y_{i}"), semantic) for i, r in enumerate(config.rules)})
     out = []
     for i, r in enumerate(config.rules):
-        f = F.col(f"f_{i}")
+        f, w, m = F.col(f"f_{i}"), F.col(f"w_{i}"), F.col(f"m_{i}")
         v = (f < float(r.veto_threshold) / 100.0) if r.veto_threshold is not None else F.lit(False)
-        out.append(F.when(f.isNotNull(), F.struct(F.lit(r.id).alias("rule_id"), F.when(v, 0.0).otherwise(f).alias("score"), F.lit(r.weight).alias("weight"), F.col(f"x_{i}").alias("source_value"), F.col(f"y_{i}").alias("target_value"), F.lit(r.critical).alias("critical"), (F.lit(r.critical) & (f <= 0)).alias("conflict"), v.alias("vetoed"), f.alias("score_before_veto"))))
-    d = candidates.join(st, "s_ord").join(tt, "t_ord")
-    return d.withColumn("field_scores", F.filter(F.array(*out), lambda x: x.isNotNull())).drop(*[f"{c}_{i}" for c in "xy" for i in range(len(config.rules))])
+        out.append(
+            F.when(
+                f.isNotNull(),
+                F.struct(
+                    F.lit(r.id).alias("rule_id"), F.when(v, 0.0).otherwise(f).alias("score"), F.lit(r.weight).alias("weight"), w["source"].alias("source_value"), w["target"].alias("target_value"), F.lit(r.critical).alias("critical"), (F.lit(r.critical) & (f <= 0)).alias("conflict"), v.alias("vetoed"), f.alias("score_before_veto"),
+                    m["before"].alias("source_value_before_mapping"), m["applied"].alias("value_mapping_applied"), m["unconfigured"].alias("unconfigured_source_values"),
+                ),
+            )
+        )
+    return d.withColumn("field_scores", F.filter(F.array(*out), lambda x: x.isNotNull())).drop(*[f"{c}_{i}" for c in "xymw" for i in range(len(config.rules))])
 
 
 def rank_candidates(scored: DataFrame, top_n: int) -> DataFrame:
@@ -249,6 +287,14 @@ def retrieval_text(rules: list[Rule] | tuple[Rule, ...], role: str) -> Column:
     return F.array_join(F.array_distinct(F.flatten(F.array(*parts))), " ")
 
 
+def side_text(config: MatchConfig, role: str) -> Column:
+    """Retrieval text of a side: its own definition, or the texts of the weighted rules."""
+    own = getattr(config.retrieval, role)
+    if own is not None:
+        return F.array_join(F.array_distinct(combined(own)), " ")
+    return retrieval_text(config.rules, role)
+
+
 def use_vectors(mode: str, n_targets: int, semantic: bool, most_scan: int = MOST_SCAN_TARGETS) -> bool:
     """Path router: semantic rules and catalogs beyond the scan limit need retrieval."""
     if mode == "scan":
@@ -256,3 +302,21 @@ def use_vectors(mode: str, n_targets: int, semantic: bool, most_scan: int = MOST
     return mode == "vector" or semantic or n_targets > most_scan
 
 
+def match_auto(source: DataFrame, target: DataFrame, config: MatchConfig, embed, dim: int, source_ordinal: str = "row_ordinal", target_ordinal: str = "row_ordinal", most_scan: int = MOST_SCAN_TARGETS, ann_least: int | None = None):
+    """(items, candidates) by the path the configuration and the catalog ask for.
+
+    embed: a function from a text column to a vector column. A scan limited to
+    a category (scope) needs no limit on the catalog; retrieval takes the
+    config's top_k, by sign hashes where the catalog is large.
+    """
+    from kinlink.operators import retrieval
+
+    semantic = any(r.semantic for r in config.rules)
+    n = 0 if config.scope.mode != "GLOBAL" or config.retrieval.mode != "auto" else target.limit(most_scan + 1).count()
+    if not use_vectors(config.retrieval.mode, n, semantic, most_scan):
+        return match(source, target, config, source_ordinal, target_ordinal)
+    code = F.coalesce(F.col(config.group_code_column).cast("string"), F.lit(""))
+    rows = lambda df, role, ordinal: df.select(F.col(ordinal).cast("long").alias("id"), side_text(config, role).alias("text")).where("text <> ''").select("id", embed(F.col("text")).alias("vector"))
+    queries = source if config.source_filter is None else source.where(source_predicate(config.source_filter))
+    hits = retrieval.retrieve(rows(queries, "source", source_ordinal), rows(target.where(code != ""), "target", target_ordinal), config.retrieval.top_k, dim, config.retrieval.oversample, *([ann_least] if ann_least else []))
+    return match_with_vectors(source, target, config, hits.select(F.col("q_id").alias("s_ord"), F.col("t_id").alias("t_ord"), "similarity"), source_ordinal, target_ordinal)

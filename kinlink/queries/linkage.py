@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinlink.config import Decision, MatchConfig, Rule, Scope, Side, SourceFilter
+from kinlink.errors import ConfigError
 from kinlink.functions import matchers
 from kinlink.operators import composite
 from kinlink.plans import matching
@@ -141,50 +142,67 @@ def score_field_rule(spark, d):
     return s.groupBy("s_ord").agg(F.count("*").alias("n"), F.sum(F.col("f_0").cast("long")).alias("name_hits"), F.sum(F.col("f_1").cast("long")).alias("brand_hits"))
 
 
-def text_pairs(spark, d):
-    s = parts(spark, d).select(F.col("p_partkey").alias("s_ord"), "p_type", F.col("p_name").alias("s"), F.col("p_size").cast("string").alias("a"), F.col("p_retailprice").cast("string").alias("x"))
-    t = catalog(spark, d).select(F.col("row_ordinal").alias("t_ord"), "p_type", F.col("p_name").alias("t"), F.col("p_size").cast("string").alias("b"))
-    return s.join(t, "p_type")
+def matcher_query(name, sql, col, text, prepare=lambda c: c):
+    """Scores of all pairs within a type, worked out once for each pair of distinct texts, which are prepared once a text."""
 
-
-def matcher_query(name, sql, col):
     @query(name, pairs_sql(f"s_ord, count(*) AS n, CAST(sum(CAST(round(({sql}) * 1000000) AS BIGINT)) AS BIGINT) AS total, CAST(max(round({sql}, 6)) AS DOUBLE) AS best", "GROUP BY s_ord"))
-    def q(spark, d, col=col):
-        return text_pairs(spark, d).groupBy("s_ord").agg(F.count("*").alias("n"), F.sum(F.round(col() * 1000000).cast("long")).alias("total"), F.max(F.round(col(), 6)).alias("best"))
-
-
-S, T, A, B = (lambda c=c: F.col(c) for c in "stab")
-matcher_query("score_exact", "CASE WHEN p_name = t_name THEN 1.0 ELSE 0.0 END", lambda: matchers.exact(S(), T()))
-matcher_query("score_contains", "CASE WHEN p_name = t_name THEN 1.0 WHEN contains(p_name, t_name) OR contains(t_name, p_name) THEN 0.9 * least(length(p_name), length(t_name)) / greatest(length(p_name), length(t_name)) ELSE 0.0 END", lambda: matchers.contains(S(), T(), 0.9, True))
-matcher_query("score_jaccard", "CASE WHEN p_name = '' OR t_name = '' THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(p_name, ' ')), list_distinct(string_split(t_name, ' '))))::DOUBLE / len(list_distinct(list_concat(string_split(p_name, ' '), string_split(t_name, ' ')))) END", lambda: matchers.jaccard(S(), T()))
+    def q(spark, d, col=col, text=text, prepare=prepare):
+        ready = lambda df, k, *more: df.groupBy("p_type", F.col(text).cast("string").alias(k)).agg(F.count("*").alias("times")).withColumn(f"{k}_ready", prepare(F.col(k))).drop(*more)
+        s, t = ready(parts(spark, d), "s", "times"), ready(catalog(spark, d), "t", "t")
+        score = s.join(t, "p_type").withColumn("score", col(F.col("s_ready"), F.col("t_ready")))
+        each = score.groupBy("p_type", "s").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.round(F.col("score") * 1000000).cast("long")).alias("total"), F.max(F.round("score", 6)).alias("best"))
+        own = parts(spark, d).select(F.col("p_partkey").alias("s_ord"), "p_type", F.col(text).cast("string").alias("s"))
+        return own.join(each, own["p_type"].eqNullSafe(each["p_type"]) & own["s"].eqNullSafe(each["s"])).select("s_ord", "n", "total", "best")
+
+
+matcher_query("score_exact", "CASE WHEN p_name = t_name THEN 1.0 ELSE 0.0 END", matchers.exact, "p_name")
+matcher_query("score_contains", "CASE WHEN p_name = t_name THEN 1.0 WHEN contains(p_name, t_name) OR contains(t_name, p_name) THEN 0.9 * least(length(p_name), length(t_name)) / greatest(length(p_name), length(t_name)) ELSE 0.0 END", lambda s, t: matchers.contains(s, t, 0.9, True), "p_name")
+matcher_query("score_jaccard", "CASE WHEN p_name = '' OR t_name = '' THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(p_name, ' ')), list_distinct(string_split(t_name, ' '))))::DOUBLE / len(list_distinct(list_concat(string_split(p_name, ' '), string_split(t_name, ' ')))) END", matchers.overlap, "p_name", matchers.tokens)
 for _m, _o, _sql in (
     ("exact", {}, "p_size = t_size"),
     ("absolute", {"value": 3}, "abs(p_size - t_size) <= 3"),
     ("relative", {"value": 0.1}, "abs(p_size - t_size) / greatest(abs(t_size)::DOUBLE, 1e-12) <= 0.1"),
     ("range", {"min_delta": -1, "max_delta": 4}, "p_size - t_size BETWEEN -1 AND 4"),
 ):
-    matcher_query(f"score_numeric_{_m}", f"CASE WHEN {_sql} THEN 1.0 ELSE 0.0 END", (lambda o: lambda: matchers.numeric(A(), B(), o))({"mode": _m, **_o}))
+    matcher_query(f"score_numeric_{_m}", f"CASE WHEN {_sql} THEN 1.0 ELSE 0.0 END", (lambda o: lambda s, t: matchers.near(s, t, o))({"mode": _m, **_o}), "p_size", matchers.number)
+
+
+def name_pairs(spark, d):
+    """All pairs of distinct names, of which there must be few; only these reach Python."""
+    n = parts(spark, d).select("p_name").distinct()
+    if n.limit(matching.MOST_SCAN_TARGETS + 1).count() > matching.MOST_SCAN_TARGETS:
+        raise ConfigError("SCAN_TOO_LARGE", "names")
+    return n.select(F.col("p_name").alias("s")).crossJoin(F.broadcast(n.select(F.col("p_name").alias("t"))))
 
 
 @query("score_fuzzy")
 def score_fuzzy(spark, d):
-    """Distinct pairs only reach Python."""
-    n = parts(spark, d).select("p_name").distinct()
-    p = n.select(F.col("p_name").alias("s")).crossJoin(n.select(F.col("p_name").alias("t")))
-    return p.select("s", "t", F.round(matchers.fuzzy(F.col("s"), F.col("t")), 6).alias("score"))
+    return name_pairs(spark, d).select("s", "t", F.round(matchers.fuzzy(F.col("s"), F.col("t")), 6).alias("score"))
 
 
 @query("score_hybrid")
 def score_hybrid(spark, d):
-    n = parts(spark, d).select("p_name").distinct()
-    p = n.select(F.col("p_name").alias("s")).crossJoin(n.select(F.col("p_name").alias("t")))
-    return p.select("s", "t", F.round(matchers.hybrid(F.col("s"), F.col("t")), 6).alias("score"))
+    return name_pairs(spark, d).select("s", "t", F.round(matchers.hybrid(F.col("s"), F.col("t")), 6).alias("score"))
+
 
+BRANDS = {"BRAND#11": "alpha", "Brand#12": "beta", "BRAND#13": "BRAND#13"}
 
-@query("value_mapping", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'ALPHA' WHEN p_brand = 'Brand#12' THEN 'BETA' ELSE upper(p_brand) END AS mapped FROM part")
+
+@query("value_mapping", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'ALPHA' WHEN p_brand = 'Brand#12' THEN 'BETA' ELSE upper(p_brand) END AS mapped, upper(p_brand) AS before, p_brand IN ('Brand#11', 'Brand#12') AS applied, CASE WHEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') THEN '' ELSE upper(p_brand) END AS unconfigured FROM part")
 def value_mapping(spark, d):
     s = Side(columns=("p_brand",), processors=({"op": "case_map", "options": {"mode": "upper"}},))
-    return parts(spark, d).select("p_partkey", F.element_at(matching.value_mapped(s, {"BRAND#11": "alpha", "Brand#12": "beta"}), 1).alias("mapped"))
+    m = matching.mapping_trace(s, BRANDS)
+    return parts(spark, d).select("p_partkey", F.element_at(matching.value_mapped(s, BRANDS), 1).alias("mapped"), m["before"].alias("before"), m["applied"].alias("applied"), F.array_join(m["unconfigured"], ",").alias("unconfigured"))
+
+
+@query("field_scores", ranked_sql(score="CASE WHEN p_name = t_name OR p_name = t_brand OR p_brand = t_name OR p_brand = t_brand THEN 100.0 ELSE 0.0 END", join="JOIN catalog ON p_type = t_type", top=2, extra=", p_name, p_brand, t_name, t_brand") + " SELECT s_ord, CAST(rank AS INTEGER) AS rank, score, CASE WHEN score = 0 OR p_name IN (t_name, t_brand) THEN p_name ELSE p_brand END AS source_value, CASE WHEN score = 0 OR p_name = t_name THEN t_name WHEN p_name = t_brand THEN t_brand WHEN p_brand = t_name THEN t_name ELSE t_brand END AS target_value, p_name || ' / ' || p_brand AS before FROM ranked")
+def field_scores(spark, d):
+    """Which of the texts of both sides made the score of a kept candidate."""
+    both = side("p_name", "p_brand", combine="best_of")
+    cfg = config((Rule("any", both, both, "exact", 100),), scope=Scope("STRICT", "p_type", "p_type"), decision=Decision(top_n=2))
+    found = matching.with_field_scores(run(spark, d, cfg)[1], parts(spark, d), catalog(spark, d), cfg, "p_partkey", "row_ordinal")
+    f = F.col("field_scores")[0]
+    return found.select("s_ord", "rank", "score", f["source_value"].alias("source_value"), f["target_value"].alias("target_value"), f["source_value_before_mapping"].alias("before"))
 
 
 @query("fixed_value_rule", "SELECT p_partkey, CASE WHEN p_type = 'STANDARD' THEN 100.0 ELSE 0.0 END AS score FROM part")
@@ -234,11 +252,10 @@ def composite_merge(spark, d):
 
 @query("seed_pair_match")
 def seed_pair_match(spark, d):
-    """Best and second similarity of each name to the other names of its brand."""
-    from kinlink.operators.exports import best_and_second
-
-    n = parts(spark, d).select("p_brand", "p_name").distinct()
-    p = n.join(n.select("p_brand", F.col("p_name").alias("t")), "p_brand").where("p_name <> t")
-    s = F.when(F.contains(F.col("p_name"), F.col("t")) | F.contains(F.col("t"), F.col("p_name")), 0.86).otherwise(matchers.fuzzy(F.col("p_name"), F.col("t")))
-    b = best_and_second(p.select(F.concat_ws("/", "p_brand", "p_name").alias("k"), F.round(s, 6).alias("s")), "k", "s")
-    return b.withColumn("kept", (F.col("best") >= 0.62) & ((F.col("best") - F.coalesce("second", F.lit(0.0)) >= 0.02) | (F.col("best") >= 0.86)))
+    """Parts of odd size as sources, of even size as targets, alike in name, brand and size within a type."""
+    from kinlink.operators.seeds import seed_pairs
+
+    p = parts(spark, d).select(F.col("p_partkey").alias("ordinal"), "p_type", "p_name", "p_brand", F.col("p_size").cast("string").alias("size"))
+    key = p.groupBy("p_type", "p_name", "p_brand", "size").agg(F.min("ordinal").alias("ordinal"))
+    rules = {k: (("p_name", "p_name", 0.6), ("p_brand", "p_brand", 0.3), ("size", "size", 0.1)) for k in ("STANDARD", "SMALL", "MEDIUM")}
+    return seed_pairs(key.where("size % 10 = 1"), key.where("size % 10 = 2"), rules, "p_type")

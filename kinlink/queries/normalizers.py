@@ -95,9 +95,20 @@ def token_length_profile(spark, d):
     return profile.token_lengths(docs(spark, d), "n_chars")
 
 
-@query("text_profile", "WITH q AS (SELECT count(*) AS row_count, count(*) FILTER (coalesce(text, '') <> '') AS filled_rows, count(DISTINCT nullif(text, '')) AS distinct_texts, max(length(text)) AS longest FROM documents) SELECT *, round((row_count - filled_rows) / row_count, 6) AS empty_rate, round((filled_rows - distinct_texts) / filled_rows, 6) AS duplicate_rate FROM q")
+@query("text_profile", "WITH q AS (SELECT count(*) AS row_count, count(*) FILTER (coalesce(text, '') <> '') AS filled_rows, count(DISTINCT nullif(text, '')) AS distinct_texts, max(length(text)) AS longest, count(*) FILTER (length(text) > 512) AS l FROM documents WHERE doc_id % 2 = 0) SELECT row_count, filled_rows, distinct_texts, longest, round((row_count - filled_rows) / row_count, 6) AS empty_rate, round((filled_rows - distinct_texts) / filled_rows, 6) AS duplicate_rate, round(l / filled_rows, 6) AS truncation_rate, round(row_count / (SELECT count(*) FROM documents), 6) AS coverage_ratio FROM q")
 def text_profile(spark, d):
-    return profile.text_profile(docs(spark, d), "text")
+    t = docs(spark, d)
+    return profile.text_profile(t, "text", 512, t.where("doc_id % 2 = 0"))
+
+
+@query("column_values", f"WITH {LONG}, t AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, first_seen, value) AS place FROM vals WHERE column_name = 'p_type' QUALIFY place <= 20), u AS (SELECT column_name, count(*) AS unique_count FROM vals GROUP BY 1) SELECT column_name, 'TEXT' AS datatype, unique_count, true AS enum_candidate, string_agg(value || '=' || n, ',' ORDER BY place) AS top_values, string_agg(value, ',' ORDER BY place) AS values, count(*) >= unique_count AS values_complete FROM t JOIN u USING (column_name) GROUP BY 1, 2, 3")
+def column_values(spark, d):
+    return profile.column_values(parts(spark, d), "p_type", "p_partkey")
+
+
+@query("batch_latencies", "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.5) AS a, quantile_cont(l_extendedprice, 0.95) AS b, sum(l_quantity) / sum(l_extendedprice) AS r FROM lineitem) SELECT round(a * 1000, 3) AS p50_ms, round(b * 1000, 3) AS p95_ms, round(r, 3) AS rows_per_second, round(1100000 / r / 3600, 3) AS projected_hours FROM q")
+def batch_latencies(spark, d):
+    return profile.latencies(spark.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice", "l_quantity")
 
 
 @query("reservoir_sample")
@@ -118,23 +129,6 @@ def scan_effective_rows(spark, d):
     return with_ordinal(t.where(effective(["text", "source"])).select("doc_id"), "doc_id", "row_ordinal")
 
 
-@query("header_detect")
-def header_detect(spark, d):
-    from kinlink.sources.layout import detect_header
-
-    rows = [["report of 2024", None, None], ["物料编码", "物料名称", "规格"], ["1001", "bolt", "8"]]
-    r = detect_header(rows)
-    return spark.createDataFrame([(r.header_row, float(r.score), float(r.confidence))], "header_row int, score double, confidence double")
-
-
-@query("column_hints")
-def column_hints(spark, d):
-    from kinlink.sources.layout import hint
-
-    rows = [(c, *hint(c)) for c in ("物料编码", "集团码", "型号规格", "生产厂家名称", "p_name")]
-    return spark.createDataFrame(rows, "header string, hint string, confidence double")
-
-
 @query("token_budget_batches")
 def token_budget_batches(spark, d):
     """Batches of the texts of every source by length within a budget: how many, and how full."""

@@ -20,14 +20,14 @@ def items(spark, d):
     code = (F.col("o_custkey") % 97).cast("string")
     return o.select(
         F.col("o_orderkey").alias("source_row_id"), F.col("o_custkey").cast("string").alias("source_id"), F.col("o_orderkey").alias("source_row_number"), status.alias("current_status"), status.alias("original_status"), top.alias("top1_score"), second.alias("second_score"), F.round(top - second, 6).alias("score_gap"), code.alias("top1_group_code"),
-        F.when(status == "MATCHED", code).alias("final_group_code"), (F.col("o_orderpriority") == "1-URGENT").alias("critical_conflict"), (F.col("o_custkey") % 20).alias("task_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").alias("created_at"),
+        F.when(status == "MATCHED", code).alias("final_group_code"), (F.col("o_orderpriority") == "1-URGENT").alias("critical_conflict"), (F.col("o_custkey") % 20).alias("task_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("source_payload"),
     )
 
 
 def candidates(spark, d):
     line = spark.read.parquet(f"{d}/lineitem.parquet")
     f = lambda i, v, w: F.struct(F.lit(i).alias("rule_id"), F.when(v < 0.3, 0.0).otherwise(v).alias("score"), F.lit(w).alias("weight"), (v < 0.3).alias("vetoed"), v.alias("score_before_veto"))
-    return line.select(F.col("l_orderkey").alias("source_row_id"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 97).cast("string").alias("target_group_code"), F.col("l_partkey").alias("target_row_number"), (F.col("l_quantity") * 2).alias("score"), F.col("l_returnflag").alias("kind"), F.array(f("a", F.col("l_discount") * 10, 60), f("b", F.col("l_tax") * 12.5, 40)).alias("field_scores"))
+    return line.select(F.col("l_orderkey").alias("source_row_id"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 97).cast("string").alias("target_group_code"), F.col("l_partkey").alias("target_row_number"), (F.col("l_quantity") * 2).alias("score"), F.col("l_returnflag").alias("kind"), F.concat("l_returnflag", "l_linestatus").alias("target_payload"), F.array(f("a", F.col("l_discount") * 10, 60), f("b", F.col("l_tax") * 12.5, 40)).alias("field_scores"))
 
 
 def log(spark, d):
@@ -39,8 +39,8 @@ def reviews(spark, d):
     return log(spark, d).where("action = 'error'")
 
 
-I = "items AS (SELECT *, CASE WHEN current_status = 'MATCHED' THEN top1_group_code END AS final_group_code, round(top1_score - second_score, 6) AS score_gap FROM (SELECT *, greatest(round(top1_score - (source_row_id % 50) / 4.0::DOUBLE, 6), 0.0) AS second_score FROM (SELECT o_orderkey AS source_row_id, CAST(o_custkey AS VARCHAR) AS source_id, CASE o_orderstatus WHEN 'F' THEN 'MATCHED' WHEN 'O' THEN 'REVIEW' ELSE 'UNMATCHED' END AS current_status, round(o_totalprice / 5000, 6) AS top1_score, CAST(o_custkey % 97 AS VARCHAR) AS top1_group_code, o_orderpriority = '1-URGENT' AS critical_conflict, o_custkey % 20 AS task_id, o_orderdate AS created_at FROM orders)))"  # noqa: E741
-C = "cands AS (SELECT l_orderkey AS source_row_id, l_linenumber AS rank, CAST(l_partkey % 97 AS VARCHAR) AS target_group_code, l_partkey AS target_row_number, l_quantity * 2 AS score, l_returnflag AS kind, l_discount * 10 AS a, l_tax * 12.5 AS b FROM lineitem)"
+I = "items AS (SELECT *, CASE WHEN current_status = 'MATCHED' THEN top1_group_code END AS final_group_code, round(top1_score - second_score, 6) AS score_gap FROM (SELECT *, greatest(round(top1_score - (source_row_id % 50) / 4.0::DOUBLE, 6), 0.0) AS second_score FROM (SELECT o_orderkey AS source_row_id, CAST(o_custkey AS VARCHAR) AS source_id, CASE o_orderstatus WHEN 'F' THEN 'MATCHED' WHEN 'O' THEN 'REVIEW' ELSE 'UNMATCHED' END AS current_status, round(o_totalprice / 5000, 6) AS top1_score, CAST(o_custkey % 97 AS VARCHAR) AS top1_group_code, o_orderpriority = '1-URGENT' AS critical_conflict, o_custkey % 20 AS task_id, o_orderdate AS created_at, o_orderpriority AS source_payload FROM orders)))"  # noqa: E741
+C = "cands AS (SELECT l_orderkey AS source_row_id, l_linenumber AS rank, CAST(l_partkey % 97 AS VARCHAR) AS target_group_code, l_partkey AS target_row_number, l_quantity * 2 AS score, l_returnflag AS kind, l_returnflag || l_linestatus AS target_payload, l_discount * 10 AS a, l_tax * 12.5 AS b FROM lineitem)"
 L = "log AS (SELECT user_id AS source_row_id, event_type AS action, 'op' || (event_id % 7) AS operator, ts AS operated_at, event_id AS seq, CAST(event_id % 97 AS VARCHAR) AS group_code FROM events)"
 FREE = "free AS (SELECT * FROM items WHERE source_row_id NOT IN (SELECT source_row_id FROM log WHERE action = 'error'))"
 
@@ -59,6 +59,24 @@ def redecide_preview(spark, d):
     return calibration.preview(items(spark, d), reviews(spark, d), 76, 55)
 
 
+@query("redecide_summary", f"WITH {I}, {L}, x AS (SELECT current_status, source_row_id IN (SELECT source_row_id FROM log WHERE action = 'error') AS human, {new_status(76, 55)} AS new FROM items), y AS (SELECT *, CASE WHEN human THEN current_status ELSE new END AS now FROM x) SELECT " + ", ".join(f"count(*) FILTER (current_status = '{s}') AS before_{s.lower()}, count(*) FILTER (now = '{s}') AS after_{s.lower()}, count(*) FILTER (now = '{s}') - count(*) FILTER (current_status = '{s}') AS {s.lower()}_delta" for s in ("MATCHED", "REVIEW", "UNMATCHED")) + ", count(*) FILTER (now <> current_status) AS affected_rows, count(*) FILTER (human) AS human_protected FROM y")
+def redecide_summary(spark, d):
+    return calibration.preview_summary(items(spark, d), reviews(spark, d), 76, 55)
+
+
+@query("redecide_rollback", f"WITH {I}, {L}, past AS (SELECT user_id % 20 AS task_id, max(CAST(60 + event_id % 40 AS DOUBLE)) AS s FROM events WHERE user_id % 20 < 15 AND event_id % 50 = 7 GROUP BY 1), x AS (SELECT i.*, s, s IS NOT NULL AND i.source_row_id NOT IN (SELECT source_row_id FROM log WHERE action = 'error') AS is_free FROM items i LEFT JOIN past ON past.task_id = i.task_id), y AS (SELECT *, CASE WHEN is_free THEN CASE WHEN top1_score >= s THEN 'MATCHED' WHEN top1_score > 0 THEN 'REVIEW' ELSE 'UNMATCHED' END ELSE current_status END AS now FROM x) SELECT source_row_id, now AS current_status, CASE WHEN is_free THEN CASE WHEN now = 'MATCHED' THEN top1_group_code END ELSE final_group_code END AS final_group_code FROM y")
+def redecide_rollback(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("user_id % 20 < 15")
+    r = e.select((F.col("user_id") % 20).alias("task_id"), (F.col("event_id") % 50).alias("revision_no"), (60 + F.col("event_id") % 40).cast("double").alias("success"))
+    return calibration.rollback(items(spark, d), reviews(spark, d), r, 7).select("source_row_id", "current_status", "final_group_code")
+
+
+@query("revision_numbers", "WITH r AS (SELECT user_id % 20 AS task_id, event_type || (event_id % 3) AS file, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT task_id, file, CAST(row_number() OVER (PARTITION BY task_id ORDER BY f) AS INTEGER) AS revision_no FROM r")
+def revision_numbers(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 20).alias("task_id"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("file"), F.col("event_id").alias("seq"))
+    return calibration.record_revisions(e, "file").select("task_id", "file", "revision_no").distinct()
+
+
 SCENARIOS = [(50 + 5 * i, 5 * i) for i in range(10)]
 
 
@@ -124,9 +142,77 @@ def bulk_apply_outcomes(spark, d):
     return review.bulk_outcomes(dec, items(spark, d), c, st)
 
 
-@query("workbench_filter", f"WITH {I}, {C} SELECT source_row_id FROM items WHERE current_status = 'REVIEW' AND (source_id ILIKE '%1%' OR top1_group_code ILIKE '%1%') AND top1_score BETWEEN 20 AND 80 AND critical_conflict = false AND source_row_id IN (SELECT source_row_id FROM cands WHERE rank <= 5 AND target_group_code ILIKE '%4%')")
+LIKE = "(source_id ILIKE '%ro%' OR source_payload ILIKE '%ro%' OR top1_group_code ILIKE '%ro%' OR coalesce(final_group_code, '') ILIKE '%ro%' OR source_row_id IN (SELECT source_row_id FROM cands WHERE rank <= 5 AND (target_group_code ILIKE '%ro%' OR target_payload ILIKE '%ro%')))"
+
+
+@query("workbench_filter", f"WITH {I}, {C} SELECT source_row_id FROM items WHERE current_status = 'REVIEW' AND top1_score BETWEEN 20 AND 80 AND second_score <= 70 AND score_gap >= 0.5 AND critical_conflict = false AND {LIKE}")
 def workbench_filter(spark, d):
-    return review.workbench(items(spark, d), candidates(spark, d), "REVIEW", "1", (20, 80), None, False, "4").select("source_row_id")
+    return review.workbench(items(spark, d), candidates(spark, d), "REVIEW", "ro", (20, 80), (None, 70), (0.5, None), False).select("source_row_id")
+
+
+@query("review_list", f"WITH {I} SELECT source_row_id, top1_score FROM items WHERE current_status = 'REVIEW' AND second_score >= 10 AND (source_id ILIKE '%3-M%' OR source_payload ILIKE '%3-M%' OR top1_group_code ILIKE '%3-M%') ORDER BY top1_score DESC, source_row_id LIMIT 50 OFFSET 50")
+def review_list(spark, d):
+    return review.review_list(items(spark, d), "3-M", seconds=(10, None), page_no=2).select("source_row_id", "top1_score")
+
+
+@query("selection_count", f"WITH {I}, a AS (SELECT DISTINCT c_custkey * 3 AS source_row_id FROM customer) SELECT count(i.source_row_id) AS count, count(*) AS requested_count FROM a LEFT JOIN items i USING (source_row_id)")
+def selection_count(spark, d):
+    return review.selection_count(items(spark, d), spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") * 3).alias("source_row_id")))
+
+
+@query("page_candidates", f"WITH {I}, {C}, p AS (SELECT source_row_id FROM items ORDER BY top1_score DESC NULLS LAST, source_row_id LIMIT 50 OFFSET 100) SELECT source_row_id, rank, target_group_code, score FROM cands WHERE rank <= 3 AND source_row_id IN (SELECT source_row_id FROM p)")
+def page_candidates(spark, d):
+    return review.page_candidates(review.page(items(spark, d), 100, 50), candidates(spark, d), 3).select("source_row_id", "rank", "target_group_code", "score")
+
+
+@query("operation_log_page", f"WITH {L} SELECT seq, source_row_id, action FROM log ORDER BY operated_at DESC, seq DESC LIMIT 20 OFFSET 10")
+def operation_log_page(spark, d):
+    return review.log_page(log(spark, d), 10, 20).select("seq", "source_row_id", "action")
+
+
+ACTIONS = {"click": "MATCH", "view": "MARK_UNMATCHED", "signup": "REMATCH", "purchase": "UNDO", "error": "IMPORT_MATCH"}
+
+
+def operations(spark, d):
+    """The review log with operations for its actions, and items' candidates as what they chose."""
+    a = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])
+    return log(spark, d).withColumn("action", a[F.col("action")]).withColumn("group_code", (F.col("seq") % 5).cast("string"))
+
+
+OPS = "ops AS (SELECT user_id AS source_row_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " END AS action, ts AS operated_at, event_id AS seq, CAST(event_id % 5 AS VARCHAR) AS group_code FROM events)"
+M3 = "('MATCH', 'REMATCH', 'IMPORT_MATCH')"
+
+
+def active_sql(where="true"):
+    return f"act AS (SELECT source_row_id, CASE WHEN a IN {M3} THEN 'MATCH' WHEN a = 'MARK_UNMATCHED' THEN 'UNMATCHED' END AS decision, CASE WHEN a IN {M3} THEN g END AS code FROM (SELECT source_row_id, arg_max(action, struct_pack(a := operated_at, b := seq)) AS a, arg_max(group_code, struct_pack(a := operated_at, b := seq)) AS g FROM ops WHERE {where} GROUP BY 1))"
+
+
+@query("resolved_items", f"WITH {I}, {OPS}, {active_sql()} SELECT i.source_row_id, CASE WHEN decision = 'MATCH' THEN 'CONFIRMED' WHEN decision = 'UNMATCHED' THEN 'UNMATCHED' ELSE current_status END AS current_status, CASE WHEN decision = 'MATCH' THEN code WHEN decision = 'UNMATCHED' THEN NULL ELSE final_group_code END AS final_group_code FROM items i LEFT JOIN act ON act.source_row_id = i.source_row_id")
+def resolved_items(spark, d):
+    return review.resolved_items(items(spark, d), operations(spark, d)).select("source_row_id", "current_status", "final_group_code")
+
+
+SMALL = "sc AS (SELECT DISTINCT l_orderkey AS source_row_id, CAST(l_partkey % 5 AS VARCHAR) AS group_code FROM lineitem)"
+
+
+def few_codes(spark, d):
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    return line.select(F.col("l_orderkey").alias("source_row_id"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 5).cast("string").alias("target_group_code"))
+
+
+@query("mutation_outcomes", f"WITH {I}, {OPS}, {active_sql('seq % 2 = 0')}, {SMALL}, r AS (SELECT * FROM ops WHERE seq % 2 = 1), j AS (SELECT r.seq, r.source_row_id, action, i.source_row_id IS NOT NULL AS item, sc.group_code IS NOT NULL AS cand, coalesce(decision, '') AS now, code, r.group_code FROM r LEFT JOIN items i ON i.source_row_id = r.source_row_id LEFT JOIN act ON act.source_row_id = r.source_row_id LEFT JOIN sc ON sc.source_row_id = r.source_row_id AND sc.group_code = r.group_code) SELECT seq, source_row_id, action, CASE WHEN NOT item THEN 'NOT_FOUND' WHEN action = 'REMATCH' AND now <> 'MATCH' THEN 'CONFLICT' WHEN action IN {M3} AND NOT cand THEN 'NOT_FOUND' WHEN action IN {M3} AND now = 'MATCH' AND code = group_code THEN 'IDEMPOTENT' WHEN action = 'MARK_UNMATCHED' AND now = 'UNMATCHED' THEN 'IDEMPOTENT' WHEN action = 'UNDO' AND now = '' THEN 'CONFLICT' ELSE 'SUCCESS' END AS outcome FROM j")
+def mutation_outcomes(spark, d):
+    o = operations(spark, d)
+    return review.mutation_outcomes(o.where("seq % 2 = 1").select("seq", "source_row_id", "action", "group_code"), items(spark, d), few_codes(spark, d), o.where("seq % 2 = 0")).select("seq", "source_row_id", "action", "outcome")
+
+
+@query("workbook_import", f"WITH {I}, {OPS}, {active_sql()}, c AS (SELECT l_orderkey AS source_row_id, l_linenumber AS choice, min(CAST(l_partkey % 5 AS VARCHAR)) AS group_code FROM lineitem GROUP BY 1, 2), w AS (SELECT p_partkey AS excel_row, CASE WHEN p_partkey % 11 = 0 THEN 'other' ELSE 't' END AS task_id, p_partkey % 1500 AS source_row_id, p_partkey % 4 = 3 AND p_size < 10 AS blank, CASE p_partkey % 4 WHEN 0 THEN p_size % 3 + 1 WHEN 1 THEN p_size % 3 + 1 WHEN 2 THEN 0 END AS choice FROM part), good AS (SELECT *, row_number() OVER (PARTITION BY source_row_id ORDER BY excel_row) AS k, min(choice) OVER (PARTITION BY source_row_id) AS lo, max(choice) OVER (PARTITION BY source_row_id) AS hi FROM w WHERE NOT blank AND choice IS NOT NULL AND task_id = 't'), j AS (SELECT g.excel_row, g.source_row_id, CASE WHEN lo <> hi THEN 'CONFLICT' WHEN k > 1 THEN 'SKIPPED' WHEN i.source_row_id IS NULL THEN 'ERROR' WHEN g.choice > 0 AND c.group_code IS NULL THEN 'ERROR' WHEN g.choice > 0 AND decision = 'MATCH' AND code = c.group_code THEN 'SKIPPED' WHEN g.choice = 0 AND decision = 'UNMATCHED' THEN 'SKIPPED' ELSE 'SUCCESS' END AS outcome FROM good g LEFT JOIN items i ON i.source_row_id = g.source_row_id LEFT JOIN c ON c.source_row_id = g.source_row_id AND c.choice = g.choice LEFT JOIN act ON act.source_row_id = g.source_row_id) SELECT * FROM j UNION ALL SELECT excel_row, source_row_id, CASE WHEN blank THEN 'SKIPPED' ELSE 'ERROR' END FROM w WHERE blank OR choice IS NULL OR task_id <> 't'")
+def workbook_import(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    k, n = F.col("p_partkey") % 4, (F.col("p_size") % 3 + 1).cast("string")
+    text = F.when(k == 0, F.concat(F.lit(" 候选 "), n)).when(k == 1, n).when(k == 2, "均不匹配").when(F.col("p_size") < 10, " ").otherwise(F.col("p_name"))
+    rows = p.select(F.col("p_partkey").alias("excel_row"), F.when(F.col("p_partkey") % 11 == 0, "other").otherwise("t").alias("task_id"), (F.col("p_partkey") % 1500).alias("source_row_id"), text.alias("selection"))
+    return review.import_decisions(rows, "t", items(spark, d), few_codes(spark, d), operations(spark, d))
 
 
 @query("workbench_page", f"WITH {I} SELECT source_row_id, top1_score FROM items ORDER BY top1_score DESC NULLS LAST, source_row_id LIMIT 50 OFFSET 100")
@@ -157,7 +243,7 @@ def judged(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey").alias("o"))
     code = ((F.col("o_custkey") + F.when(F.col("o.o_orderkey") % 3 == 0, 1).otherwise(0)) % 97).cast("string")
     st = F.when(F.col("o.o_orderstatus") == "F", "MATCHED").when(F.col("o.o_orderstatus") == "O", "REVIEW").otherwise("UNMATCHED")
-    it = o.select(F.col("o_custkey").cast("string").alias("source_id"), F.col("o.o_orderkey").alias("k"), st.alias("current_status"), code.alias("top1_group_code"), F.when(st == "MATCHED", code).alias("final_group_code"), F.round(F.col("o.o_totalprice") / 5000, 6).alias("top1_score"))
+    it = o.select(F.col("o_custkey").cast("string").alias("source_id"), F.col("o.o_orderkey").alias("k"), st.alias("current_status"), F.when(F.col("o.o_orderkey") % 7 == 0, "REVIEW").otherwise(st).alias("original_status"), code.alias("top1_group_code"), F.when(st == "MATCHED", code).alias("final_group_code"), F.round(F.col("o.o_totalprice") / 5000, 6).alias("top1_score"))
     line = spark.read.parquet(f"{d}/lineitem.parquet").join(it.select("source_id", F.col("k").alias("l_orderkey")), "l_orderkey")
     c = line.select("source_id", F.col("l_linenumber").alias("rank"), ((F.col("source_id").cast("long") + F.col("l_partkey") % 3) % 97).cast("string").alias("target_group_code"))
     t = truth(spark, d)
@@ -165,10 +251,10 @@ def judged(spark, d):
 
 
 EV = """t AS (SELECT CAST(c_custkey AS VARCHAR) AS truth_key, c_custkey AS ck, CASE WHEN c_acctbal >= 0 THEN 'MATCH' ELSE 'NO_MATCH' END AS expected, CASE WHEN c_acctbal >= 0 THEN CAST(c_custkey % 97 AS VARCHAR) END AS expected_code, c_mktsegment AS segment FROM customer),
-it AS (SELECT *, CAST((ck2 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) % 97 AS VARCHAR) AS top1_group_code, CASE st WHEN 'F' THEN 'MATCHED' WHEN 'O' THEN 'REVIEW' ELSE 'UNMATCHED' END AS current_status FROM (SELECT o_custkey AS ck2, max(o_orderkey) AS k, arg_max(o_orderstatus, o_orderkey) AS st, round(arg_max(o_totalprice, o_orderkey) / 5000, 6) AS top1_score FROM orders GROUP BY 1)),
+it AS (SELECT *, CAST((ck2 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) % 97 AS VARCHAR) AS top1_group_code, CASE st WHEN 'F' THEN 'MATCHED' WHEN 'O' THEN 'REVIEW' ELSE 'UNMATCHED' END AS current_status, CASE WHEN k % 7 = 0 THEN 'REVIEW' WHEN st = 'F' THEN 'MATCHED' WHEN st = 'O' THEN 'REVIEW' ELSE 'UNMATCHED' END AS original_status FROM (SELECT o_custkey AS ck2, max(o_orderkey) AS k, arg_max(o_orderstatus, o_orderkey) AS st, round(arg_max(o_totalprice, o_orderkey) / 5000, 6) AS top1_score FROM orders GROUP BY 1)),
 rk AS (SELECT ck2, CAST((ck2 + l_partkey % 3) % 97 AS VARCHAR) AS code, min(l_linenumber) AS expected_rank FROM it JOIN lineitem ON l_orderkey = k GROUP BY 1, 2),
-ev AS (SELECT truth_key, expected, expected_code, segment, current_status, top1_group_code, CASE WHEN current_status = 'MATCHED' THEN top1_group_code END AS final_group_code, top1_score, expected_rank, CASE WHEN current_status IS NULL THEN 0 ELSE 1 END AS matched_task_row,
-CASE WHEN expected = 'MATCH' AND top1_group_code = expected_code THEN 1 ELSE 0 END AS top1_correct, CASE WHEN expected = 'MATCH' THEN CASE WHEN current_status = 'MATCHED' AND top1_group_code = expected_code THEN 1 ELSE 0 END WHEN current_status IS NOT NULL AND current_status <> 'MATCHED' THEN 1 ELSE 0 END AS final_correct
+ev AS (SELECT truth_key, expected, expected_code, segment, current_status, original_status, top1_group_code, CASE WHEN current_status = 'MATCHED' THEN top1_group_code END AS final_group_code, top1_score, expected_rank, CASE WHEN current_status IS NULL THEN 0 ELSE 1 END AS matched_task_row,
+CASE WHEN expected = 'MATCH' AND top1_group_code = expected_code THEN 1 ELSE 0 END AS top1_correct, CASE WHEN expected = 'MATCH' THEN CASE WHEN current_status = 'MATCHED' AND top1_group_code = expected_code THEN 1 ELSE 0 END WHEN current_status = 'UNMATCHED' THEN 1 ELSE 0 END AS final_correct
 FROM t LEFT JOIN it ON it.ck2 = t.ck LEFT JOIN rk ON rk.ck2 = t.ck AND rk.code = t.expected_code)"""
 
 
@@ -195,6 +281,29 @@ def evaluation_metrics(spark, d):
     return evaluation.metrics(judged(spark, d))
 
 
+def full_sql():
+    was, now = (lambda x: f"{H} AND original_status = '{x}'"), (lambda x: f"{H} AND current_status = '{x}'")
+    right, final = "expected = 'MATCH' AND top1_group_code = expected_code", "final_group_code IS NOT NULL"
+    n, nm, nn = csql(H), csql(M), csql(N)
+    top, done, tn = csql(H + " AND top1_correct = 1"), csql(H + " AND final_correct = 1"), csql(N + " AND final_correct = 1")
+    fp = csql(N + f" AND (current_status IN ('MATCHED', 'CONFIRMED') OR {final})")
+    resolved = csql(H + f" AND ({final} OR (expected <> 'MATCH' AND current_status = 'UNMATCHED'))")
+    auto, auto_ok, cur, cur_ok = csql(was("MATCHED")), csql(was("MATCHED") + " AND " + right), csql(now("MATCHED")), csql(now("MATCHED") + " AND " + right)
+    counts = {"truth_rows": "count(*)", "evaluated_rows": n, "positive_truth_rows": nm, "no_match_truth_rows": nn, "top1_correct": top, "final_correct": done, "automatic_rows": auto, "automatic_correct": auto_ok, "automatic_match_rows": cur, "automatic_match_correct": cur_ok, "review_rows": csql(was("REVIEW")), "current_review_rows": csql(now("REVIEW")), "unmatched_rows": csql(was("UNMATCHED")), "resolved_rows": resolved, "human_changed_rows": csql(H + f" AND {final} AND final_group_code IS DISTINCT FROM top1_group_code"), "no_match_true_negative": tn, "no_match_false_positive": fp}
+    rates = {"truth_coverage": rsql(n, "count(*)"), "top1_accuracy": rsql(top, nm), "positive_top1_accuracy": rsql(top, nm), "final_accuracy": rsql(done, n), "human_accuracy_gain": rsql(f"{done} - {top} - {tn}", n), "automatic_accuracy": rsql(auto_ok, auto), "automatic_match_precision": rsql(cur_ok, cur), "review_rate": rsql(counts["review_rows"], n), "current_review_rate": rsql(counts["current_review_rows"], n), "unmatched_rate": rsql(counts["unmatched_rows"], n), "resolved_rate": rsql(resolved, n), "no_match_true_negative_rate": rsql(tn, nn), "no_match_false_positive_rate": rsql(fp, nn), **{f"candidate_recall_at_{k}": rsql(csql(M + f" AND expected_rank <= {k}"), nm) for k in (1, 3, 5, 10)}}
+    return f"WITH {EV} SELECT " + ", ".join(f"{v} AS {k}" for k, v in (counts | rates).items()) + " FROM ev"
+
+
+@query("evaluation_report", full_sql())
+def evaluation_report(spark, d):
+    return evaluation.full_metrics(judged(spark, d))
+
+
+@query("score_extremes", f"WITH {EV}, a AS (SELECT 'lowest_correct_top1' AS kind, CAST(row_number() OVER (ORDER BY top1_score NULLS FIRST, truth_key) AS INTEGER) AS place, truth_key, top1_score FROM ev WHERE top1_correct = 1), b AS (SELECT 'highest_true_no_match_top1' AS kind, CAST(row_number() OVER (ORDER BY top1_score DESC NULLS LAST, truth_key) AS INTEGER) AS place, truth_key, top1_score FROM ev WHERE {N}) SELECT * FROM a WHERE place <= 12 UNION ALL SELECT * FROM b WHERE place <= 12")
+def score_extremes(spark, d):
+    return evaluation.extremes(judged(spark, d)).select("kind", "place", "truth_key", "top1_score")
+
+
 @query("candidate_recall_at_k", f"WITH {EV} SELECT {csql(M)} AS evaluated_match_rows, " + ", ".join(f"{rsql(csql(M + f' AND expected_rank <= {k}'), csql(M))} AS recall_at_{k}" for k in (1, 3, 5, 10)) + " FROM ev")
 def candidate_recall_at_k(spark, d):
     return evaluation.recall_at(judged(spark, d))
@@ -265,10 +374,39 @@ def duration_fields(spark, d):
     return j.select("l_orderkey", "l_linenumber", "l_partkey", ms.alias("ms"), text.alias("text"))
 
 
-@query("throughput_eta", "WITH p AS (SELECT user_id AS task_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, event_id AS done, 20000000 AS total FROM events), w AS (SELECT *, min(seconds) OVER f AS s0, min(done) OVER f AS d0 FROM p WINDOW f AS (PARTITION BY task_id ORDER BY seconds RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)) SELECT task_id, seconds, done, CASE WHEN seconds > s0 AND done > d0 THEN round((done - d0)::DOUBLE / (seconds - s0), 6) END AS rows_per_second FROM w")
+@query("throughput_eta", "WITH p AS (SELECT user_id AS task_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, event_id AS done FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seconds, done) AS rn FROM p), w AS (SELECT *, min(rn) OVER (PARTITION BY task_id ORDER BY seconds RANGE BETWEEN 864000 PRECEDING AND CURRENT ROW) AS first FROM n), j AS (SELECT w.task_id, w.seconds, w.done, w.seconds - b.seconds AS dt, w.done - b.done AS dn FROM w JOIN n b ON b.task_id = w.task_id AND b.rn = greatest(w.first, w.rn - 2)) SELECT task_id, seconds, done, CASE WHEN dt > 0 AND dn > 0 THEN round(dn::DOUBLE / dt, 6) END AS rows_per_second FROM j")
 def throughput_eta(spark, d):
     p = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("task_id"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("seconds"), F.col("event_id").alias("done"), F.lit(20000000).alias("total"))
-    return tasks.throughput(p, 86400).select("task_id", "seconds", "done", "rows_per_second")
+    return tasks.throughput(p, 864000, 3).select("task_id", "seconds", "done", "rows_per_second")
+
+
+@query("task_details", "WITH r AS (SELECT l_orderkey AS task_id, min(l_shipdate) AS started, count(*) AS rows FROM lineitem GROUP BY 1), a AS (SELECT user_id AS task_id, arg_min('op' || (event_id % 7), struct_pack(a := ts, b := event_id)) AS operator FROM events WHERE event_type IN ('signup', 'view') GROUP BY 1) SELECT o_orderkey AS task_id, r.started AS runtime_started, r.rows AS runtime_rows, a.operator AS actor_operator FROM orders LEFT JOIN r ON r.task_id = o_orderkey LEFT JOIN a ON a.task_id = o_orderkey")
+def task_details(spark, d):
+    r = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.min("l_shipdate").alias("started"), F.count("*").alias("rows"))
+    e = log(spark, d).select(F.col("source_row_id").alias("entity_id"), "action", "operator", F.col("operated_at").alias("created_at"), "seq")
+    a = tasks.first_actor(e, ("signup", "view")).select(F.col("entity_id").alias("task_id"), "operator")
+    t = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("task_id"))
+    return tasks.task_details(t, runtime=r, actor=a)
+
+
+@query("catalog_versions", "SELECT c_custkey AS version_id, n_nationkey AS catalog_id, n_name, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey % 100 DESC, c_custkey DESC) AS INTEGER) AS version_place FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey < 3")
+def catalog_versions(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").where("n_regionkey < 3").select(F.col("n_nationkey").alias("catalog_id"), "n_name")
+    v = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("version_id"), F.col("c_nationkey").alias("catalog_id"), (F.col("c_custkey") % 100).alias("created_at"))
+    return tasks.with_versions(n, v, "catalog_id").select("version_id", "catalog_id", "n_name", "version_place")
+
+
+@query("claim_next_task", "WITH t AS (SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'RECOVERING' ELSE 'DONE' END AS status, o_orderdate AS created_at FROM orders), c AS (SELECT arg_min(task_id, struct_pack(a := created_at, b := task_id)) AS k FROM t WHERE status <> 'DONE') SELECT task_id, CASE WHEN task_id = k THEN 'PREPARING' ELSE status END AS status, CASE WHEN task_id = k THEN created_at END AS started_at FROM t, c")
+def claim_next_task(spark, d):
+    st = F.when(F.col("o_orderstatus") == "O", "PENDING").when(F.col("o_orderstatus") == "P", "RECOVERING").otherwise("DONE")
+    t = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("task_id"), st.alias("status"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("started_at"))
+    return tasks.claim_next(t).select("task_id", "status", "started_at")
+
+
+@query("children_equal", "WITH a AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey % 2)) AS c FROM lineitem WHERE l_linenumber < 4 GROUP BY 1), b AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey % 2)) AS c FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) SELECT coalesce(a.k, b.k) AS task_id, a.c IS NOT DISTINCT FROM b.c AS same FROM a FULL JOIN b ON a.k = b.k")
+def children_equal(spark, d):
+    line = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("task_id"), (F.col("l_suppkey") % 2).alias("child"), "l_linenumber")
+    return tasks.same_children(line.where("l_linenumber < 4"), line.where("l_linenumber > 1"), "task_id", "child")
 
 
 @query("result_staleness", "WITH c AS (SELECT o_custkey AS task_id, max(o_orderdate) AS last_change FROM orders GROUP BY 1), r AS (SELECT c_custkey AS task_id, TIMESTAMP '1998-01-01' AS written_at FROM customer) SELECT r.task_id, coalesce(last_change > written_at, false) AS stale FROM r LEFT JOIN c ON c.task_id = r.task_id")
@@ -348,3 +486,12 @@ def field_states(spark, d):
 def manual_review_wide(spark, d):
     c = candidates(spark, d).groupBy("source_row_id", "rank").agg(F.max("score").alias("score"), F.min("target_group_code").alias("target_group_code"))
     return exports.manual_wide(items(spark, d), c).select("source_row_id", "current_status", *[f"score_{r}" for r in range(1, 6)])
+
+
+@query("column_states", "WITH c AS (SELECT p_name, p_brand, min(p_type) AS t_type, min(p_size) AS t_size FROM part GROUP BY 1, 2) SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 4 WHEN p_type = t_type THEN 1 ELSE 3 END AS type_state, CASE WHEN p_size % 2 = 0 THEN 2 WHEN p_size = t_size THEN 1 ELSE 3 END AS size_state FROM part JOIN c USING (p_name, p_brand)")
+def column_states(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    c = p.groupBy("p_name", "p_brand").agg(F.min("p_type").alias("t_type"), F.min("p_size").cast("string").alias("t_size"))
+    j = p.join(c, ["p_name", "p_brand"])
+    ruled = F.when(F.col("p_size") % 2 == 0, exports.field_state(F.lit(0.5)))
+    return j.select("p_partkey", exports.column_states(F.when(F.col("p_partkey") % 9 == 0, " ").otherwise(F.col("p_type")), F.col("t_type")).alias("type_state"), exports.column_states(F.col("p_size").cast("string"), F.col("t_size"), ruled).alias("size_state"))

@@ -57,12 +57,18 @@ def knn_exact_topk(spark, d):
     return retrieval.topk(emb(spark, d), emb(spark, d), 10, DIM).select("q_id", "t_id", "similarity", "rank")
 
 
-@query("bbq_two_stage_topk")
+COARSE = "CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: CASE WHEN (a.q[i] >= 0) = (b.v[i] >= 0) THEN abs(a.q[i]) ELSE 0 END)) AS BIGINT)"
+FINE = "round(list_inner_product(a.v, list_transform(b.v, lambda x: greatest(-127, least(127, round_even(x * 127, 0))) / 127.0)), 6)"
+W = f"w AS (SELECT id, v, {Q} AS q FROM u)"
+TWO = f"WITH {U}, {W}, c AS (SELECT a.id AS q_id, b.id AS t_id, {COARSE} AS coarse, {FINE} AS similarity FROM w a, u b), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY coarse DESC, t_id) <= 40) SELECT q_id, t_id, coarse, similarity, CAST(row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, t_id) AS INTEGER) AS rank FROM k QUALIFY rank <= 10"
+
+
+@query("bbq_two_stage_topk", TWO)
 def bbq_two_stage_topk(spark, d):
     return retrieval.topk(emb(spark, d), emb(spark, d), 10, DIM, oversample=4).select("q_id", "t_id", "coarse", "similarity", "rank")
 
 
-@query("knn_recall")
+@query("knn_recall", f"WITH a AS ({TWO}), x AS ({KNN}), p AS (SELECT x.q_id, max(CASE WHEN x.rank = 1 AND a.rank = 1 THEN 1 ELSE 0 END) AS top1, " + ", ".join(f"count(*) FILTER (x.rank <= {k} AND a.rank <= {k}) / count(*) FILTER (x.rank <= {k}) AS r{k}" for k in (1, 3, 5, 10)) + " FROM x LEFT JOIN a ON a.q_id = x.q_id AND a.t_id = x.t_id GROUP BY 1) SELECT count(*) AS queries, round(avg(top1), 6) AS top1_hit_rate, " + ", ".join(f"round(avg(r{k}), 6) AS recall_at_{k}" for k in (1, 3, 5, 10)) + " FROM p")
 def knn_recall(spark, d):
     return retrieval.recall(bbq_two_stage_topk(spark, d), knn_exact_topk(spark, d))
 
@@ -81,6 +87,29 @@ def lsh_candidates(spark, d):
     return retrieval.lsh_candidates(emb(spark, d), emb(spark, d), DIM).groupBy("q_id").agg(F.count("*").alias("pool"), F.sum("n_tables").alias("hits"))
 
 
+PROBES = 'probes AS (SELECT id AS q_id, "table", unnest([code] || list_transform(range(0, 16), lambda j: xor(code, CAST(1 << j AS INTEGER)))) AS code FROM buckets)'
+
+
+@query("ann_topk", f'WITH {U}, {BUCKETS}, {PROBES}, sizes AS (SELECT "table", code, count(*) AS size FROM buckets GROUP BY 1, 2), occ AS (SELECT q_id, coalesce(sum(size), 0) AS n FROM probes LEFT JOIN sizes USING ("table", code) GROUP BY 1), fit AS (SELECT q_id FROM occ WHERE n > 0 AND n <= 1074), h AS (SELECT DISTINCT q_id, id AS t_id, false AS scanned FROM probes JOIN buckets USING ("table", code) WHERE q_id IN (SELECT q_id FROM fit) UNION ALL SELECT u.id, e.id, true FROM u, e WHERE u.id NOT IN (SELECT q_id FROM fit)), {W}, c AS (SELECT q_id, t_id, scanned, {COARSE} AS coarse, {FINE} AS similarity FROM h JOIN w a ON a.id = q_id JOIN u b ON b.id = t_id), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY coarse DESC, t_id) <= 40) SELECT q_id, t_id, coarse, similarity, scanned, CAST(row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, t_id) AS INTEGER) AS rank FROM k QUALIFY rank <= 10')
+def ann_topk(spark, d):
+    return retrieval.ann_topk(emb(spark, d), emb(spark, d), 10, DIM, limit=50)
+
+
+@query("vector_index_rows", f"WITH {U}, l AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS group_code FROM embeddings WHERE vec_id % 7 > 0) SELECT id, group_code, array_to_string(list_transform(range(0, 8), lambda b: CAST(list_sum(list_transform(range(0, 8), lambda i: CASE WHEN v[b * 8 + i + 1] >= 0 THEN 1 << i ELSE 0 END)) AS INTEGER)), ',') AS signs, array_to_string(list_transform(v, lambda x: CAST(greatest(-127, least(127, round_even(x * 127, 0))) AS INTEGER)), ',') AS int8 FROM l JOIN u USING (id)")
+def vector_index_rows(spark, d):
+    t = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("group_code"), F.when(F.col("vec_id") % 7 > 0, "text").otherwise("").alias("text"), F.col("embedding").alias("vector"))
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return retrieval.index_rows(t, DIM).select("id", "group_code", join("signs"), join("int8"))
+
+
+@query("cache_rekey", "WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND text <> ''), f AS (SELECT text IN (SELECT text FROM documents WHERE lang = 'en' AND text IS NOT NULL) AS old, text IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) AS new FROM t) SELECT count(*) AS unique_texts, count(*) FILTER (old) AS legacy_vectors_found, count(*) FILTER (NOT old) AS legacy_vectors_missing, count(*) FILTER (old AND NOT new) AS migrated, count(*) FILTER (old AND new) AS already_present FROM f")
+def cache_rekey(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    key = lambda df, scope: df.where("text is not null").select(retrieval.text_key(F.col("text"), scope).alias("key"), F.array(F.lit(0.0)).alias("vector")).dropDuplicates(["key"])
+    cache = key(t.where("lang = 'en'"), "old").unionByName(key(t.where("doc_id % 3 = 0"), "new"))
+    return retrieval.cache_rekey(t, cache, "old", "new")[1]
+
+
 HEX = "list_transform(range(0, 32), lambda i: CAST('0x' || substr(h, i * 2 + 1, 2) AS INTEGER) / 127.5 - 1)"
 
 
@@ -102,16 +131,34 @@ def embedding_degenerate_check(spark, d):
     return retrieval.degenerate(emb(spark, d), DIM)
 
 
-@query("score_semantic")
+NAMES = f"names AS (SELECT name, list_transform({HEX}, lambda x: x / n) AS v FROM (SELECT name, h, sqrt(list_sum(list_transform({HEX}, lambda x: x * x))) AS n FROM (SELECT DISTINCT p_name AS name, sha256(encode(p_name) || '\\x00\\x00\\x00\\x00'::BLOB) AS h FROM part)))"
+CATALOG = "catalog AS (SELECT min(p_partkey) AS t_ord, CAST(min(p_partkey) AS VARCHAR) AS group_code, p_name AS t_name, p_brand AS t_brand FROM part GROUP BY p_name, p_brand)"
+SEMANTIC = "f AS (SELECT p_partkey AS s_ord, t_ord, group_code, CASE WHEN p_brand = t_brand THEN round(greatest(0, least(1, similarity)) * 100, 4) ELSE 0.0 END AS score FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY s_ord ORDER BY score DESC, t_ord) AS rank FROM f) SELECT s_ord, CASE WHEN score >= 60 THEN 'MATCHED' WHEN score > 0 THEN 'REVIEW' ELSE 'UNMATCHED' END AS status, score AS top1_score, group_code AS top1_group_code FROM r WHERE rank = 1"
+
+
+def semantic_config():
+    from kinlink.config import Decision, MatchConfig, Retrieval, Rule, Side
+
+    name, brand = Side(columns=("p_name",)), Side(columns=("p_brand",))
+    return MatchConfig(rules=(Rule("text", name, name, "semantic", 100), Rule("brand", brand, brand, "exact", 0, veto_threshold=50)), group_code_column="group_code", decision=Decision(success_threshold=60), retrieval=Retrieval(top_k=20, source=name, target=name))
+
+
+@query("score_semantic", f"WITH {NAMES}, {CATALOG}, s AS (SELECT a.name AS a, b.name AS b, round(list_inner_product(a.v, b.v), 6) AS similarity FROM names a, names b), h AS (SELECT p_partkey, p_brand, catalog.*, similarity FROM part JOIN s ON a = p_name JOIN catalog ON t_name = b QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY similarity DESC, t_ord) <= 20), {SEMANTIC}")
 def score_semantic(spark, d):
-    """Parts against the catalog by retrieved neighbours of deterministic embeddings of their texts."""
-    from kinlink.config import Decision, MatchConfig, Rule, Side
+    """Parts against the catalog by retrieved neighbours of deterministic embeddings of their names; another brand vetoes."""
     from kinlink.plans import matching
     from kinlink.queries.linkage import catalog, parts
 
-    name = Side(columns=("p_name",))
-    cfg = MatchConfig(rules=(Rule("text", name, name, "semantic", 70), Rule("brand", Side(columns=("p_brand",)), Side(columns=("p_brand",)), "exact", 30)), group_code_column="group_code", decision=Decision(success_threshold=60))
     s = parts(spark, d).select(F.col("p_partkey").alias("id"), V.deterministic_embedding(F.col("p_name")).alias("vector"))
     t = catalog(spark, d).select(F.col("row_ordinal").alias("id"), V.deterministic_embedding(F.col("p_name")).alias("vector"))
     hits = retrieval.topk(s, t, 20, 32).select(F.col("q_id").alias("s_ord"), F.col("t_id").alias("t_ord"), "similarity")
-    return matching.match_with_vectors(parts(spark, d), catalog(spark, d), cfg, hits, "p_partkey", "row_ordinal")[0].select("s_ord", "status", "top1_score", "top1_group_code")
+    return matching.match_with_vectors(parts(spark, d), catalog(spark, d), semantic_config(), hits, "p_partkey", "row_ordinal")[0].select("s_ord", "status", "top1_score", "top1_group_code")
+
+
+@query("match_auto", f"WITH {NAMES}, {CATALOG}, w AS (SELECT name, v, {Q} AS q FROM names), s AS (SELECT a.name AS a, b.name AS b, {COARSE} AS coarse, {FINE} AS similarity FROM w a, names b), k AS (SELECT p_partkey, p_brand, catalog.*, similarity FROM part JOIN s ON a = p_name JOIN catalog ON t_name = b QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY coarse DESC, t_ord) <= 80), h AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY similarity DESC, t_ord) <= 20), {SEMANTIC}")
+def match_auto(spark, d):
+    """The same by the router: semantic rules take the two-stage retrieval."""
+    from kinlink.plans import matching
+    from kinlink.queries.linkage import catalog, parts
+
+    return matching.match_auto(parts(spark, d), catalog(spark, d), semantic_config(), V.deterministic_embedding, 32, "p_partkey", "row_ordinal")[0].select("s_ord", "status", "top1_score", "top1_group_code")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import zipfile
+from typing import BinaryIO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +30,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; only in one local process, as in tests, a temporary folder where it is unset."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ConfigError("SHARED_FOLDER_MISSING", "set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="kinlink-")
+
+
 def workbook(sheets: dict[str, DataFrame]) -> bytes:
-    """An XLSX workbook of report sheets, rows streamed; a sheet's limit is that of the format."""
+    """A small workbook as bytes; `write_workbook` writes any."""
     out = io.BytesIO()
+    write_workbook(sheets, out)
+    return out.getvalue()
+
+
+def write_workbook(sheets: dict[str, DataFrame], out: BinaryIO) -> None:
+    """An XLSX workbook of report sheets to an open file, row by row and partition by partition; a sheet's limit is that of the format."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -48,7 +65,6 @@ def workbook(sheets: dict[str, DataFrame]) -> bytes:
                         raise ConfigError("SHEET_TOO_LONG", name)
                     f.write(_row(k, r))
                 f.write(b"</sheetData></worksheet>")
-    return out.getvalue()
 
 
 def _row(k: int, values) -> bytes:

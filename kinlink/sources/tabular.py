@@ -9,6 +9,7 @@ row of the file, `row_ordinal` counts the filled rows from 1.
 from __future__ import annotations
 
 import csv
+import datetime
 import io
 import re
 import zipfile
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinlink.errors import ConfigError
-from kinlink.sources.layout import Header, detect_header
+from kinlink.sources import layout
 
 SNIFF, BATCH, FIRST = 256 << 10, 4096, 30
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -44,8 +45,14 @@ def csv_records(data: bytes) -> Iterator[list]:
     yield from csv.reader(text)
 
 
-def cell_text(value, kind: str | None) -> str | None:
-    """Text of a sheet's cell: TRUE/FALSE, whole numbers without point, else as it stands."""
+def date_text(serial: float) -> str:
+    """What a date cell's serial number stands for; below 1 a time of day alone."""
+    whole = datetime.datetime(1899, 12, 30) + datetime.timedelta(seconds=round(serial * 86_400))
+    return whole.strftime("%H:%M:%S" if serial < 1 else "%Y-%m-%d %H:%M:%S")
+
+
+def cell_text(value, kind: str | None, dated: bool = False) -> str | None:
+    """Text of a sheet's cell: TRUE/FALSE, dates as such, whole numbers without point, else as it stands."""
     if value is None:
         return None
     if kind == "b":
@@ -55,17 +62,29 @@ def cell_text(value, kind: str | None) -> str | None:
             f = float(value)
         except ValueError:
             return value
+        if dated:
+            return date_text(f)
         return str(int(f)) if f.is_integer() and abs(f) < 1e15 else repr(f)
     return value
 
 
+def date_styles(styles: bytes) -> set[int]:
+    """Cell styles that show a number as date or time: by the format's number, or by its letters outside quotes and brackets."""
+    root = ElementTree.fromstring(styles)
+    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{{{_NS['m']}}}numFmt")}
+    letters = lambda code: re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code).lower()
+    xfs = root.find("m:cellXfs", _NS)
+    kinds = [int(x.get("numFmtId") or 0) for x in (xfs if xfs is not None else [])]
+    return {i for i, k in enumerate(kinds) if 14 <= k <= 22 or 45 <= k <= 47 or 27 <= k <= 36 or 50 <= k <= 58 or re.search("[dmyhs]", letters(own.get(k, "")))}
+
+
 def sheet_names(data: bytes) -> list[str]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         return [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS)]
 
 
-def xlsx_records(data: bytes, sheet: str | None = None) -> Iterator[list]:
-    """Rows of one sheet, gaps as empty rows and cells; shared and inline strings are resolved."""
+def xlsx_cells(data: bytes, sheet: str | None = None) -> Iterator[tuple[int, list]]:
+    """Rows of one sheet that the file holds, with their numbers, as (text, whether it is text, not a number) or None; gaps between rows are not filled."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
@@ -76,17 +95,14 @@ def xlsx_records(data: bytes, sheet: str | None = None) -> Iterator[list]:
         strings: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             strings = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        dates = date_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in z.namelist() else set()
         path = sheets[name].lstrip("/")
         with z.open(path if path.startswith("xl/") else f"xl/{path}") as f:
             at = 0
             for _, row in ElementTree.iterparse(f):
                 if row.tag != f"{{{_NS['m']}}}row":
                     continue
-                number = int(row.get("r") or at + 1)
-                while at + 1 < number:
-                    at += 1
-                    yield []
-                at = number
+                at = int(row.get("r") or at + 1)
                 out: list = []
                 for c in row.findall("m:c", _NS):
                     letters = re.match(r"[A-Z]+", c.get("r") or "")
@@ -98,41 +114,109 @@ def xlsx_records(data: bytes, sheet: str | None = None) -> Iterator[list]:
                         col -= 1
                     out += [None] * (col - len(out))
                     kind, v = c.get("t"), c.find("m:v", _NS)
+                    dated = kind in (None, "n") and int(c.get("s") or 0) in dates
                     if kind == "inlineStr":
                         text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
                     elif kind == "s":
                         text = strings[int(v.text)]
                     else:
-                        text = cell_text(None if v is None else v.text, kind)
-                    out.append(text)
-                yield out
+                        text = cell_text(None if v is None else v.text, kind, dated)
+                    out.append(None if text is None else (text, kind not in (None, "n", "b") and not dated))
+                yield at, out
                 row.clear()
 
 
-def records(path: str, data: bytes, sheet: str | None) -> Iterator[list]:
+def numbered_cells(path: str, data: bytes, sheet: str | None) -> Iterator[tuple[int, list]]:
+    """(row number, cells as (text, is_text) or None) of a file."""
     low = path.lower()
     if low.endswith((".xlsx", ".xlsm")):
-        return xlsx_records(data, sheet)
+        return xlsx_cells(data, sheet)
     if low.endswith(".xls"):
         raise ConfigError("FILE_TYPE_UNSUPPORTED", path)
-    return csv_records(data)
+    return ((i, [(v, True) for v in r]) for i, r in enumerate(csv_records(data), 1))
+
+
+def records(path: str, data: bytes, sheet: str | None) -> Iterator[tuple[int, list]]:
+    """(row number, texts) of a file."""
+    return ((n, [None if c is None else c[0] for c in r]) for n, r in numbered_cells(path, data, sheet))
 
 
 def first_rows(spark: SparkSession, path: str, sheet: str | None = None, n: int = FIRST) -> list[list]:
+    """Texts of the first n rows of the first file, rows that it leaves out as empty ones."""
     def head(batches):
         for b in batches:
             for p, d in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rows = [r for r, _ in zip(records(p, d, sheet), range(n))]
+                rows: list[list] = []
+                for number, r in records(p, d, sheet):
+                    if number > n:
+                        break
+                    rows += [[]] * (number - 1 - len(rows)) + [r]
                 yield pa.RecordBatch.from_arrays([pa.array([rows], pa.list_(pa.list_(pa.string())))], ["rows"])
 
     got = spark.read.format("binaryFile").load(path).select("path", "content").orderBy("path").limit(1).mapInArrow(head, "rows array<array<string>>").collect()
     return [list(r) for r in got[0]["rows"]] if got else []
 
 
+def grid(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """path, sheet, place, row_number, cells of every sheet of the files: what `layout` inspects. first: rows of a sheet to read."""
+    cell = pa.list_(pa.struct([("value", pa.string()), ("is_text", pa.bool_())]))
+
+    def parse(batches):
+        for b in batches:
+            for p, d in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                for place, sheet in enumerate(sheet_names(d) if p.lower().endswith((".xlsx", ".xlsm")) else [None]):
+                    numbers, rows = [], []
+                    for number, r in numbered_cells(p, d, sheet):
+                        if first is not None and number > first:
+                            break
+                        numbers.append(number)
+                        rows.append([None if c is None else {"value": c[0], "is_text": c[1]} for c in r])
+                        if len(rows) == BATCH:
+                            yield _grid_batch(p, sheet, place, numbers, rows, cell)
+                            numbers, rows = [], []
+                    if rows:
+                        yield _grid_batch(p, sheet, place, numbers, rows, cell)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, f"path string, sheet string, place int, row_number long, cells {layout.CELLS}")
+
+
+def _grid_batch(path, sheet, place, numbers, rows, cell) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([sheet] * n, pa.string()), pa.array([place] * n, pa.int32()), pa.array(numbers, pa.int64()), pa.array(rows, cell)], ["path", "sheet", "place", "row_number", "cells"])
+
+
+def inspect(spark: SparkSession, path: str, first: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sheets, columns) of files: header rows, row counts, and what each column holds and may mean; lazily, for all files at once."""
+    g = grid(spark, path, first).withColumn("sheet", F.coalesce("sheet", F.lit("")))
+    return layout.inspect_sheets(g, "path", "sheet", "place"), layout.inspect_columns(g, "path", "sheet", "place")
+
+
+_INSPECTED: dict[tuple, tuple] = {}
+
+
+def inspected(spark: SparkSession, path: str, first: int | None = None, most: int = 32) -> tuple[list, list]:
+    """`inspect`, collected (a row a sheet and a row a column) and kept for the `most` last used of unchanged files."""
+    stat = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length").orderBy("path").collect()
+    key = (path, first, *map(tuple, stat))
+    got = _INSPECTED.pop(key, None) or tuple(d.collect() for d in inspect(spark, path, first))
+    _INSPECTED[key] = got
+    while len(_INSPECTED) > most:
+        _INSPECTED.pop(next(iter(_INSPECTED)))
+    return got
+
+
+def header_row_of(spark: SparkSession, path: str, sheet: str | None = None) -> int:
+    """Header row of one sheet of the first file."""
+    g = grid(spark, path, FIRST)
+    g = g.where(F.col("sheet") == sheet) if sheet else g.where("place = 0")
+    got = layout.detect_headers(g, "path").orderBy("path").first()
+    return got["header_row"] if got else 1
+
+
 def read_table(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None) -> DataFrame:
     """Table of one file, or of several with the same header: its columns, row_number and row_ordinal. The header row is found if not given; of equal headers the last counts."""
-    rows = first_rows(spark, path, sheet, max(FIRST, header_row or 0))
-    at = header_row or detect_header(rows).header_row
+    at = header_row or header_row_of(spark, path, sheet)
+    rows = first_rows(spark, path, sheet, max(FIRST, at))
     if not rows or at > len(rows):
         raise ConfigError("HEADER_NOT_FOUND", path)
     columns = list(dict.fromkeys(h.strip() for h in rows[at - 1] if h is not None and h.strip()))
@@ -145,7 +229,7 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, header_
                 place: dict[str, int] = {}
                 out: list[list] = []
                 ordinal = 0
-                for number, r in enumerate(records(p, d, sheet), 1):
+                for number, r in records(p, d, sheet):
                     if number < at:
                         continue
                     if number == at:
@@ -165,17 +249,16 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, header_
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, schema)
 
 
+def read_rows(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None) -> DataFrame:
+    """`read_table` without the visible row numbers."""
+    return read_table(spark, path, sheet, header_row).drop("row_number")
+
+
 def _batch(rows: list[list], schema: T.StructType) -> pa.RecordBatch:
     types = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schema.names)
 
 
-def inspect(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[Header, list[str]]:
-    rows = first_rows(spark, path, sheet)
-    h = detect_header(rows)
-    return h, [x for x in (rows[h.header_row - 1] if rows else []) if x]
-
-
 def digest_files(spark: SparkSession, path: str) -> DataFrame:
     """Content digests of files, equal contents once."""
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), "path").groupBy("sha256", "size_bytes").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
