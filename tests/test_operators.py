@@ -65,9 +65,65 @@ def test_dictionary_merge(spark):
     assert got == {"a": ("1", "SKIPPED"), "b": ("9", "UPDATED"), "c": ("3", "KEPT"), "d": ("4", "ADDED")}
 
 
-def test_headers():
-    h = layout.detect_header([["report", None], ["物料编码", "规格"], ["1", "2"]])
-    assert h.header_row == 2 and layout.hint("物料编码") == ("source_id", 0.99) and layout.hint("qq") == (None, 0.0)
+def cells(*rows):
+    """Rows of a grid: strings are text, numbers are not."""
+    return [(i, [None if v is None else (str(v), isinstance(v, str)) for v in r]) for i, r in enumerate(rows, 1)]
+
+
+def test_headers(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", *x) for x in cells(["report", None], ["物料编码", "规格"], ["1", "2"])] + [("b", *x) for x in cells([7, 8], [1, 2])]
+    g = spark.createDataFrame(rows, f"sheet string, row_number long, cells {layout.CELLS}")
+    got = {r["sheet"]: r for r in layout.detect_headers(g, "sheet").collect()}
+    assert got["a"]["header_row"] == 2 and got["b"]["header_row"] == 1 and got["b"]["confidence"] == 0.55
+    h = spark.createDataFrame([("物料编码",), ("qq",), (None,), (" 物料-编码 ",)], "v string").select("v", layout.hint(F.col("v")).alias("h")).collect()
+    assert {r["v"]: tuple(r["h"]) for r in h} == {"物料编码": ("source_id", 0.99), "qq": (None, 0.0), None: ("source_id", 0.82), " 物料-编码 ": ("source_id", 0.99)}
+
+
+def sheet_xml(rows):
+    return '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(rows) + "</sheetData></worksheet>"
+
+
+def make_xlsx(path, sheets, styles=""):
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        if styles:
+            z.writestr("xl/styles.xml", styles)
+        for i, rows in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/s{i}.xml", sheet_xml(rows))
+
+
+def test_xlsx_dates_gaps_and_inspection(spark, tmp_path):
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    styles = f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="0.00&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>'
+    text = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    rows = [
+        f'<row r="2">{text("A2", "物料编码")}{text("B2", "日期")}{text("D2", "名称")}</row>',
+        '<row r="4"><c r="A4"><v>17</v></c><c r="B4" s="1"><v>45292</v></c><c r="D4" s="3"><v>2.5</v></c></row>',
+        f'<row r="900000"><c r="B900000" s="2"><v>45292.5</v></c>{text("D900000", "x")}</row>',
+    ]
+    make_xlsx(tmp_path / "a.xlsx", {"Main": rows, "Empty": [], "Notes": [f'<row r="1">{text("A1", "note")}</row>']}, styles)
+    got = [tuple(r) for r in tabular.read_table(spark, str(tmp_path / "a.xlsx")).orderBy("row_ordinal").collect()]
+    assert got == [("17", "2024-01-01 00:00:00", "2.5", 4, 1), (None, "2024-01-01 12:00:00", "x", 900000, 2)]
+    sheets, columns = tabular.inspected(spark, str(tmp_path / "a.xlsx"))
+    main_sheet = next(r for r in sheets if r["sheet"] == "Main")
+    assert (main_sheet["header_row"], main_sheet["row_count"], main_sheet["column_count"]) == (2, 2, 3)
+    assert layout.recommended_sheet(spark.createDataFrame(sheets), "sheet", "place").first()[0] == "Main"
+    code = next(r for r in columns if r["header"] == "物料编码")
+    assert code["leading_zero_risk"] and code["business_hint"] == "source_id" and code["samples"] == ["17"]
+    assert tabular.inspected(spark, str(tmp_path / "a.xlsx"))[0] is sheets
+    assert tabular.read_rows(spark, str(tmp_path / "a.xlsx")).columns == ["物料编码", "日期", "名称", "row_ordinal"]
+
+
+def test_grid_of_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,\n", "utf-8")
+    got = tabular.grid(spark, str(tmp_path / "a.csv")).orderBy("row_number").collect()
+    assert [[tuple(c) for c in r["cells"]] for r in got] == [[("x", True), ("y", True)], [("1", True), ("", True)]]
 
 
 def test_csv(spark, tmp_path):
@@ -91,6 +147,12 @@ def test_store_replaces_one_task(spark, tmp_path):
     assert (store.load(spark, str(tmp_path), "items", "a").count(), store.load(spark, str(tmp_path), "items").count()) == (1, 4)
 
 
+def test_ordinals_of_null_keys(spark):
+    df = spark.createDataFrame([(None,), *[(i,) for i in range(20)]], "id int")
+    got = {r["id"]: r["row_ordinal"] for r in layout.with_ordinal(df, "id").collect()}
+    assert got == {None: 1, **{i: i + 2 for i in range(20)}}
+
+
 def test_ordinals_have_no_gaps(spark):
     got = layout.with_ordinal(spark.range(5, 500, 3), "id").orderBy("id").collect()
     assert [r["row_ordinal"] for r in got] == list(range(1, len(got) + 1))
@@ -114,3 +176,127 @@ def test_duration(spark):
     df = spark.createDataFrame([(t, t + datetime.timedelta(seconds=3725, milliseconds=5))], "a timestamp, b timestamp")
     ms, text = tasks.duration(df.a, df.b)
     assert tuple(df.select(ms, text).first()) == (3725005, "1h2m5s")
+
+
+def test_embedding_cache_embeds_once(spark, tmp_path):
+    class Provider:
+        """Embeds by length; counts what it is asked for."""
+
+        def __init__(self, path):
+            self.path = path
+
+        def embed(self, texts):
+            with open(self.path, "a") as f:
+                f.write("".join(t + "\n" for t in texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+    p = Provider(str(tmp_path / "asked"))
+    texts = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "id int, text string")
+    for more in ([], [(5, "ccc")]):
+        t = texts.unionByName(spark.createDataFrame(more, "id int, text string"))
+        got = {r["id"]: r["vector"] for r in retrieval.get_or_embed(t, str(tmp_path / "cache"), p).collect()}
+        assert got[1] == got[3] == [1.0, 1.0] and got[2] == [2.0, 1.0] and got[4] is None and (not more or got[5] == [3.0, 1.0])
+    assert sorted((tmp_path / "asked").read_text().split()) == ["a", "bb", "ccc"]
+
+
+def test_index_is_built_once(spark, tmp_path):
+    calls = []
+
+    def targets():
+        calls.append(1)
+        return spark.createDataFrame([(1, "A", "x", [3.0, 4.0]), (2, "", "x", [1.0, 0.0]), (3, "B", "", [1.0, 0.0]), (4, "C", "y", [-1.0, 0.0])], "id long, group_code string, text string, vector array<double>")
+
+    mark = retrieval.fingerprint(file="f", model="m", k=1)
+    assert mark == retrieval.fingerprint(k=1, model="m", file="f") != retrieval.fingerprint(file="f", model="m", k=2)
+    one, built = retrieval.ensure_index(spark, str(tmp_path), mark, targets, 2)
+    two, again = retrieval.ensure_index(spark, str(tmp_path), mark, targets, 2)
+    assert (built, again, len(calls)) == (True, False, 1) and two.count() == 2
+    r = retrieval.index_records(one, spark.createDataFrame([(1,), (9,)], "id long")).collect()
+    assert [(x["group_code"], x["int8"], x["signs"]) for x in r] == [("A", [76, 102], [3])]
+
+
+def test_provider_status(tmp_path):
+    assert not retrieval.provider_status(str(tmp_path))["model_installed"]
+    for n in ("model.onnx", "tokenizer.json"):
+        (tmp_path / n).write_text("")
+    assert retrieval.provider_status(str(tmp_path))["model_installed"]
+
+
+def test_spread(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id long, vector array<double>")
+    with pytest.raises(ConfigError):
+        retrieval.check_spread(same, 2)
+    assert retrieval.check_spread(same.limit(5), 2).count() == 5
+
+
+@pytest.mark.parametrize("block", [32 << 20, 0])
+def test_retrieval_paths_agree(spark, block, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)  # queries broadcast, or met block by block
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 16))
+    x[200:] = x[:100] + 0.05 * r.standard_normal((100, 16))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(4)
+    q = t.where("id % 5 = 0")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = {i: sorted(range(300), key=lambda j: (-round(float(u[i] @ u[j]), 6), j))[:6] for i in range(0, 300, 5)}
+    got = retrieval.topk(q, t, 6, 16).orderBy("q_id", "rank").collect()
+    assert {i: [r["t_id"] for r in got if r["q_id"] == i] for i in exact} == exact
+    two = {(r["q_id"], r["rank"]): (r["t_id"], r["coarse"]) for r in retrieval.topk(q, t, 3, 16, oversample=2).collect()}
+    ann = retrieval.ann_topk(q, t, 3, 16, oversample=2, limit=6, tables=8, bits=6).collect()
+    assert {r["q_id"] for r in ann} == set(exact) and not any(r["scanned"] for r in ann) and all(r["t_id"] == r["q_id"] for r in ann if r["rank"] == 1)
+    full = retrieval.ann_topk(q, t, 3, 16, oversample=2, limit=6, tables=48, bits=2).collect()  # three quarters of all targets in each table
+    assert all(r["scanned"] for r in full) and {(r["q_id"], r["rank"]): (r["t_id"], r["coarse"]) for r in full} == two
+    every = retrieval.ann_topk(q, t, 3, 16, oversample=2, limit=0, tables=1, bits=16).where("not scanned").count()
+    assert every <= 3 * 60 and retrieval.retrieve(q, t, 3, 16, 2).count() == 180 and retrieval.retrieve(q, t, 3, 16, 2, least=100).count() == 180
+
+
+def test_report_columns_and_templates():
+    from kinlink.config import Rule, Side
+    from kinlink.operators import exports
+
+    side = lambda *c: Side(columns=c)
+    rules = [Rule("a", side("x", "y"), side("u"), weight=10), Rule("b", side("y"), side("v"), weight=90), Rule("c", side("z"), side("z"), weight=1, critical=True), Rule("d", side("y"), side("w"), weight=5)]
+    assert [r.id for r in exports.ordered_rules(rules)] == ["c", "b", "a", "d"]
+    assert exports.column_pairs(rules, ["x", "y", "z"], ["u", "v", "w", "z"]) == [(["z"], ["z"], "z"), (["y"], ["v"], "y ↔ v"), (["x"], ["u"], "x ↔ u")]
+    base = {"sheets": {"a": "One", "b": "Two"}, "candidate_top_n": 5, "style": {"exact_fill": "00FF00", "status_fill": {"MATCHED": "#ffffff"}, "width": 10}}
+    own = exports.merge_template(base, {"style": {"exact_fill": "112233"}})
+    assert own["style"] == {"exact_fill": "112233", "status_fill": {"MATCHED": "#ffffff"}, "width": 10} and exports.check_template(own) is own
+    for bad in ({"sheets": {"a": "Two"}}, {"candidate_top_n": 0}, {"style": {"exact_fill": "red"}}, {"style": {"status_fill": {"MATCHED": "1"}}}):
+        with pytest.raises(ConfigError):
+            exports.check_template(exports.merge_template(base, bad))
+    for bad in ({"other": 1}, {"style": 3}, {"candidate_top_n": {"x": 1}}):
+        with pytest.raises(ConfigError):
+            exports.merge_template(base, bad)
+
+
+def test_revisions_go_on(spark):
+    r = spark.createDataFrame([(1, 3, 80.0), (2, 9, 70.0)], "task_id int, revision_no long, success double")
+    assert tuple(calibration.append_revision(r, 1, 85, rollback_of=2).first()) == (1, 4, 85.0, 0.0, 2)
+    assert calibration.append_revision(r, 7, 85).first()["revision_no"] == 1
+
+
+def test_seed_pairs(spark):
+    from difflib import SequenceMatcher
+
+    from kinlink.operators.seeds import seed_pairs
+
+    names = ["bolt m8", "BOLT-M8", "bolt m10 long", "nut", "88", None, "nut m8 steel", "washer"]
+    s = spark.createDataFrame([(i, "k" if i % 2 else "j", n, n) for i, n in enumerate(names)], "ordinal int, kind string, name string, model string")
+    t = spark.createDataFrame([(i, "k" if i % 2 else "j", n, "x") for i, n in enumerate(reversed(names))], "ordinal int, kind string, name string, model string")
+    rules = {"j": (("name", "name", 1.0),), "k": (("name", "name", 0.7), ("model", "name", 0.3))}
+    plain = lambda v: "" if v is None or v.strip().upper() in ("", "88") else v.upper().replace(" ", "").replace("-", "")
+    want = {}
+    for i, a in enumerate(names):
+        scores = []
+        for j, b in enumerate(reversed(names)):
+            x, y = plain(a), plain(b)
+            if i % 2 == j % 2:
+                scores.append((0.0 if not x or not y else 1.0 if x == y else 0.86 if x in y or y in x else SequenceMatcher(None, x, y, autojunk=False).ratio(), -j))
+        scores.sort(reverse=True)
+        gap = scores[0][0] - (scores[1][0] if len(scores) > 1 else 0.0)
+        if scores[0][0] >= 0.62 and (gap >= 0.02 or scores[0][0] >= 0.86):
+            want[i] = (-scores[0][1], round(scores[0][0], 6), round(gap, 6))
+    got = {r["s_ord"]: (r["t_ord"], r["score"], r["gap"]) for r in seed_pairs(s, t, rules, "kind").collect()}
+    assert {k: (v[0], pytest.approx(v[1]), pytest.approx(v[2], abs=2e-6)) for k, v in want.items()} == got
