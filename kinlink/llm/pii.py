@@ -6,19 +6,25 @@ names) are put to labelers - regular expressions, gazetteers, context words,
 a checksum, a shape rule - that vote for, against or abstain. The votes of all
 candidates of all documents, base matches included, are counted by pattern;
 expectation-maximisation over that table estimates how reliable each labeler
-is, a logistic span classifier is trained on the resulting posteriors and the
-candidates it accepts are added, apart from base spans, as kind `number`,
-`address` or `name`.
+is and how likely each pattern is personal data.
+
+Those likelihoods are the targets of the span classifier: a logistic regression
+on what the text shows (the span's shape, its ends, the words and characters
+around it), which sees no votes. It learns from `sample` spans at most and
+decides alone which candidates are added, apart from base spans, as kind
+`number`, `address` or `name`.
 
 One pass over the text; patterns are aggregated before they leave the
 executors and there are at most a few thousand of them whatever the corpus.
-Null or empty text has no spans; rows are judged one by one.
+Null or empty text has no spans; rows are judged one by one; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +44,19 @@ _NUMBER = re.compile(r"[0-9](?:[\x20()./-]{0,2}[0-9]){6,}")
 _SPELLED = re.compile(r"([A-Za-z0-9._-]{2,40})\x20?[\[(](?:at|AT)[\])]\x20?([A-Za-z0-9-]+(?:(?:\x20?[\[(](?:dot|DOT)[\])]\x20?|\.)[A-Za-z0-9-]+)+)")
 _NAME = re.compile(r"[^\W\d_][\w'-]+(?:\x20[^\W\d_][\w'-]+)?")
 _DIGIT = re.compile(r"[0-9]")
-TITLES = ("Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Prof. ", "Herr ", "Frau ", "Mme ", "Sr. ", "Sra. ")
-FOR = ("phone", "tel", "call", "fax", "mobile", "mail", "contact", "card", "visa", "ssn", "passport", "account", "iban", "konto", "address", "born")
-AGAINST = ("version", "license", "isbn", "page", "figure", "table", "token", "sha", "hash", "price", "total", "copyright", "(c)", "id:")
-CALLING = ("+1", "+33", "+34", "+44", "+49")
-ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
-FIRST_NAMES = frozenset("james mary john anna peter maria hans marie pierre jean carlos josé lucia emma paul thomas michael david laura".split())
-DOMAINS = (".com", ".org", ".net", ".edu", ".de", ".fr", ".es")
+TITLES = ("Mr. ", "Mrs. ", "Ms. ", "Miss ", "Dr. ", "Prof. ", "Sir ", "Herr ", "Frau ", "Hr. ", "Fr. ", "M. ", "Mme ", "Mlle ", "Monsieur ", "Madame ", "Sr. ", "Sra. ", "Srta. ", "Don ", "Doña ", "Señor ", "Señora ")
+FOR = ("phone", "tel", "call", "fax", "mobile", "cell", "mail", "contact", "card", "visa", "mastercard", "amex", "ssn", "social security", "passport", "account", "iban", "bic", "konto", "telefon", "handy", "anruf", "ausweis", "adresse", "address", "born", "birth", "geboren", "naissance", "téléphone", "portable", "appel", "compte", "carte", "teléfono", "móvil", "llame", "cuenta", "tarjeta", "nacimiento", "dni", "correo")
+AGAINST = ("version", "license", "licence", "isbn", "issn", "doi", "page", "figure", "table", "chapter", "token", "sha", "hash", "commit", "uuid", "key", "price", "total", "copyright", "(c)", "id:", "build", "revision", "port", "seite", "preis", "prix", "precio", "página")
+CALLING = tuple("+" + c for c in "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 420 421".split())
+ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "2221", "2720", "6011", "64", "65", "30", "36", "38", "35", "62", "50", "56", "57", "58")
+FIRST_NAMES = frozenset(
+    "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen christopher nancy daniel lisa matthew betty anthony margaret mark sandra paul ashley steven kimberly andrew emily kenneth donna george michelle joshua carol kevin amanda brian dorothy edward melissa anna laura emma peter alice jane henry grace oliver sophie "
+    "hans peter klaus jürgen wolfgang heinz günter helmut maria ursula monika petra elisabeth sabine renate helga karin brigitte ingrid erika andrea stefan thorsten uwe dieter lukas leon felix jonas lena lea marie sophia johanna katharina "
+    "jean pierre michel andré philippe alain bernard jacques françois laurent nicolas julien antoine marie nathalie isabelle sylvie catherine martine françoise christine monique valérie camille chloé manon inès lucas hugo louis "
+    "antonio josé manuel francisco juan carlos javier jesús miguel ángel luis pedro pablo maria carmen josefa isabel ana dolores pilar teresa rosa cristina lucía marta elena paula alba diego sergio alejandro".split()
+)
+LAST_NAMES = frozenset("smith johnson williams brown jones miller davis wilson taylor anderson thomas jackson white harris martin thompson moore clark lewis walker hall young allen king wright müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann koch bauer richter klein wolf schröder neumann schwarz zimmermann braun krüger bernard dubois durand moreau laurent simon michel lefebvre leroy roux david bertrand morel fournier girard garcía rodríguez gonzález fernández lópez martínez sánchez pérez gómez jiménez ruiz hernández díaz moreno álvarez romero torres ramírez".split())
+DOMAINS = tuple("." + x for x in "com org net edu gov info biz io co uk de fr es it nl be ch at pl pt se no dk fi ie eu us ca au nz br mx ar cl jp cn in ru".split())
 
 
 def luhn(digits: str) -> bool:
@@ -122,7 +134,8 @@ def votes(t: str, start: int, kind: int, end: int) -> tuple[int, ...]:
     if kind in (0, 5):
         gazetteer = 1 if s.lower().endswith(DOMAINS) else 0
     elif kind == 6:
-        gazetteer = 1 if s.split()[0].lower() in FIRST_NAMES else 0
+        w = s.lower().split()
+        gazetteer = 1 if w[0] in FIRST_NAMES or w[-1] in LAST_NAMES else 0
     else:
         gazetteer = 1 if s.startswith(CALLING) or (12 <= n <= 19 and digits.startswith(ISSUERS)) else -1 if n > 19 else 0
     checksum = (1 if luhn(digits) else -1) if kind in (2, 4) and 12 <= n <= 19 else 0
@@ -150,59 +163,93 @@ def reliabilities(v: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[n
     return q, table
 
 
-def train_classifier(patterns: np.ndarray, count: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Probabilities that the span classifier gives to the patterns: logistic regression on one-hot votes, kind and length class, against the posteriors."""
-    v = patterns[:, :N_LABELERS]
-    q, _ = reliabilities(v, count)
-    x = [np.ones(len(v))]
-    for j in range(patterns.shape[1]):
-        for value in np.unique(patterns[:, j]):
-            x.append((patterns[:, j] == value).astype(float))
-    x = np.stack(x, 1)
-    w, weight = np.zeros(x.shape[1]), np.sqrt(count) / np.sqrt(count).sum()
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = (x * (weight * (p * (1 - p) + 1e-3))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (weight * (q - p)) - 1e-3 * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+WIDTH = 1 << 11
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def features(t: str, start: int, kind: int, end: int) -> list[int]:
+    """What the classifier sees of a span: hashes of its kind, shape, length, ends and surroundings."""
+    s = t[start:end]
+    shape = "".join("9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in s[:64])
+    brief = re.sub(r"(.)\1+", r"\1+", shape)
+    digits, groups = sum("0" <= c <= "9" for c in s), len(re.findall("[0-9]+", s))
+    before, after = t[max(0, start - 40) : start], t[end : end + 24]
+    told = [f"k{kind}", f"s{kind}{brief[:16]}", f"d{digits}", f"g{groups}:{digits // 3}", f"n{min(len(s) // 4, 12)}", f"f{shape[:3]}", f"l{shape[-3:]}", f"p{s[:2]}"]
+    told += [f"b{w}" for w in _WORD.findall(before.lower())[-3:]] + [f"a{w}" for w in _WORD.findall(after.lower())[:1]]
+    ends = lambda c: "9" if c.isdigit() else "a" if c.isalpha() else c
+    told += [f"<{ends(before[-1:])}", f">{ends(after[:1])}", f"c{before[-2:].strip()[-1:]}"]
+    return sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) % WIDTH for x in told})
+
+
+def train_classifier(rows: list[list[int]], target: np.ndarray, times: np.ndarray, rounds: int = 300, decay: float = 1e-3) -> tuple[float, np.ndarray]:
+    """Bias and weights of a logistic regression on feature sets, against likelihoods, by Adam over all rows."""
+    at = np.array([i for r in rows for i in r], np.int64)
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    share = times / times.sum()
+    w, m, v = (np.zeros(WIDTH + 1) for _ in range(3))
+    w[-1] = np.log((share @ target + 1e-3) / (1 - share @ target + 1e-3))
+    for k in range(1, rounds + 1):
+        z = np.bincount(of, w[at], len(rows)) + w[-1]
+        e = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target)
+        g = np.append(np.bincount(at, e[of], WIDTH), e.sum()) + decay * np.append(w[:-1], 0.0) / WIDTH
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return float(w[-1]), w[:-1]
+
+
+def learn(counts: dict[str, int], spans: list[tuple[str, list[int]]]) -> tuple[float, np.ndarray]:
+    """Bias and weights from the counts of all vote patterns and some spans' patterns and features."""
+    names = sorted(counts)
+    v = np.array([[int(x) for x in n.split(",")[:N_LABELERS]] for n in names])
+    q, _ = reliabilities(v, np.array([counts[n] for n in names], float))
+    likely = dict(zip(names, q.tolist(), strict=True))
+    seen = Counter((p, tuple(f)) for p, f in spans)
+    keys = sorted(seen)
+    return train_classifier([list(f) for _, f in keys], np.array([likely[p] for p, _ in keys]), np.array([seen[k] for k in keys], float))
+
 
+SPAN = "start:int,kind:int,end:int"
+SCAN = f"doc_id long, base array<struct<{SPAN}>>, loose array<struct<{SPAN},feats:array<int>>>, seen array<struct<votes:string,feats:array<int>>>"
 
-SCAN = "doc_id long, base array<struct<start:int,kind:int,end:int>>, loose array<struct<start:int,kind:int,end:int,votes:string>>, seen array<string>"
 
+def find_pii(docs: DataFrame, accept: float = 0.5, sample: int = 20_000) -> DataFrame:
+    """doc_id, base and added spans (arrays of start, kind, end) of every document of docs (doc_id, text).
 
-def find_pii(docs: DataFrame, accept: float = 0.5) -> DataFrame:
-    """doc_id, base and added spans (arrays of start, kind, end) of every document of docs (doc_id, text)."""
+    sample: spans that the classifier learns from at most, those with the
+    smallest hashes of document and place; the labelers' reliabilities follow
+    from all.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    loose_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("votes", pa.string())]))
+    place = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]
+    feats = ("feats", pa.list_(pa.int32()))
+    types = [pa.list_(pa.struct(x)) for x in (place, [*place, feats], [("votes", pa.string()), feats])]
 
     def scan(batches):
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                base_all, loose_all, seen_all = [], [], []
+                columns: list[list] = [[], [], []]
                 for t in part.column("text").to_pylist():
                     t = t or ""
                     base = base_spans(t)
-                    seen = [",".join(map(str, votes(t, *x))) for x in base]
-                    loose = [(*x, ",".join(map(str, votes(t, *x)))) for x in candidates(t, base)]
-                    base_all.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in base])
-                    loose_all.append([dict(zip(("start", "kind", "end", "votes"), x, strict=True)) for x in loose])
-                    seen_all.append(seen + [x[3] for x in loose])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base_all, span), pa.array(loose_all, loose_type), pa.array(seen_all, pa.list_(pa.string()))], ["doc_id", "base", "loose", "seen"])
+                    loose = [(*x, features(t, *x)) for x in candidates(t, base)]
+                    told = [(x, features(t, *x)) for x in base] + [(x[:3], x[3]) for x in loose]
+                    columns[0].append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in base])
+                    columns[1].append([dict(zip(("start", "kind", "end", "feats"), x, strict=True)) for x in loose])
+                    columns[2].append([{"votes": ",".join(map(str, votes(t, *x))), "feats": f} for x, f in told])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "base", "loose", "seen"])
 
     found = cut(docs.mapInArrow(scan, SCAN))
-    got = found.select(F.explode("seen").alias("v")).groupBy("v").count().orderBy("v").toPandas()  # at most 3^5 x 7 x 8 rows
-    good: list[str] = []
-    if len(got):
-        p = np.array([list(map(int, x.split(","))) for x in got["v"]])
-        prob = train_classifier(p, got["count"].to_numpy(float))
-        good = [v for v, x, row in zip(got["v"], prob, p, strict=True) if x >= accept and row[5] >= N_BASE and row[:N_LABELERS].sum() > 0]
-    ok = F.array(*[F.lit(v) for v in good]) if good else F.array().cast("array<string>")
-    added = F.transform(F.filter("loose", lambda x: F.array_contains(ok, x["votes"])), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    seen = found.select("doc_id", F.posexplode("seen").alias("i", "s"))
+    counts = {r["v"]: r["count"] for r in seen.groupBy(F.col("s.votes").alias("v")).count().collect()}  # at most 3^5 x 7 x 8 rows
+    if not counts:
+        return found.select("doc_id", "base", F.array().cast(f"array<struct<{SPAN}>>").alias("added"))
+    some = seen.orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i").limit(sample).select("s.votes", "s.feats").collect()
+    bias, w = learn(counts, [(r["votes"], r["feats"]) for r in some])
+    weights = F.array(*[F.lit(round(float(x), 6)) for x in w])
+    score = lambda x: F.aggregate(x["feats"], F.lit(round(bias, 6)), lambda z, i: z + F.element_at(weights, i + 1))
+    least = float(np.log(accept / (1 - accept)))
+    added = F.transform(F.filter("loose", lambda x: score(x) >= least), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     return found.select("doc_id", "base", added.alias("added"))
 
 
