@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinlink.llm import textkit as tk
+from kinlink.llm.shared import cut
 
 SLICE = 1 << 20
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -193,10 +194,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, s
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
     """Per document of docs (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = list(_blocks(benchmark, block_bytes)) or [pd.DataFrame({"item_id": [], "text": []})]
-    if len(blocks) > 1:  # rows meet again by id and text; equal rows get equal answers
+    blocks = _blocks(benchmark, block_bytes)
+    first, more = next(blocks), next(blocks, None)
+    if more is not None:  # rows meet again by id and text; equal rows get equal answers
         docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = [hits(docs, b, ["row", "doc_id"], window, shingle) for b in blocks]
+    found = [hits(docs, first, ["row", "doc_id"], window, shingle)]
+    if more is not None:
+        found = [cut(found[0].withColumn("first", F.lit(True)))]
+        # one block of the benchmark at a time on the driver; of later blocks only rows with hits are kept
+        while more is not None:
+            found.append(cut(hits(docs, more, ["row", "doc_id"], window, shingle).where("size(spans) > 0").withColumn("first", F.lit(False))))
+            more = next(blocks, None)
 
     def digest(batches):
         for b in batches:
@@ -207,15 +215,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     if len(found) == 1:
         return found[0].mapInArrow(digest, OUT)
-    passes, every = len(found), found[0]
+    every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
 
     def merge(t: pa.Table) -> pa.Table:
-        copies = t.num_rows // passes  # equal rows of the input
+        copies = int(np.asarray(t["first"]).sum())  # equal rows of the input
         flat = [x for y in t["spans"].to_pylist() for x in y]
         s, e = tk.merge_spans(np.array(flat[::2], np.int64), np.array(flat[1::2], np.int64))
         one = {"row": t["row"][0].as_py(), "doc_id": t["doc_id"][0].as_py(), "n_words": t["n_words"][0].as_py(), "spans": np.stack([s, e], 1).ravel().tolist(), "items": sorted({x for y in t["items"].to_pylist() for x in y})}
-        return pa.Table.from_pylist([one] * copies, schema=t.schema)
+        return pa.Table.from_pylist([one] * copies, schema=t.drop_columns(["first"]).schema)
 
     return every.groupBy("row", "doc_id").applyInArrow(merge, "row long, doc_id long, n_words long, spans array<long>, items array<string>").mapInArrow(digest, OUT)

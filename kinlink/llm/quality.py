@@ -8,7 +8,10 @@ column. Scoring is therefore a projection inside whole-stage code: no shuffle,
 no Python worker, one pass over the text.
 
 Null and empty texts have the statistics of an empty text; rows are judged one
-by one; without labels of both classes every score is 0.5.
+by one; without labels of both classes every score is 0.5. A doc_id that is
+labelled twice counts as 1 if any label is; of several texts under one labelled
+doc_id the one with the smallest statistics is learnt from. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -20,29 +23,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = ("*", "$", "&", "%", "#", "!", "|", ".", ",")
+PREFIX = "__kl_q_"
 #: names of the statistics, in the order of `statistics`
 NAMES = ("chars", "words", "word_len", "lines", "line_len", "line_repeat", "word_repeat", "upper", "digits", *(f"sym{i}" for i in range(len(SYMBOLS))))
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with column q__<name> for every statistic."""
+    """docs with column `PREFIX`<name> for every statistic."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    d = docs.withColumn("q__text", t).withColumn("q__chars", F.length("q__text").cast("double"))
-    d = d.withColumn("q__w", F.split("q__text", " ")).withColumn("q__l", F.split("q__text", "\n"))
-    n, size = F.greatest("q__chars", F.lit(1.0)), lambda c: F.size(c).cast("double")
-    d = d.withColumns({"q__words": size("q__w"), "q__lines": size("q__l")})
+    d = docs.withColumn(f"{PREFIX}text", t).withColumn(f"{PREFIX}chars", F.length(f"{PREFIX}text").cast("double"))
+    d = d.withColumn(f"{PREFIX}w", F.split(f"{PREFIX}text", " ")).withColumn(f"{PREFIX}l", F.split(f"{PREFIX}text", "\n"))
+    n, size = F.greatest(f"{PREFIX}chars", F.lit(1.0)), lambda c: F.size(c).cast("double")
+    d = d.withColumns({f"{PREFIX}words": size(f"{PREFIX}w"), f"{PREFIX}lines": size(f"{PREFIX}l")})
     d = d.withColumns(
         {
-            "q__word_len": n / F.col("q__words"),
-            "q__line_len": n / F.col("q__lines"),
-            "q__line_repeat": 1 - size(F.array_distinct("q__l")) / F.col("q__lines"),
-            "q__word_repeat": 1 - size(F.array_distinct("q__w")) / F.col("q__words"),
-            "q__upper": F.regexp_count("q__text", F.lit("[A-Z]")).cast("double") / n,
-            "q__digits": F.regexp_count("q__text", F.lit("[0-9]")).cast("double") / n,
+            f"{PREFIX}word_len": n / F.col(f"{PREFIX}words"),
+            f"{PREFIX}line_len": n / F.col(f"{PREFIX}lines"),
+            f"{PREFIX}line_repeat": 1 - size(F.array_distinct(f"{PREFIX}l")) / F.col(f"{PREFIX}lines"),
+            f"{PREFIX}word_repeat": 1 - size(F.array_distinct(f"{PREFIX}w")) / F.col(f"{PREFIX}words"),
+            f"{PREFIX}upper": F.regexp_count(f"{PREFIX}text", F.lit("[A-Z]")).cast("double") / n,
+            f"{PREFIX}digits": F.regexp_count(f"{PREFIX}text", F.lit("[0-9]")).cast("double") / n,
         }
-        | {f"q__sym{i}": (F.col("q__chars") - F.length(F.replace("q__text", F.lit(c), F.lit("")))) / n for i, c in enumerate(SYMBOLS)}
+        | {f"{PREFIX}sym{i}": (F.col(f"{PREFIX}chars") - F.length(F.replace(f"{PREFIX}text", F.lit(c), F.lit("")))) / n for i, c in enumerate(SYMBOLS)}
     )
-    return d.drop("q__text", "q__w", "q__l")
+    return d.drop(f"{PREFIX}text", f"{PREFIX}w", f"{PREFIX}l")
 
 
 @dataclass(frozen=True)
@@ -60,7 +64,7 @@ class Rule:
     def column(self) -> Column:
         out = None
         for j, above, cut in self.parts:
-            c = F.col(f"q__{NAMES[j]}")
+            c = F.col(f"{PREFIX}{NAMES[j]}")
             c = (c > F.lit(cut)) if above else (c <= F.lit(cut))
             out = c if out is None else out & c
         return out
@@ -164,11 +168,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, usable="true", sample: int
     """
     usable = F.expr(usable) if isinstance(usable, str) else usable
     docs = docs.drop("quality_score")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("q__y")).where(usable).where(F.col("q__y").isin(0, 1) & F.col("doc_id").isNotNull())
-    some = known.groupBy("doc_id").agg(F.max("q__y").alias("q__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")).select("doc_id", "q__y", *[f"q__{n}" for n in NAMES]).toPandas()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias(f"{PREFIX}y")).where(usable).where(F.col(f"{PREFIX}y").isin(0, 1) & F.col("doc_id").isNotNull())
+    some = known.groupBy("doc_id").agg(F.max(f"{PREFIX}y").alias(f"{PREFIX}y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    got = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")).select("doc_id", f"{PREFIX}y", *[f"{PREFIX}{n}" for n in NAMES]).toPandas()
     got = got.sort_values(list(got.columns)).drop_duplicates("doc_id")
-    model = train(got[[f"q__{n}" for n in NAMES]].to_numpy(float), got["q__y"].to_numpy(float)) if len(got) else None
+    model = train(got[[f"{PREFIX}{n}" for n in NAMES]].to_numpy(float), got[f"{PREFIX}y"].to_numpy(float)) if len(got) else None
     if model is None:
         return docs.withColumn("quality_score", F.lit(0.5))
-    return statistics(docs).withColumn("quality_score", model.column()).drop(*[f"q__{n}" for n in NAMES])
+    return statistics(docs).withColumn("quality_score", model.column()).drop(*[f"{PREFIX}{n}" for n in NAMES])

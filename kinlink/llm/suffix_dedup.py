@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 32, chunk_bytes: in
                 count = np.concatenate([count[rest], np.ones(len(f2), np.int64)])
             else:
                 to = ah
-            content = tk.span_hash(c, first, first + count + span - 1)
+            content = tk.word_hash(buf, first, first + count + span - 1)
             # one text for each content of the slice; the chunk's are joined below
             _, i = np.unique(content, return_index=True)
             lens = count[i] + span - 1
@@ -422,7 +422,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 32, chunk_bytes: in
             least, nwin, txt, occ = np.concatenate(least), np.concatenate(nwin), np.concatenate(texts), np.concatenate(occ, axis=1)
             lens = nwin + span - 1
             ends = np.cumsum(lens)
-            h = tk.span_hash(tk.prefix_hash(txt), ends - lens, ends)
+            h = tk.word_hash(txt, ends - lens, ends)
             _, i, inv = np.unique(h, return_index=True, return_inverse=True)
             first = np.full(len(i), np.iinfo(np.int64).max)
             np.minimum.at(first, inv, least)

@@ -103,7 +103,7 @@ def test_op3_column_equals_model(spark, prose):
     rows = labelled_texts(prose, 200)
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     s = quality.statistics(df).orderBy("doc_id")
-    x = s.select(*[f"q__{n}" for n in quality.NAMES]).toPandas().to_numpy(float)
+    x = s.select(*[f"{quality.PREFIX}{n}" for n in quality.NAMES]).toPandas().to_numpy(float)
     m = quality.train(x, np.array([y for *_, y in rows]))
     assert np.allclose([r[0] for r in s.select(m.column()).collect()], m.predict(x))
 
@@ -232,6 +232,31 @@ def test_op7_base_and_added(spark, documents):
     assert pii.digest(pii.find_pii(empty(spark))).count() == 0
 
 
+def test_op7_added_spans_brute_force(spark, documents):
+    """The whole method again, document by document on the driver."""
+    r = random.Random(31)
+    numbers = ["030 1234 5678", "(555) 123-4567", "9807915762804490", "12/34/5678", "4111111111111111", "+1 (555) 010-9999", "1.2.3.4", "anna (at) mail.example.org", "Dr. Maria Lopez", "Mr. Stone River", "a.b@c.de"]
+    lead = ["call", "phone", "version", "sha", "the", "contact", "page"]
+    texts = [" ".join(f"{r.choice(lead)} {r.choice(numbers)} and" for _ in range(r.randint(0, 9))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, spans, rows = {}, [], {}
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t)
+        loose = pii.candidates(t, base)
+        rows[i] = (base, loose)
+        for x in base + loose:
+            v = ",".join(map(str, pii.votes(t, *x)))
+            counts[v] = counts.get(v, 0) + 1
+            spans.append((v, pii.features(t, *x)))
+    bias, w = pii.learn(counts, spans)
+    want = {}
+    for i, (base, loose) in rows.items():
+        added = [x for x in loose if round(bias, 6) + sum(round(float(w[j]), 6) for j in pii.features(texts[i], *x)) >= 0]
+        want[i] = ",".join(f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in sorted(base + added))
+    assert {x["doc_id"]: x["spans"] for x in pii.digest(pii.find_pii(docs)).collect()} == want
+    assert any(k in v for v in want.values() for k in ("number", "address", "name"))
+
+
 def test_op7_reliabilities():
     r = np.random.default_rng(2)
     y = r.random(4000) < 0.4
@@ -258,6 +283,50 @@ def test_op8_learns(spark, prose):
     assert toxicity.score_toxicity(docs, labels.limit(0)).where("toxicity = 0.5").count() == len(rows) + 2
 
 
+def test_op8_gradients():
+    """Gradients through the words, their characters, both directions and the pooling, against differences of the loss."""
+    r = np.random.default_rng(4)
+    texts = ["good morning dear people here", "vileness and scumbag rotter", "short", "vilest of them all is here now"]
+    buf, off = np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    names, grams, chars, inv, first = toxicity.features(buf, off)
+    net = toxicity.Network(np.sort(names[:9]), np.unique(grams[grams != 0])[:20])
+    for k in net.p:
+        net.p[k] = net.p[k].astype(np.float64) + 0.1 * r.standard_normal(net.p[k].shape)
+    for k in ("ew", "ec", "es"):
+        net.p[k][0] = 0
+    begin, count, doc = toxicity.windows(first)
+    idx = toxicity._gather(begin, count, inv)
+    wi, gi = net.inputs(names, grams)
+    y, weight = np.array([0.0, 1, 0, 1]), np.ones(4)
+    start = {k: v.copy() for k, v in net.p.items()}
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.logits(net.embed(wi, gi, chars), idx)))
+        return -(np.log(np.where(y > 0, p, 1 - p))).mean()
+
+    net._m, net._v = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
+    net.step(wi, gi, chars, idx, y, weight, 0.0, l2=0.0)
+    for k in ("es", "wk", "uk", "ck", "ak", "wf", "ub", "cf", "v", "o", "ew", "ec"):
+        g = net._m[k] * 10
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        d = []
+        for e in (1e-5, -1e-5):
+            net.p[k] = start[k].copy()
+            net.p[k][at] += e
+            d.append(loss())
+        net.p[k] = start[k].copy()
+        assert (d[0] - d[1]) / 2e-5 == pytest.approx(g[at], rel=0.02, abs=1e-4), k
+
+
+def test_op8_characters_of_a_word():
+    text = b"a extraordinarily 7up"
+    _, _, chars, inv, _ = toxicity.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    code = lambda w: [ord(c) - 96 if c.isalpha() else 27 for c in w]
+    n = toxicity.FRONT + toxicity.END
+    got = [chars[i].tolist() for i in inv]
+    assert got == [code("a") + [-1] * (n - 1), code("extraor" + "rily"), code("7up") + [-1] * (n - 3)]
+
+
 def test_op8_windows_cover_the_text():
     first = np.array([0, 0, 5, 37, 137])
     begin, count, doc = toxicity.windows(first)
