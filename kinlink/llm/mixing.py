@@ -95,7 +95,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
 
     Repeated rows are documents of their own; rows that agree in everything
     get one decision each, in a fixed order. A null source is a source. An
-    empty table gives an empty result.
+    empty table gives an empty result. The driver holds one row a source, and
+    the reserve of each: as many as the mixture's table of weights has.
     """
     spark = docs.sparkSession
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))

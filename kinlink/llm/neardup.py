@@ -70,8 +70,18 @@ def prepared(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(unit, "vec_id long, cls string, key binary, vec binary")
 
 
-def centroids(x: np.ndarray, k: int, apart: float, rounds: int = 4) -> np.ndarray:
-    """Unit centroids of a sample in a fixed order: k at most, no two of them more similar than `apart`, moved to the middle of what is theirs."""
+def centroids(x: np.ndarray, k: int, apart: float, rounds: int = 4, flat: int = 1024) -> np.ndarray:
+    """Unit centroids of a sample in a fixed order: k at most, no two of a cell more similar than `apart`, moved to the middle of what is theirs.
+
+    More than `flat` are fitted cell by cell, so that no step compares all of
+    the sample with all centroids.
+    """
+    if k > flat and len(x) > k:
+        few = int(np.sqrt(k))
+        coarse = centroids(x[np.linspace(0, len(x) - 1, min(len(x), 24 * few)).astype(np.int64)], few, 2.0, rounds, flat)
+        own = np.concatenate([np.argmax(x[a : a + 4096] @ coarse.T, axis=1) for a in range(0, len(x), 4096)])
+        cells = [x[own == j] for j in range(len(coarse))]
+        return np.concatenate([centroids(c, max(1, round(k * len(c) / len(x))), apart, rounds, 1 << 62) for c in cells if len(c)])
     c = np.zeros((0, x.shape[1]))
     for a in range(0, len(x), 1024):
         own = x[a : a + 1024]
@@ -92,6 +102,43 @@ def centroids(x: np.ndarray, k: int, apart: float, rounds: int = 4) -> np.ndarra
     return c
 
 
+class Cells:
+    """Finds the nearest centroids of vectors; many centroids through the cells of a coarser level, of which the `probe` nearest are looked into."""
+
+    def __init__(self, m: np.ndarray, flat: int = 1024, probe: int = 4):
+        self.m, self.coarse, self.probe = m, None, probe
+        if len(m) > flat:
+            order = np.random.default_rng(1).permutation(len(m))
+            self.coarse = centroids(m[order], int(np.sqrt(len(m))), 2.0)
+            cell = np.concatenate([np.argmax(m[a : a + 4096] @ self.coarse.T, axis=1) for a in range(0, len(m), 4096)])
+            self.members = [np.flatnonzero(cell == j) for j in range(len(self.coarse))]
+
+    def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest centroids of each row, nearest first, and their similarities; -1 and -2 where fewer were met."""
+        k = min(k, len(self.m))
+        if self.coarse is None:
+            s = x @ self.m.T
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            val = np.take_along_axis(s, top, 1)
+        else:
+            c = x @ self.coarse.T
+            p = min(self.probe, c.shape[1])
+            look = np.argpartition(-c, p - 1, axis=1)[:, :p]
+            top, val = np.full((len(x), k), -1), np.full((len(x), k), -2.0)
+            for j in np.unique(look).tolist():
+                rows, own = np.flatnonzero((look == j).any(axis=1)), self.members[j]
+                if not len(own):
+                    continue
+                s = x[rows] @ self.m[own].T
+                n = min(k, len(own))
+                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                ids, v = np.concatenate([top[rows], own[at]], 1), np.concatenate([val[rows], np.take_along_axis(s, at, 1)], 1)
+                o = np.argsort(-v, axis=1, kind="stable")[:, :k]
+                top[rows], val[rows] = np.take_along_axis(ids, o, 1), np.take_along_axis(v, o, 1)
+        o = np.argsort(-val, axis=1, kind="stable")
+        return np.take_along_axis(top, o, 1), np.take_along_axis(val, o, 1)
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node reachable from each node."""
     low = np.arange(n)
@@ -353,7 +400,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, o
     per = max(shard, -(-total // max_centroids))
     parts = {c: max(1, -(-n // per)) for c, n in sizes.items()}
     number = {c: i for i, c in enumerate(sorted(sizes))}
-    centre: dict[str, np.ndarray] = {}
+    centre: dict[str, Cells] = {}
     large = [c for c in parts if parts[c] > 1]
     if large:
         share = F.create_map(*[F.lit(y) for c in large for y in (c, min(1.0, per_centroid * parts[c] / sizes[c]))]) if len(large) <= 2000 else F.lit(per_centroid / per)
@@ -362,7 +409,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, o
         got = picked.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < rate * 1_000_000).select("cls", "key", "vec").orderBy("cls", "key").toPandas()
         for c, g in got.groupby("cls"):
             # centroids nearer to each other than the range's angle and a little would cut a dense family up
-            centre[c] = centroids(np.stack([np.frombuffer(v) for v in g["vec"]]), parts[c], least - 0.05)
+            centre[c] = Cells(centroids(np.stack([np.frombuffer(v) for v in g["vec"]]), parts[c], least - 0.05))
     shared = spark.sparkContext.broadcast((number, centre))
 
     def assign(batches):
@@ -375,21 +422,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, o
                 by.setdefault(c, []).append(i)
             for c, at in by.items():
                 m, base = centre.get(c), number[c] << 32
-                step = max(16, (1 << 22) // (1 if m is None else len(m)))
-                for a in range(0, len(at), step):
-                    part = at[a : a + step]
-                    if m is None or len(m) == 1:
+                for a in range(0, len(at), 4096):
+                    part = at[a : a + 4096]
+                    if m is None or len(m.m) == 1:
                         home[part] = base
                         continue
-                    s = np.stack([np.frombuffer(vec[i]) for i in part]) @ m.T
-                    k = min(overlap, s.shape[1])
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    val = np.take_along_axis(s, top, 1)
-                    o = np.argsort(-val, axis=1, kind="stable")
-                    top, val = np.take_along_axis(top, o, 1), np.take_along_axis(val, o, 1)
+                    top, val = m.nearest(np.stack([np.frombuffer(vec[i]) for i in part]), overlap)
                     home[part] = base + top[:, 0]
                     for i, t, v in zip(part, top.tolist(), val.tolist(), strict=True):
-                        lists[i] = [base + j for j, w in zip(t[1:], v[1:], strict=True) if w >= v[0] - margin]
+                        lists[i] = [base + j for j, w in zip(t[1:], v[1:], strict=True) if j >= 0 and w >= v[0] - margin]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("vec"), pa.array(home), pa.array(lists, pa.list_(pa.int64()))], ["node", "n", "vec", "home", "shards"])
 
     housed = cut(nodes.select("node", "n", "vec", "cls").mapInArrow(assign, "node long, n long, vec binary, home long, shards array<long>"))

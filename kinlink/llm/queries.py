@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinlink.llm.oracles import ORACLES  # noqa: F401
 from kinlink.llm.shared import table
 
 
@@ -72,4 +73,4 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_quality_classifier, op4_embedding_near_dedup, op5_mixing, op6_decontamination, op7_pii, op8_toxicity, op9_ngram_jaccard_join, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+

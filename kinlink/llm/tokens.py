@@ -8,8 +8,10 @@ the neighbours whose common boundary it destroys, and updates the sums above
 them; counts of untouched runs stay valid because no pre-token spans a boundary.
 
 Scoring is one pass without shuffle; the vocabulary is read once per Python
-worker from `vocabulary`, a path given as parameter. Null and empty texts have
-no tokens; rows are counted one by one.
+worker from `vocabulary`, a path given as parameter; where there is no such file
+the query fails with its name. Null and empty texts have no tokens; a text
+without any boundary is one run, encoded whole; rows are counted one by one; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -79,6 +79,49 @@ def test_op4_groups_of_copies_only(spark, groups):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == brute(data)
 
 
+def test_op4_repeated_ids_and_vectors(spark):
+    """Rows are vectors of their own, whatever their ids: each counts for the others."""
+    x, y = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(7, x, 1, "a"), (7, x, 1, "b"), (8, [2.0, 0.0, 0.4], 1, "c"), (9, y, 1, "d"), (7, y, 1, "e"), (5, x, 2, "f")], "vec_id long, embedding array<double>, label int, node string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(5, 0, 5, True), (7, 1, 7, True), (7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False), (9, 1, 7, False)]
+
+
+def test_op4_oversized_shard_meets_in_pieces(spark):
+    """A family too large for a graph's task, with neighbours in other shards."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.standard_normal(32) + r.standard_normal((400, 32)) * 0.3, r.standard_normal((200, 32))])
+    data = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    out = neardup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), shard=100, most=150, block_bytes=120 * 32 * 8)
+    got, want = {r["vec_id"]: r["n_links"] for r in out.collect()}, brute(data)
+    true = sum(n for n, _ in want.values())
+    assert sum(min(got[i], n) for i, (n, _) in want.items()) >= 0.95 * true and all(got[i] <= n for i, (n, _) in want.items())
+
+
+def test_op4_graph_reaches_what_a_scan_finds():
+    """Batched insertion and the growing search, against all pairs of a shard."""
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.standard_normal((500, 48)), *[r.standard_normal(48) + r.standard_normal((n, 48)) * 0.2 for n in (2, 3, 5, 40, 80)]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = neardup.Graph(x, np.zeros(len(x), int), 2.0, 16, 1.2, 32)  # no ball holds two
+    assert (g.leader == np.arange(len(x))).all()
+    ids, val = neardup.beam(x, g.table, x, np.arange(len(x))[:, None], 96)
+    found = [(ids[i][val[i] >= 0.93]).tolist() for i in range(len(x))]
+    true = [np.flatnonzero(x @ x[i] >= 0.93).tolist() for i in range(len(x))]
+    assert sum(len(set(a) & set(b)) for a, b in zip(found, true)) >= 0.97 * sum(map(len, true))
+
+
+def test_op4_cells_of_many_centroids():
+    r = np.random.default_rng(10)
+    x = r.standard_normal((40, 24))[r.integers(0, 40, 3000)] + 0.4 * r.standard_normal((3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    m = neardup.centroids(x, 300, 0.99, flat=64)
+    assert 250 <= len(m) <= 320 and np.allclose(np.linalg.norm(m, axis=1), 1)
+    whole, cells = neardup.Cells(m), neardup.Cells(m, flat=64)
+    a, b = whole.nearest(x, 2), cells.nearest(x, 2)
+    assert whole.coarse is None and cells.coarse is not None and (a[0][:, 0] == b[0][:, 0]).mean() > 0.95 and (np.diff(b[1], axis=1) <= 0).all()
+
+
 def test_op4_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert neardup.near_duplicates(df).count() == 0

@@ -99,6 +99,38 @@ def test_op3_learns(spark, prose):
     assert [r[0] for r in none] == [0.5]
 
 
+def test_op3_edges(spark, prose):
+    """Long texts, repeated rows and labels, columns with the names inside, an empty table."""
+    rows = labelled_texts(prose, 120)
+    docs = spark.createDataFrame([(i, t, 1, "c") for i, t, _ in rows] + [(*rows[0][:2], 2, "c"), (5, None, 2, "c"), (9, rows[1][1] * 2000, 2, "c")], f"doc_id long, text string, `{quality.PREFIX}x` int, q__chars string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 1), (None, None)], "doc_id long, quality int")
+    got = quality.score_quality(docs, labels)
+    assert got.columns == [*docs.columns, "quality_score"] and got.count() == docs.count() and got.where("quality_score between 0 and 1").count() == docs.count()
+    assert sorted(map(str, got.collect())) == sorted(map(str, quality.score_quality(docs.repartition(5), labels).collect()))
+    assert quality.score_quality(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("name,column,part,of", [("op3_quality_classifier", "quality", 0, 5), ("op8_toxicity", "toxic", 2, 4)])
+def test_registered_classifiers(spark, name, column, part, of):
+    """What the queries deliver: folds, scores, predictions, and held-out accuracy."""
+    import os
+
+    from kinlink.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    rows = {r["doc_id"]: r for r in QUERIES[name](spark, d).collect()}
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect()}
+    assert set(rows) == docs
+    for i, r in rows.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % of == part) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    labels = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    pos = [rows[i]["score"] for i, y in labels.items() if y == 1 and rows[i]["held_out"]]
+    neg = [rows[i]["score"] for i, y in labels.items() if y == 0 and rows[i]["held_out"]]
+    assert sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)) > 0.8
+
+
 def test_op3_column_equals_model(spark, prose):
     rows = labelled_texts(prose, 200)
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
@@ -283,6 +315,18 @@ def test_op8_learns(spark, prose):
     assert toxicity.score_toxicity(docs, labels.limit(0)).where("toxicity = 0.5").count() == len(rows) + 2
 
 
+def test_op8_edges(spark, prose):
+    """A long text, repeated rows, several texts under a labelled id, an empty table."""
+    r = random.Random(14)
+    rows = [(i, prose(r, 30) + (" scumbag" if i % 2 else "")) for i in range(120)]
+    docs = spark.createDataFrame([*rows, rows[0], (4, "another text"), (4, None), (7, prose(r, 20_000)), (None, "x"), (500, "w" * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(2, 0), (None, 1)], "doc_id long, toxic int")
+    one = toxicity.score_toxicity(docs, labels)
+    assert one.count() == docs.count() and one.where("toxicity between 0 and 1").count() == docs.count()
+    assert sorted(map(str, one.collect())) == sorted(map(str, toxicity.score_toxicity(docs.repartition(4), labels).collect()))
+    assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
 def test_op8_gradients():
     """Gradients through the words, their characters, both directions and the pooling, against differences of the loss."""
     r = np.random.default_rng(4)
