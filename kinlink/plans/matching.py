@@ -255,12 +255,34 @@ def items(source: DataFrame, ranked: DataFrame, config: MatchConfig) -> DataFram
     )
 
 
+def _alike(s: DataFrame, least: float = 2.0) -> tuple[DataFrame, DataFrame | None]:
+    """Prepared source rows that differ in what the rules see, and (s_ord, first) of all rows: the first of those that are alike.
+
+    Rows alike in scope and texts have the same candidates, so each kind is
+    paired once. Where there are few such rows (by an approximate count, less
+    than `least` a kind) all are paired, and there is no second table.
+    """
+    keys = [c for c in s.columns if c not in ("s_ord", "source_id")]
+    n = s.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.struct(*keys)).alias("kinds")).first()
+    if n["rows"] < least * n["kinds"]:
+        return s, None
+    kinds = s.groupBy(*keys).agg(F.min("s_ord").alias("first"))
+    same = None
+    for k in keys:
+        c = s[k].eqNullSafe(kinds[k])
+        same = c if same is None else same & c
+    return kinds.withColumnRenamed("first", "s_ord").withColumn("source_id", F.lit(None).cast("string")), s.join(kinds, same).select(s["s_ord"], "first")
+
+
 def match(source: DataFrame, target: DataFrame, config: MatchConfig, source_ordinal: str = "row_ordinal", target_ordinal: str = "row_ordinal"):
     """(items, candidates) of a scan match; both lazily planned. with_field_scores adds the detail of candidates."""
     if any(r.semantic for r in config.rules):
         raise ConfigError("SEMANTIC_PROVIDER_NOT_READY", "semantic rules need match_with_vectors")
     s, t = prepare_source(source, config, source_ordinal), prepare_target(target, config, target_ordinal)
-    ranked = rank_candidates(score_pairs(candidate_pairs(s, t, config), config).select(*_kept(config)), config.decision.top_n)
+    kinds, members = _alike(s)
+    ranked = rank_candidates(score_pairs(candidate_pairs(kinds, t, config), config).select(*_kept(config)), config.decision.top_n)
+    if members is not None:
+        ranked = members.join(ranked.withColumnRenamed("s_ord", "first"), "first").drop("first")
     return items(s, ranked, config), ranked
 
 

@@ -17,6 +17,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict[str, str]]:
-    from kinlink.queries import inspection, linkage, normalizers, review, streams, vectors  # noqa: F401
+    from kinlink.queries import files, inspection, linkage, normalizers, review, streams, vectors  # noqa: F401
 
     return QUERIES, ORACLES

@@ -39,6 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found or tempfile.mkdtemp(prefix="kinlink-")
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file to whatever file system `path` names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def workbook(sheets: dict[str, DataFrame]) -> bytes:
     """A small workbook as bytes; `write_workbook` writes any."""
     out = io.BytesIO()

