@@ -394,7 +394,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, o
     """
     spark = vectors.sparkSession
     rows = cut(prepared(vectors))
-    nodes = cut(rows.where("key is not null").groupBy("cls", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.min("vec").alias("vec")))
+    # a vector is known by a number of its own: ids of rows may repeat
+    nodes = rows.where("key is not null").groupBy("cls", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min("vec").alias("vec"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     sizes = {r["cls"]: r["count"] for r in nodes.groupBy("cls").count().collect()}  # one row a label
     total = sum(sizes.values())
     per = max(shard, -(-total // max_centroids))
@@ -529,7 +531,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = 700, o
     found = cut(found)
     comp = components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = cut(nodes.select("cls", "key", "node", "n").join(links, "node", "left").join(comp, "node", "left").select("cls", "key", "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    known = cut(nodes.select("cls", "key", "node", "least", "n").join(links, "node", "left").join(comp, "node", "left").select("cls", "key", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(named, "component").select("cls", "key", "n_links", "component_id")
     out = rows.where("key is not null").select("vec_id", "cls", "key").join(known, ["cls", "key"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

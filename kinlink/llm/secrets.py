@@ -129,11 +129,11 @@ def _apart(tokens: Column, base: Column) -> Column:
 _FAR = 2**31 - 1
 
 
-def find_secrets(docs: DataFrame, text: str = "text", threshold: float = 0.35, model: list[float] | None = None, rise: float = 0.12) -> DataFrame:
-    """docs with column `secrets`: array of (start, rank, kind, end) by start, then kind; rank 3 is `markov`.
+def find_secrets(docs: DataFrame, text: str = "text", threshold: float = 0.35, model: list[float] | None = None, rise: float = 0.12, out: str = "secrets") -> DataFrame:
+    """docs with column `out`: array of (start, rank, kind, end) by start, then kind; rank 3 is `markov`.
 
     A token of less than 20 characters needs `rise` more for each it lacks.
-    Existing columns stay; one called secrets is replaced. Positions are code
+    Existing columns stay; one of that name is replaced. Positions are code
     points, end exclusive. Work is in proportion to a text's length, with tokens
     and matches of any length and number. An empty table gives an empty result.
     """
@@ -146,7 +146,7 @@ def find_secrets(docs: DataFrame, text: str = "text", threshold: float = 0.35, m
         spans.append(F.transform(F.filter(_located(t, pattern), ok), (lambda r, k: lambda x: F.struct(x["start"].alias("start"), F.lit(r).alias("rank"), F.lit(k).alias("kind"), x["end"].alias("end")))(rank, kind)))
     random_ = lambda x: likelihood(x["m"], model) > F.lit(threshold) + F.lit(rise) * F.greatest(F.lit(0), 20 - F.length(x["m"]))
     added = lambda base: F.transform(_let(F.filter(_located(t, TOKEN), random_), lambda z: F.when(F.size(z) == 0, z).otherwise(_apart(z, base))), lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("markov").alias("kind"), x["end"].alias("end")))
-    return d.withColumn("secrets", _let(F.concat(*spans), lambda base: F.sort_array(F.concat(base, added(base))))).drop(t)
+    return d.withColumn(out, _let(F.concat(*spans), lambda base: F.sort_array(F.concat(base, added(base))))).drop(t)
 
 
 def _sql(pattern: str) -> str:
@@ -164,8 +164,8 @@ def digest(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *n, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with all spans in `secrets` replaced by the mark, overlapping ones by one mark; the column is dropped. Null text stays null."""
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", spans: str = "secrets") -> DataFrame:
+    """docs with all spans in column `spans` replaced by the mark, overlapping ones by one mark; the column is dropped. Null text stays null."""
 
     def pieces(x, part):
         # (where the text before a span begins, where the span starts) of the spans that begin past all spans before them; then the end
@@ -177,5 +177,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     few = lambda x: pieces(x, lambda at, n: F.substr(F.col(text), at + 1, n))
     # with many spans the text is split once: a substring is found by walking from the start
     many = lambda x: _let(F.split(F.col(text), ""), lambda c: pieces(x, lambda at, n: F.array_join(F.slice(c, at + 1, n), "")))
-    done = _let(F.col("secrets"), lambda x: F.when(F.size(x) <= 32, few(x)).otherwise(many(x)))
-    return docs.withColumn(text, F.when(F.size("secrets") > 0, done).otherwise(F.col(text))).drop("secrets")
+    done = _let(F.col(spans), lambda x: F.when(F.size(x) <= 32, few(x)).otherwise(many(x)))
+    return docs.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(text))).drop(spans)

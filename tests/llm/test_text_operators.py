@@ -110,14 +110,14 @@ def test_op3_edges(spark, prose):
     assert quality.score_quality(docs.limit(0), labels).count() == 0
 
 
-@pytest.mark.parametrize("name,column,part,of", [("op3_quality_classifier", "quality", 0, 5), ("op8_toxicity", "toxic", 2, 4)])
-def test_registered_classifiers(spark, name, column, part, of):
+@pytest.mark.parametrize("name,column,part,of,sf,least", [("op3_quality_classifier", "quality", 0, 5, "0.01", 0.95), ("op8_toxicity", "toxic", 2, 4, "0.1", 0.92)])
+def test_registered_classifiers(spark, name, column, part, of, sf, least):
     """What the queries deliver: folds, scores, predictions, and held-out accuracy."""
     import os
 
     from kinlink.llm.queries import QUERIES
 
-    d = "/root/testdata/sf0.01"
+    d = f"/root/testdata/sf{sf}"
     if not os.path.isdir(d):
         pytest.skip("no tables")
     rows = {r["doc_id"]: r for r in QUERIES[name](spark, d).collect()}
@@ -128,7 +128,7 @@ def test_registered_classifiers(spark, name, column, part, of):
     labels = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     pos = [rows[i]["score"] for i, y in labels.items() if y == 1 and rows[i]["held_out"]]
     neg = [rows[i]["score"] for i, y in labels.items() if y == 0 and rows[i]["held_out"]]
-    assert sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)) > 0.8
+    assert sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)) > least
 
 
 def test_op3_column_equals_model(spark, prose):
