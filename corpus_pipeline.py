@@ -18,7 +18,7 @@ from kinlink.llm.shared import cut, remove, shared_folder, table
 def drop_toxic(spark, docs, sf_dir):
     """Drops documents with a toxicity of 0.3 or more; keeps all where the labels lack a class and no model can be trained."""
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))
-    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), learn, untrained=0.0).where("toxicity < 0.3").drop("toxicity")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), learn, untrained=0.0, out="__kl_toxicity").where("__kl_toxicity < 0.3").drop("__kl_toxicity")
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
@@ -48,7 +48,7 @@ def drop_contaminated(spark, docs, sf_dir):
 
 def redact_secrets(spark, docs, sf_dir):
     """Replaces secrets in the texts; n_chars follows."""
-    done = secrets.redact(secrets.find_secrets(docs)).select(docs.columns)
+    done = secrets.redact(secrets.find_secrets(docs, out="__kl_secrets"), spans="__kl_secrets").select(docs.columns)
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else done
 
 
