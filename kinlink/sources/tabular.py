@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv
 import datetime
+import hashlib
 import io
 import re
 import zipfile
@@ -262,3 +263,24 @@ def _batch(rows: list[list], schema: T.StructType) -> pa.RecordBatch:
 def digest_files(spark: SparkSession, path: str) -> DataFrame:
     """Content digests of files, equal contents once."""
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), "path").groupBy("sha256", "size_bytes").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
+
+
+def assemble(spark: SparkSession, path: str, out: str, size: int, sha256: str) -> None:
+    """Joins uploaded parts (files of a folder, by name) into one file, which appears at `out` only if its size and digest are right. One part at a time is held."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    draft, target = fs_path(f"{out}.part"), fs_path(out)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    got, digest = 0, hashlib.sha256()
+    stream = fs.create(draft, True)
+    try:
+        for name in sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()):
+            data = bytes(spark.read.format("binaryFile").load(name).select("content").first()["content"])
+            stream.write(bytearray(data))
+            digest.update(data)
+            got += len(data)
+    finally:
+        stream.close()
+    if got != size or digest.hexdigest() != sha256:
+        fs.delete(draft, False)
+        raise ConfigError("UPLOAD_INCOMPLETE", f"{got} of {size} bytes")
+    fs.rename(draft, target)

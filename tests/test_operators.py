@@ -300,3 +300,43 @@ def test_seed_pairs(spark):
             want[i] = (-scores[0][1], round(scores[0][0], 6), round(gap, 6))
     got = {r["s_ord"]: (r["t_ord"], r["score"], r["gap"]) for r in seed_pairs(s, t, rules, "kind").collect()}
     assert {k: (v[0], pytest.approx(v[1]), pytest.approx(v[2], abs=2e-6)) for k, v in want.items()} == got
+
+
+def test_onnx_provider_clips_pads_and_normalises(tmp_path):
+    import pickle
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    from kinlink.operators.embedding import OnnxProvider
+
+    seen = {}
+
+    def run(_, feed):
+        seen.update(feed)
+        return [np.stack([feed["input_ids"] * 3.0, feed["input_ids"] * 4.0], 2)]
+
+    session = SimpleNamespace(get_inputs=lambda: [SimpleNamespace(name="input_ids"), SimpleNamespace(name="attention_mask")], run=run)
+    tokenizer = SimpleNamespace(encode_batch=lambda texts: [SimpleNamespace(ids=[len(w) for w in t.split()]) for t in texts])
+    p = OnnxProvider("none", max_length=3, load=lambda: (session, tokenizer))
+    got = p.embed(["ab c ddd eeee", "", "zz"])
+    assert np.allclose(got, [[0.6, 0.8], [0, 0], [0.6, 0.8]])
+    assert seen["input_ids"].tolist() == [[2, 1, 3], [0, 0, 0], [2, 0, 0]] and seen["attention_mask"].tolist() == [[1, 1, 1], [0, 0, 0], [1, 0, 0]]
+    with pytest.raises(ConfigError):
+        pickle.loads(pickle.dumps(OnnxProvider(str(tmp_path)))).embed(["x"])
+
+
+def test_parts_of_an_upload(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "parts").mkdir()
+    whole = bytes(range(256)) * 5
+    for i in range(3):
+        (tmp_path / "parts" / f"{i:05d}").write_bytes(whole[i * 500 : (i + 1) * 500])
+    good = hashlib.sha256(whole).hexdigest()
+    for size, sha in ((len(whole) + 1, good), (len(whole), "0" * 64)):
+        with pytest.raises(ConfigError):
+            tabular.assemble(spark, str(tmp_path / "parts"), str(tmp_path / "out"), size, sha)
+        assert not (tmp_path / "out").exists()
+    tabular.assemble(spark, str(tmp_path / "parts"), str(tmp_path / "out"), len(whole), good)
+    assert (tmp_path / "out").read_bytes() == whole
