@@ -18,11 +18,11 @@ from kinlink.operators.review import latest_review, method_label
 
 
 def selected_candidate(items: DataFrame, candidates: DataFrame) -> DataFrame:
-    """First candidate, by rank, with the item's final code."""
-    c = candidates.select("source_row_id", F.col("target_group_code").alias("final_group_code"), "rank", "score", "target_row_number")
-    c = c.groupBy("source_row_id", "final_group_code").agg(F.min_by(F.struct("rank", "score", "target_row_number"), "rank").alias("r"))
-    d = items.join(c, ["source_row_id", "final_group_code"], "left")
-    return d.select(*[i for i in items.columns], F.col("r.rank").alias("selected_rank"), F.col("r.score").alias("selected_score"), F.col("r.target_row_number").alias("selected_row"))
+    """First candidate, by rank, with the item's final code; of equal ranks the one kept first, where candidates have their place as seq. A score that is missing is the next one's."""
+    ranked = F.when(F.col("rank").isNotNull(), F.struct("rank", *[c for c in ("seq",) if c in candidates.columns]))
+    c = candidates.withColumnRenamed("target_group_code", "final_group_code").groupBy("source_row_id", "final_group_code")
+    c = c.agg(F.min("rank").alias("selected_rank"), F.min_by("score", F.when(F.col("score").isNotNull(), ranked)).alias("selected_score"), F.min_by("target_row_number", ranked).alias("selected_row"))
+    return items.join(c, ["source_row_id", "final_group_code"], "left").select(*items.columns, "selected_rank", "selected_score", "selected_row")
 
 
 def summary(items: DataFrame) -> DataFrame:

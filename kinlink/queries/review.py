@@ -24,10 +24,10 @@ def items(spark, d):
     )
 
 
-def candidates(spark, d):
+def candidates(spark, d, *more):
     line = spark.read.parquet(f"{d}/lineitem.parquet")
     f = lambda i, v, w: F.struct(F.lit(i).alias("rule_id"), F.when(v < 0.3, 0.0).otherwise(v).alias("score"), F.lit(w).alias("weight"), (v < 0.3).alias("vetoed"), v.alias("score_before_veto"))
-    return line.select(F.col("l_orderkey").alias("source_row_id"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 97).cast("string").alias("target_group_code"), F.col("l_partkey").alias("target_row_number"), (F.col("l_quantity") * 2).alias("score"), F.col("l_returnflag").alias("kind"), F.concat("l_returnflag", "l_linestatus").alias("target_payload"), F.array(f("a", F.col("l_discount") * 10, 60), f("b", F.col("l_tax") * 12.5, 40)).alias("field_scores"))
+    return line.select(F.col("l_orderkey").alias("source_row_id"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 97).cast("string").alias("target_group_code"), F.col("l_partkey").alias("target_row_number"), (F.col("l_quantity") * 2).alias("score"), F.col("l_returnflag").alias("kind"), F.concat("l_returnflag", "l_linestatus").alias("target_payload"), F.array(f("a", F.col("l_discount") * 10, 60), f("b", F.col("l_tax") * 12.5, 40)).alias("field_scores"), *more)
 
 
 def log(spark, d):
@@ -444,7 +444,8 @@ SEL = "sel AS (SELECT source_row_id, target_group_code, min(rank) AS selected_ra
 
 @query("summary_selected_candidate", f"WITH {I}, {C}, {SEL} SELECT items.source_row_id, final_group_code, selected_rank, selected_score FROM items LEFT JOIN sel ON sel.source_row_id = items.source_row_id AND sel.target_group_code = final_group_code")
 def summary_selected_candidate(spark, d):
-    return exports.selected_candidate(items(spark, d), candidates(spark, d)).select("source_row_id", "final_group_code", "selected_rank", "selected_score")
+    c = candidates(spark, d, F.struct("_metadata.file_path", "_metadata.row_index").alias("seq"))
+    return exports.selected_candidate(items(spark, d), c).select("source_row_id", "final_group_code", "selected_rank", "selected_score")
 
 
 @query("export_final_results", f"WITH {I}, {C}, {SEL}, {L}, r AS (SELECT source_row_id, arg_max(operator, struct_pack(a := operated_at, b := seq)) AS last_operator FROM log WHERE action = 'error' GROUP BY 1) SELECT items.source_row_id, current_status, final_group_code, selected_rank, last_operator, CASE WHEN last_operator IS NOT NULL AND current_status = 'MATCHED' THEN 'MANUAL_MATCH' WHEN last_operator IS NOT NULL THEN 'MANUAL_REJECT' WHEN current_status = 'MATCHED' THEN 'AUTO_MATCH' WHEN current_status = 'REVIEW' THEN 'PENDING_REVIEW' ELSE 'NO_MATCH' END AS method FROM items LEFT JOIN sel ON sel.source_row_id = items.source_row_id AND sel.target_group_code = final_group_code LEFT JOIN r ON r.source_row_id = items.source_row_id")

@@ -340,3 +340,15 @@ def test_parts_of_an_upload(spark, tmp_path):
         assert not (tmp_path / "out").exists()
     tabular.assemble(spark, str(tmp_path / "parts"), str(tmp_path / "out"), len(whole), good)
     assert (tmp_path / "out").read_bytes() == whole
+
+
+def test_selected_candidate_of_equal_ranks(spark):
+    """Of equal ranks the first by place counts, however the rows lie; a missing score is the next one's."""
+    from kinlink.operators import exports
+
+    items = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, None)], "source_row_id long, final_group_code string")
+    rows = [(1, "a", 2, 5.0, 9, 1), (1, "a", 2, 6.0, 8, 2), (2, "a", 2, 7.0, 7, 4), (2, "a", 2, 8.0, 6, 3), (2, "a", 3, 1.0, 5, 0), (3, "a", None, 1.0, 4, 0), (3, "a", 1, None, 3, 2), (3, "a", 4, 2.0, 2, 3), (4, "a", 1, 1.0, 1, 0)]
+    for r in (rows, rows[::-1]):
+        c = spark.createDataFrame(r, "source_row_id long, target_group_code string, rank int, score double, target_row_number int, seq long").coalesce(1)
+        got = sorted(tuple(x) for x in exports.selected_candidate(items, c).collect())
+        assert got == [(1, "a", 2, 5.0, 9), (2, "a", 2, 8.0, 6), (3, "a", 1, 2.0, 3), (4, None, None, None, None)]
