@@ -13,16 +13,37 @@ MOST_VOCABULARY = 40_000
 SLICE = 1 << 19
 #: bytes of a word that are read one by one, from its front and its end; and the classes of bytes
 FRONT, END, SYMBOLS, CHAR_DIM = 7, 4, 64, 8
+#: words of more bytes are followed by their middles in pieces, one for every PIECE bytes; in shorter ones grams of MIDDLE bytes from these places cover what is not read one by one
+WHOLE, PIECE, MIDDLE, PLACES = 15, 8, 4, (6, 8)
 _SYMBOL = np.array([28] * 48 + [27] * 10 + [28] * 7 + list(range(1, 27)) + [28] * 6 + list(range(1, 27)) + [28] * 5 + [29 + i % 35 for i in range(128)], np.int32)
 U64 = np.uint64
 IS_WORD = np.ones(256, bool)
 IS_WORD[:0x30] = IS_WORD[0x3A:0x41] = IS_WORD[0x5B:0x61] = IS_WORD[0x7B:0x80] = False
 
 
+def with_middles(low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray):
+    """Words of more than WHOLE bytes followed by pieces of what lies between their fronts and ends, as words of their own. A piece begins with a character and has at most FRONT + END bytes."""
+    long = np.flatnonzero(e - s > WHOLE)
+    if not len(long):
+        return s, e, first
+    at, end = s[long] + FRONT, e[long] - END
+    k = -(-(end - at) // PIECE)
+    n = tk.ranges(np.zeros(len(long), np.int64), k)
+    begin = np.repeat(at, k) + PIECE * n
+    for _ in range(3):  # back to the first byte of a character
+        begin = begin - ((low[begin] & 0xC0) == 0x80)
+    stop = np.append(begin[1:], 0)
+    stop[np.cumsum(k) - 1] = end
+    o = np.argsort(np.concatenate([np.arange(len(s)), np.repeat(long, k)]), kind="stable")
+    more = np.zeros(len(s) + 1, np.int64)
+    more[long + 1] = k
+    return np.concatenate([s, begin])[o], np.concatenate([e, stop])[o], first + np.cumsum(more)[first]
+
+
 def features(buf: np.ndarray, off: np.ndarray):
-    """Of the distinct words their hashes, character-gram hashes (words x grams, 0: none) and characters (words x FRONT + END, -1: none); each word's index among them, and first words of the documents."""
+    """Of the distinct words, and pieces of long ones, their hashes, character-gram hashes (words x grams, 0: none) and characters (words x FRONT + END, -1: none); each word's index among them, and first words of the documents."""
     low = tk.LOWER[buf]
-    s, e, first = tk.words(low, off, IS_WORD)
+    s, e, first = with_middles(low, *tk.words(low, off, IS_WORD))
     c = tk.prefix_hash(low)
     h = tk.span_hash(c, s, e)
     names, i, inv = np.unique(h, return_index=True, return_inverse=True)
@@ -34,6 +55,9 @@ def features(buf: np.ndarray, off: np.ndarray):
     for n in SUFFIXES:
         ok = e - s >= n
         grams.append(np.where(ok, tk.span_hash(c, np.maximum(e - n, s), e) ^ U64(0xAAAA + n), U64(0)))
+    for p in PLACES:
+        ok = e - s > FRONT + END
+        grams.append(np.where(ok, tk.span_hash(c, np.where(ok, s + p, s), np.where(ok, s + p + MIDDLE, s)) ^ U64(0x3333 + p), U64(0)))
     at = np.arange(FRONT + END)
     front = s[:, None] + at
     place = np.where(at < FRONT, front, np.maximum(e[:, None] - (FRONT + END) + at, s[:, None] + FRONT))

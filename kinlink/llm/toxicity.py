@@ -3,7 +3,9 @@
 A word enters as the sum of a word vector (words of the training vocabulary),
 of vectors of its prefixes and suffixes, and of the last state of a recurrent
 network that reads its characters one by one, so unseen inflections and
-spellings are understood. Windows of `LENGTH` words, each half overlapped by the next,
+spellings are understood. Of a long word the front and the end are read so, and
+pieces of its middle follow as words of their own: texts of a script without
+spaces are read whole. Windows of `LENGTH` words, each half overlapped by the next,
 cover the whole text; a window is read forwards and backwards, pooled by
 attention and mapped to a logit; a document scores by its largest window,
 calibrated on labelled documents left out of the training.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinlink.llm import textkit as tk
-from kinlink.llm.network import END, FRONT, LENGTH, SLICE, Network, _gather, features, train, windows  # noqa: F401
+from kinlink.llm.network import END, FRONT, LENGTH, SLICE, Network, _gather, features, train, windows, with_middles  # noqa: F401
 
 
 def fitted(texts: list[str], labels: np.ndarray, prior: float | None = None) -> Network | None:

@@ -564,3 +564,33 @@ def test_op10_models():
 def test_held_out_hash(spark):
     got = spark.createDataFrame([(i,) for i in range(50)], "i long").select(F.crc32(F.col("i").cast("string"))).collect()
     assert [r[0] for r in got] == [zlib.crc32(str(i).encode()) for i in range(50)]
+
+
+def test_op8_reads_every_byte_of_long_words():
+    """A change of any byte shows in the characters or known grams of a word, not only in its hash; pieces begin with characters."""
+    r = random.Random(15)
+
+    def seen(word):
+        _, grams, chars, inv, _ = toxicity.features(np.frombuffer(b"x " + word + b" y", np.uint8), np.array([0, len(word) + 4]))
+        return grams[inv].tolist(), chars[inv].tolist()
+
+    for n in (8, 11, 12, 13, 14, 15, 16, 23, 24, 61, 300):
+        word = bytes(r.choice(b"abcdefgh") for _ in range(n))
+        for at in range(n):
+            assert seen(word) != seen(word[:at] + b"z" + word[at + 1 :]), (n, at)
+    text = ("漢字仮名" * 30 + "é").encode()
+    low = np.frombuffer(text, np.uint8)
+    s, e, first = toxicity.with_middles(low, np.array([0]), np.array([len(text)]), np.array([0, 1, 1]))
+    assert all((low[a] & 0xC0) != 0x80 for a in s) and (e[1:] - s[1:]).max() <= toxicity.FRONT + toxicity.END
+    assert s[1] <= toxicity.FRONT and e[-1] == len(text) - toxicity.END and (s[2:] == e[1:-1]).all() and first.tolist() == [0, len(s), len(s)]
+
+
+def test_op8_learns_from_the_middle_of_one_long_word(spark):
+    """Texts without spaces that differ in their middles only, wherever these begin."""
+    r = random.Random(16)
+    some = lambda n: "".join(r.choice("abcdefghijklm") for _ in range(n))
+    rows = [(i, some(r.randint(20, 27)) + ("youscumbagrotterandvilestcreatureofthemall" if i % 2 else some(42)) + some(100)) for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(480)], "doc_id long, toxic int")
+    got = [(x["toxicity"] >= 0.5) == bool(x["doc_id"] % 2) for x in toxicity.score_toxicity(docs, labels, "doc_id % 8 < 6").where("doc_id % 8 >= 6").collect()]
+    assert len(got) == 120 and sum(got) >= 110
