@@ -160,7 +160,7 @@ class _Chunk:
         return self.buf[self.off[i] : self.off[i + 1]].tobytes()
 
     def parts(self):
-        """Slices: bytes, and of every anchor its hash, document (place in order), first string start and number of strings, start in the document."""
+        """Slices: bytes, and of every anchor its hash, document (place in order), first string start, number of strings, start in the document."""
         live = [int(x) for x in np.flatnonzero(~self.copy) if self.off[self.order[x] + 1] - self.off[self.order[x]] >= self.span]
         a = 0
         while a < len(live):
@@ -189,19 +189,18 @@ class _Chunk:
             width *= 2
         if width < w:
             low = np.minimum(low[: len(low) - (w - width)], low[w - width :])
-        place = (low & U64(0xFFFFFFFF)).astype(np.int64)  # of the string starting here
-        ok = np.zeros(len(place), bool)
-        lens = np.diff(off) - span + 1
-        starts = tk.ranges(off[:-1], lens)
-        ok[starts] = True
-        doc = np.repeat(np.arange(len(at)), lens)
-        p = place[starts]
-        new = np.ones(len(starts), bool)
-        new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
+        # runs of strings with one anchor, cut where a document begins and where its last string has begun
+        new = np.empty(len(low), bool)
+        new[0] = True
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        new[off[:-1]] = True
+        new[off[1:-1] - span + 1] = True
         i = np.flatnonzero(new)
-        count = np.diff(np.append(i, len(starts)))
-        first = starts[i]
-        return h[p[i]], at[doc[i]], first, count, first - off[doc[i]], c
+        count = np.diff(np.append(i, len(low)))
+        doc = np.searchsorted(off, i, "right") - 1
+        own = np.flatnonzero(i <= off[doc + 1] - span)  # the others begin in one document and end in the next
+        first, doc = i[own], doc[own]
+        return h[(low[first] & U64(0xFFFFFFFF)).astype(np.int64)], at[doc], first, count[own], first - off[doc]
 
 
 def _six(h: np.ndarray) -> bytes:
@@ -250,24 +249,33 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 32, chunk_bytes: in
     def bucket_of(h: np.ndarray) -> np.ndarray:
         return (((h & U64(0xFFFFFFFF)) * U64(n_buckets)) >> U64(shift)).astype(np.int64)
 
-    def distinct_anchors(ch: _Chunk):
-        """Sorted by bucket, then hash; and whether two documents of the chunk hold it."""
+    def distinct_anchors(ch: _Chunk, held: list | None = None):
+        """Sorted by bucket, then hash; whether two documents of the chunk hold it; where buckets begin. held: gets the slices, but for the hashes; then also the number of every anchor among the distinct."""
         hs, ds = [], []
-        for _, h, doc, *_ in ch.parts():
+        for buf, h, doc, *rest in ch.parts():
             hs.append(h)
             ds.append(doc.astype(np.int32))
+            if held is not None:
+                first, count, start = rest
+                held.append((buf, ds[-1], first.astype(np.int32), count.astype(np.uint16), start.astype(np.int32)))
         if not hs:
             z = np.zeros(0, np.uint64)
-            return z, np.zeros(0, bool), np.zeros(n_buckets + 1, np.int64)
+            return z, np.zeros(0, bool), np.zeros(n_buckets + 1, np.int64), np.zeros(0, np.int32)
         h, d = np.concatenate(hs), np.concatenate(ds)
+        del hs, ds
         key = (h << U64(32)) | (h >> U64(32))  # low half first: sorted by bucket too
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         key, d = key[o], d[o]
-        i = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        new = np.append(True, key[1:] != key[:-1])
+        i = np.flatnonzero(new)
         multi = np.minimum.reduceat(d, i) != np.maximum.reduceat(d, i)
+        number = None
+        if held is not None:
+            number = np.empty(len(o), np.int32)
+            number[o] = np.cumsum(new, dtype=np.int32) - 1
         key = key[i]
         h = (key << U64(32)) | (key >> U64(32))
-        return h, multi, _pack(bucket_of(h), n_buckets)
+        return h, multi, _pack(bucket_of(h), n_buckets), number
 
     # whole copies: all but the smallest doc_id of a text
     texts = docs.where(F.octet_length("text") >= span).select("doc_id", "chunk", F.unhex(F.md5("text")).alias("payload"))
@@ -276,7 +284,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 32, chunk_bytes: in
 
     def send(key, d, x):
         ch = chunk_of(d, x)
-        h, _, at = distinct_anchors(ch)
+        h, _, at, _ = distinct_anchors(ch)
         own = key[0].as_py()
         b = [i for i in range(n_buckets) if at[i + 1] > at[i]]
         return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array([own] * len(b), pa.int32()), "payload": pa.array([_six(h[at[i] : at[i + 1]]) for i in b], pa.binary())})
@@ -286,7 +294,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 32, chunk_bytes: in
     def answer(t: pa.Table) -> pa.Table:
         got = [_of_six(x) for x in t["payload"].to_pylist()]
         h = np.concatenate(got)
-        o = np.argsort(h, kind="stable")
+        o = np.argsort(h)
         s = h[o]
         i = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         n = np.diff(np.append(i, len(s)))
@@ -306,25 +314,27 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 32, chunk_bytes: in
     def segments(key, d, x):
         ch = chunk_of(d, x)
         own = key[0].as_py()
-        h, shared, at = distinct_anchors(ch)
+        held: list = []
+        h, shared, at, number = distinct_anchors(ch, held)
         hot = np.zeros(len(h), bool)
         for b, p in zip(ch.notes["ref"].to_pylist(), ch.notes["payload"].to_pylist(), strict=True):
             n = at[b + 1] - at[b]
             bits = np.unpackbits(np.frombuffer(p, np.uint8))[: 2 * n].astype(bool)
             shared[at[b] : at[b + 1]] |= bits[:n]
             hot[at[b] : at[b + 1]] = bits[n:]
-        by = np.argsort(h, kind="stable")
-        parts = []
-        for buf, ah, doc, first, count, start, c in ch.parts():
-            pos = by[np.searchsorted(h, ah, sorter=by)]
+        parts, done = [], 0
+        for buf, doc, first, count, start in held:
+            pos = number[done : done + len(doc)]
+            done += len(doc)
             keep = np.flatnonzero(shared[pos])
-            ah, doc, first, count, start, pos = ah[keep], doc[keep], first[keep], count[keep], start[keep], pos[keep]
+            doc, first, count, start, pos = doc[keep], first[keep].astype(np.int64), count[keep].astype(np.int64), start[keep].astype(np.int64), pos[keep]
+            ah = h[pos]
             split = hot[pos]
             if split.any():  # string by string; where to is told by the string's own hash
                 w = np.flatnonzero(split)
                 each = count[w]
                 f2, s2 = tk.ranges(first[w], each), tk.ranges(start[w], each)
-                hot_to = tk.span_hash(c, f2, f2 + span)
+                hot_to = tk.span_hash(tk.prefix_hash(buf), f2, f2 + span)
                 rest = np.flatnonzero(~split)
                 to = np.concatenate([ah[rest], hot_to])
                 doc, first, start = np.concatenate([doc[rest], np.repeat(doc[w], each)]), np.concatenate([first[rest], f2]), np.concatenate([start[rest], s2])
@@ -336,7 +346,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 32, chunk_bytes: in
             _, i = np.unique(content, return_index=True)
             lens = count[i] + span - 1
             body = buf[tk.ranges(first[i], lens)]
-            parts.append((content, to, doc.astype(np.int32), start, count, content[i], body, lens))
+            parts.append((content, to, doc.astype(np.int32, copy=False), start, count, content[i], body, lens))
+        del held, number
         if not parts:
             return pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
         content, to, doc, start, count = (np.concatenate([p[j] for p in parts]) for j in range(5))

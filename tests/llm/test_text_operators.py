@@ -594,3 +594,22 @@ def test_op8_learns_from_the_middle_of_one_long_word(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(480)], "doc_id long, toxic int")
     got = [(x["toxicity"] >= 0.5) == bool(x["doc_id"] % 2) for x in toxicity.score_toxicity(docs, labels, "doc_id % 8 < 6").where("doc_id % 8 >= 6").collect()]
     assert len(got) == 120 and sum(got) >= 110
+
+
+def test_op1_anchors_of_documents_side_by_side():
+    """Each string of a document belongs to one run, with its smallest gram, also where documents have one string only or are alike."""
+    r = random.Random(17)
+    texts = [bytes(r.choice(b"ab") for _ in range(n)) for n in (12, 12, 13, 40, 12, 200)]
+    texts += [texts[-1], texts[0], b"a" * 30, b"a" * 12]
+    ch = suffix_dedup._Chunk.__new__(suffix_dedup._Chunk)
+    ch.span, ch.k = 12, 8
+    off = np.append(0, np.cumsum([len(t) for t in texts]))
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    h, doc, first, count, start = ch.anchors(buf, off, np.arange(len(texts)) * 10)
+    got = [(d, s + j, x) for x, d, s, n in zip(h.tolist(), doc.tolist(), start.tolist(), count.tolist()) for j in range(n)]
+    assert (first == off[doc // 10] + start).all()
+    c = suffix_dedup.tk.prefix_hash(buf)
+    _, inv = suffix_dedup.tk.powers(len(buf) + 1)
+    g = suffix_dedup.tk.mix((c[8:] - c[:-8]) * inv[: len(buf) - 7])
+    want = [(d * 10, s, int(min(g[off[d] + s : off[d] + s + 5], key=lambda x: int(x) >> 32))) for d, t in enumerate(texts) for s in range(len(t) - 11)]
+    assert got == want
