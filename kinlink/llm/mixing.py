@@ -22,12 +22,14 @@ fractional rate. Blocks are of bounded size however large a source is.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from kinlink.llm import textkit as tk
 from kinlink.llm.shared import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,27 +100,30 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
     empty table gives an empty result. The driver holds one row a source, and
     the reserve of each: as many as the mixture's table of weights has.
     """
+    import pandas as pd  # on the driver alone
+
     spark = docs.sparkSession
+    local = lambda rows, schema: spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], to_arrow_schema(schema)), schema)  # noqa: E731  (rows in the plan: no Python worker reads them)
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     by = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()}  # one row a source
     sizes = {s: int(r["n"]) for s, r in by.items()}
     goal = targets(sizes, weights, share, most)
     rows = [(s, sizes[s], float(goal[s]), goal[s] / sizes[s] if sizes[s] else 0.0, max(1, -(-int(by[s]["docs"]) // block))) for s in sizes]
-    plan = spark.createDataFrame(rows, T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("rate", T.DoubleType()), T.StructField("blocks", T.LongType())]))
+    plan = local(rows, T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("rate", T.DoubleType()), T.StructField("blocks", T.LongType())]))
     # the number of sources is that of the mixture's table; it is broadcast below 10,000 of them
     plan = F.broadcast(plan) if len(rows) <= 10_000 else plan
     d = sized.alias("d").join(plan.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.source", "size", "source_size", "target", "rate", "blocks")
     d = d.withColumn("sure", F.floor(F.col("rate") + 1e-12).cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("sure")))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")))
 
+    @tk.frugal
     def fly(t: pa.Table) -> pa.Table:
-        f = t.to_pandas()
-        f = f.sort_values(["draw", "doc_id", "size"], kind="stable", na_position="last")
-        x = f["p"].to_numpy(float)
-        coin = (f["draw"].to_numpy(np.int64).astype(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
-        held = reserve if f["block"].iloc[0] == 0 else 0
-        f["p"] = np.concatenate([x[:held], walk(x[held:], f["size"].to_numpy(float)[held:], coin[held:])])
-        return pa.Table.from_pandas(f, schema=t.schema, preserve_index=False)
+        t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in ("draw", "doc_id", "size")], null_placement="at_end"))
+        x, size, draw = t["p"].to_numpy(), t["size"].to_numpy().astype(float), t["draw"].to_numpy()
+        coin = (draw.astype(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
+        held = reserve if t["block"][0].as_py() == 0 else 0
+        p = np.concatenate([x[:held], walk(x[held:], size[held:], coin[held:])])
+        return t.set_column(t.schema.get_field_index("p"), t.schema.field("p"), pa.array(p))
 
     kept = ["doc_id", "source", "size", "source_size", "target", "sure", "p", "block", "draw", "blocks"]
     d = d.withColumn("draw", F.xxhash64(F.lit(7), "doc_id", "size")).select(kept)
@@ -151,6 +156,6 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
             words, number = np.abs(base + tries @ z - goal[s]), np.abs(tries.sum(axis=1) - g["p"].to_numpy(float).sum())
             left.loc[g.index, "p"] = tries[np.lexsort((number, words))[0]].astype(float)
         left = left.astype(object).where(left.notna(), None)
-        done = done.unionByName(spark.createDataFrame([tuple(r) for r in left[kept].itertuples(index=False)], schema))
+        done = done.unionByName(local(left[kept].itertuples(index=False), schema))
     copies = (F.col("sure") + F.col("p").cast("long")).cast("long")
     return done.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))

@@ -178,7 +178,7 @@ def entries(flat: np.ndarray, off: np.ndarray, bands: Bands):
     mixed = tk.mix(flat + U64(0xABCDEF))
     sig_all, set_all, flag_all, slack = [], [], [], []
     high = flat >> U64(32)
-    doc = np.repeat(np.arange(len(n)), n)
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
     for role in (0, 1):  # 0: as one of the lower band of instance own; 1: of the upper band of instance own - 1
         inst = own - role
         real = (n > 0) & (inst >= 0)
@@ -186,33 +186,34 @@ def entries(flat: np.ndarray, off: np.ndarray, bands: Bands):
         m = np.array([plans[int(i)][0] if ok else 1 for i, ok in zip(inst, real, strict=True)], np.int64)
         d = np.array([plans[int(i)][1] if ok else 0 for i, ok in zip(inst, real, strict=True)], np.int64)
         keep = real[doc]
-        f, dd, x = np.flatnonzero(keep), doc[keep], mixed[keep]
-        seg = ((high[keep] * m[dd].astype(np.uint64)) >> U64(32)).astype(np.int64)
-        if not len(f):
+        dd, x = doc[keep], mixed[keep]
+        seg = ((high[keep] * m.astype(np.uint64)[dd]) >> U64(32)).astype(np.int32)
+        if not len(dd):
             slack.append(np.where(real, 0, 1 << 30))
             continue
         i = np.flatnonzero(np.append(True, (dd[1:] != dd[:-1]) | (seg[1:] != seg[:-1])))
-        size = np.diff(np.append(i, len(f)))
+        size = np.diff(np.append(i, len(dd)))
         total = np.add.reduceat(x, i)
-        salt = tk.mix(seg[i].astype(np.uint64) * U64(0x9E3779B97F4A7C15) + inst[dd[i]].astype(np.uint64))
-        two = (seg[i] < d[dd[i]]) & (size >= 2)
+        seg, dd = seg[i], dd[i]
+        salt = tk.mix(seg.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + inst[dd].astype(np.uint64))
+        two = (seg < d[dd]) & (size >= 2)
         sig_all.append(tk.mix(total + salt))
-        set_all.append(dd[i])
-        flag_all.append(role * 2 + two.astype(np.int64))
+        set_all.append(dd)
+        flag_all.append(two.astype(np.int8) + np.int8(role * 2))
         some = np.flatnonzero(two)
         if len(some):
-            at = tk.ranges(i[some], size[some])
-            of = np.repeat(some, size[some])
-            sig_all.append(tk.mix(total[of] - x[at] + salt[of]))
-            set_all.append(dd[i[of]])
-            flag_all.append(np.full(len(at), role * 2 + 1, np.int64))
-        have = np.bincount(dd[i], 1 + two, len(n)).astype(np.int64)
+            of = np.repeat(some.astype(np.int32), size[some])
+            less = (total + salt)[of]
+            less -= x[tk.ranges(i[some], size[some])]
+            sig_all.append(tk.mix(less))
+            set_all.append(dd[of])
+            flag_all.append(np.full(len(of), role * 2 + 1, np.int8))
+        have = np.bincount(dd, 1 + two, len(n)).astype(np.int64)
         need = bands.need(np.maximum(n, 1), role == 0)
         # no set may be missed where the instance has no other sizes to meet
         slack.append(np.where(real, have - need, 1 << 30))
-    z = np.zeros(0, np.int64)
-    cat = lambda v: np.concatenate(v) if v else z
-    return cat(sig_all).astype(np.uint64), cat(set_all), cat(flag_all), slack
+    cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
+    return cat(sig_all, np.uint64), cat(set_all, np.int32), cat(flag_all, np.int8), slack
 
 
 def _packed(sets: list[np.ndarray], bands: Bands, n_buckets: int, names: np.ndarray | None = None):
@@ -220,9 +221,12 @@ def _packed(sets: list[np.ndarray], bands: Bands, n_buckets: int, names: np.ndar
     off = np.append(0, np.cumsum([len(s) for s in sets]))
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     sig, of, flag, slack = entries(flat, off, bands)
-    bucket = (((sig >> U64(48)) * U64(n_buckets)) >> U64(16)).astype(np.int64)
+    del flat
+    bucket = (((sig >> U64(48)) * U64(n_buckets)) >> U64(16)).astype(np.int32)
     o = np.argsort(bucket, kind="stable")
-    sig, of, flag, cuts = sig[o], of[o].astype(np.uint64), flag[o].astype(np.uint64), np.searchsorted(bucket[o], np.arange(n_buckets + 1))
+    cuts = np.append(0, np.cumsum(np.bincount(bucket, minlength=n_buckets)))
+    sig, of, flag = sig[o], of[o], flag[o]
+    del bucket, o
     out = []
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         part = slice(cuts[k], cuts[k + 1])
@@ -230,7 +234,7 @@ def _packed(sets: list[np.ndarray], bands: Bands, n_buckets: int, names: np.ndar
         if names is not None:
             used, local = np.unique(local, return_inverse=True)
             own = names[used.astype(np.int64)].tobytes()
-        out.append((k, own, ((sig[part] << U64(16)) | (local.astype(np.uint64) << U64(2)) | flag[part]).tobytes()))
+        out.append((k, own, ((sig[part] << U64(16)) | (local.astype(np.uint64) << U64(2)) | flag[part].astype(np.uint64)).tobytes()))
     return slack, out
 
 
@@ -250,7 +254,9 @@ def _unpacked(t: pa.Table):
     same[1:] = s[1:] == s[:-1]
     same[:-1] |= same[1:]
     o = o[same]
-    o = o[np.lexsort((name[o], sig[o]))]
+    del s, same
+    sig, name, flag = sig[o], name[o], flag[o]
+    o = np.lexsort((name, sig))
     sig, name, flag = sig[o], name[o], flag[o]
     new = np.ones(len(o), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
@@ -287,6 +293,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
         return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(rows, t) for c, t in zip(columns, kinds, strict=True)], columns)
 
     # 1: which sets share enough entries to have a partner at all
+    @tk.frugal
     def index(batches):
         bands, part, count = Bands(percent), TaskContext.get().partitionId(), 0
 
@@ -316,6 +323,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
 
     about = ("doc_id", "d0", "d1", "n", "s0", "s1")
 
+    @tk.frugal
     def share(t: pa.Table) -> pa.Table:
         """Documents as they are, and what their shared entries allocate here: one packed row for each partition that the documents came from."""
         is_doc = pc.is_null(t["payload"])
@@ -330,6 +338,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
             out.append(pa.table({"part": pa.array(parts, pa.int32()), **{c: pa.nulls(len(parts), out[0].schema.field(c).type) for c in ("ref", *about)}, "shared": pa.array(shared, pa.binary())}))
         return pa.concat_tables(out)
 
+    @tk.frugal
     def total(t: pa.Table) -> pa.Table:
         is_doc = pc.is_null(t["shared"])
         d, p = t.filter(is_doc).sort_by("ref"), t.filter(pc.invert(is_doc))
@@ -348,6 +357,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
     texts = cut(_texts(spark, docs, nodes, shingle, filter_bits))
 
     # 2: entries of open sets, by node
+    @tk.frugal
     def again(batches):
         bands = Bands(percent)
 
@@ -370,6 +380,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
         if ids:
             yield from emit(ids, sets)
 
+    @tk.frugal
     def meet(t: pa.Table) -> pa.Table:
         sig, node, role, weight, first, count = _unpacked(t)
         out = [_met(0, [], [])]
@@ -392,6 +403,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
             out.append(_met(3, node[at], sig[at].view(np.int64), np.repeat(node[first[big]], count[big])))
         return pa.concat_tables(out)
 
+    @tk.frugal
     def bitmaps(batches):
         for b in batches:
             buf, off = tk.buffer_of(b.column("text"))
@@ -411,6 +423,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
     smaller, larger = F.when(F.col("na") <= F.col("nb"), F.col("e0a")).otherwise(F.col("e0b")), F.when(F.col("na") <= F.col("nb"), F.col("eb")).otherwise(F.col("ea"))
     pairs = pairs.where((F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")) & (F.col("shared") > F.greatest(smaller, larger)))
 
+    @tk.frugal
     def close(batches):
         for b in batches:
             most = (100 - percent) * (np.asarray(b.column("na")).astype(np.int64) + np.asarray(b.column("nb"))) // (100 + percent)
@@ -423,6 +436,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 75,
 
     pairs = cut(pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(close, "a long, b long"))
 
+    @tk.frugal
     def verify(batches):
         for b in batches:
             x, y = tk.buffer_of(b.column("x")), tk.buffer_of(b.column("y"))
@@ -486,6 +500,7 @@ def _blocks(met: DataFrame, deficient: DataFrame, comp: DataFrame, text: DataFra
     cells = cells.join(own.withColumnRenamed("block", "p"), "p").join(own.select(F.col("block").alias("q"), F.col("l0").alias("m0"), F.col("l1").alias("m1")), "q").where("least(l0, m0) <> greatest(l1, m1)").select("p", "q")
     sides = cells.select("p", "q", F.explode(F.expr("if(p = q, array(p), array(p, q))")).alias("block"))
 
+    @tk.frugal
     def compare(t: pa.Table) -> pa.Table:
         node, label = t["node"].to_pylist(), t["label"].to_pylist()
         side = (np.asarray(t["block"].combine_chunks()) == t["p"][0].as_py()).astype(np.int8)
@@ -545,6 +560,7 @@ def _texts(spark, docs: DataFrame, nodes: DataFrame, shingle: int, bits: int) ->
         table[start:end] |= got[: end - start].astype(bool)
     shared = spark.sparkContext.broadcast(np.packbits(table))
 
+    @tk.frugal
     def read(batches):
         on = shared.value
         for b in batches:

@@ -6,6 +6,10 @@ for a whole slice of documents at once, so no per-word Python object exists.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
+import os
+
 import numpy as np
 import pyarrow as pa
 
@@ -28,6 +32,48 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
+_TRIM_OVER = 16 << 20
+_kept = 0
+
+
+def private_bytes() -> int:
+    """Memory of this process that is not mapped from files; 0 where the system does not tell."""
+    try:
+        with open("/proc/self/statm") as f:
+            size = f.read().split()
+    except OSError:
+        return 0
+    return (int(size[1]) - int(size[2])) * os.sysconf("SC_PAGE_SIZE")
+
+
+def tidy() -> None:
+    """Hands memory that was freed back to the machine, where this process has grown since the last time."""
+    global _kept
+    if private_bytes() <= _kept + _TRIM_OVER:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+    _kept = private_bytes()
+
+
+def frugal(f):
+    """f, a function of Arrow batches or of a group's table, that tidies up when it ends: Python workers outlive their tasks."""
+
+    def of_batches(batches):
+        yield from f(batches)
+        tidy()
+
+    def of_group(table):
+        out = f(table)
+        tidy()
+        return out
+
+    return of_batches if inspect.isgeneratorfunction(f) else of_group
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> U64(30))

@@ -70,6 +70,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable="true", per_class:
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
+    @tk.frugal
     def score(batches):
         net = shared.value
         for b in batches:
